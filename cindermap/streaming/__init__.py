@@ -1,0 +1 @@
+"""Intentionally empty: every input of the supported jobs is a closed yearly file, so there is no stream surface."""
