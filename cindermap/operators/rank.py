@@ -30,7 +30,7 @@ def dense_index(df: DataFrame, order_by: Sequence[str | Column], name: str = "ro
     stored = stored.withColumns(
         {
             "__part": F.shiftright("__at", _ROW_BITS),
-            "__row": F.col("__at").bitwiseAND(F.lit((1 << _ROW_BITS) - 1)),
+            "__pos": F.col("__at").bitwiseAND(F.lit((1 << _ROW_BITS) - 1)),
         }
     )
     # One row per range: the window below sees at most n rows, whatever the table holds.
@@ -38,7 +38,7 @@ def dense_index(df: DataFrame, order_by: Sequence[str | Column], name: str = "ro
     before = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
     starts = sizes.select("__part", F.coalesce(F.sum("__size").over(before), F.lit(0)).alias("__start"))
     placed = stored.join(F.broadcast(starts), "__part")
-    return placed.withColumn(name, F.col("__start") + F.col("__row") + F.lit(1)).drop("__at", "__part", "__row", "__start")
+    return placed.withColumn(name, F.col("__start") + F.col("__pos") + F.lit(1)).drop("__at", "__part", "__pos", "__start")
 
 
 def chunk_ids(df: DataFrame, k: int, order_by: Sequence[str | Column], name: str = "chunk") -> DataFrame:

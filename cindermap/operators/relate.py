@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from functools import reduce
+from itertools import count
 from operator import and_
 
 from pyspark.sql import Column, DataFrame
@@ -16,6 +17,7 @@ from pyspark.sql import functions as F
 
 from cindermap.operators.aggregate import first_per_key
 
+_marks = count()  # every join renames its right keys to names of its own
 LEFT_SIDE_JOINS = ("inner", "left", "left_semi", "left_anti")
 
 
@@ -23,6 +25,11 @@ def _names(on: str | Sequence[str]) -> list[str]:
     return [on] if isinstance(on, str) else list(on)
 
 
+def _their_names(keys: list[str]) -> dict[str, str]:
+    mark = next(_marks)
+    return {k: f"__r{mark}_{k}" for k in keys}
+
+
 def _match(left_keys: list[Column], right_keys: list[Column], null_safe: bool) -> Column:
     pairs = zip(left_keys, right_keys)
     return reduce(and_, [l.eqNullSafe(r) if null_safe else l == r for l, r in pairs])
@@ -51,13 +58,14 @@ def keyed_join(
         _refuse_overlap(left, right, keys)
     if not null_safe:
         return left.join(right, keys, how)
-    renamed = right.withColumnsRenamed({k: f"__r_{k}" for k in keys})
-    joined = left.join(renamed, _match([F.col(k) for k in keys], [F.col(f"__r_{k}") for k in keys], True), how)
+    theirs = _their_names(keys)
+    renamed = right.withColumnsRenamed(theirs)
+    joined = left.join(renamed, _match([F.col(k) for k in keys], [F.col(theirs[k]) for k in keys], True), how)
     if how in ("left_semi", "left_anti"):
         return joined
     if how in ("right", "full", "outer", "full_outer"):
-        joined = joined.withColumns({k: F.coalesce(F.col(k), F.col(f"__r_{k}")) for k in keys})
-    return joined.drop(*[f"__r_{k}" for k in keys])
+        joined = joined.withColumns({k: F.coalesce(F.col(k), F.col(theirs[k])) for k in keys})
+    return joined.drop(*theirs.values())
 
 
 def keyed_lookup(x: DataFrame, y: DataFrame, on: str | Sequence[str], null_safe: bool = True) -> DataFrame:
@@ -111,11 +119,12 @@ def skew_join(
     salted_left = marked(left).withColumn("__salt", F.when(F.col("__hot"), row_salt).otherwise(F.lit(0))).drop("__hot")
     copies = F.when(F.col("__hot"), F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))
     salted_right = marked(right).withColumn("__r_salt", F.explode(copies)).drop("__hot")
-    salted_right = salted_right.withColumnsRenamed({k: f"__r_{k}" for k in keys})
+    theirs = _their_names(keys)
+    salted_right = salted_right.withColumnsRenamed(theirs)
 
-    condition = _match([F.col(k) for k in keys], [F.col(f"__r_{k}") for k in keys], null_safe)
+    condition = _match([F.col(k) for k in keys], [F.col(theirs[k]) for k in keys], null_safe)
     joined = salted_left.join(salted_right, condition & (F.col("__salt") == F.col("__r_salt")), how)
-    return joined.drop("__salt", "__r_salt", *[f"__r_{k}" for k in keys])
+    return joined.drop("__salt", "__r_salt", *theirs.values())
 
 
 def lookup_first(

@@ -35,21 +35,30 @@ def with_ratios(df: DataFrame, suffix: str = "") -> DataFrame:
     )
 
 
-def presence_year(
-    basic: DataFrame, fire: DataFrame, formatted: DataFrame, geocoded: DataFrame, pattern: str = BUILDING_FIRE
+def presence_counts(
+    basic: DataFrame,
+    fire: DataFrame,
+    formatted: DataFrame,
+    geocoded: DataFrame,
+    pattern: str = BUILDING_FIRE,
+    by: Sequence[str] = (),
 ) -> DataFrame:
-    """PL-1B-T, one year: building fires per tract by alarm state, over well-geocoded addresses."""
+    """PL-1B-T: building fires per tract by alarm state, over well-geocoded addresses.
+
+    One year's tables give one year's counts. Tables that hold several years take
+    ``by=["year"]``, a column of ``basic``, and need one plan for all of them.
+    """
     key = list(INCIDENT_KEY)
-    building = normalize_incident_key(containing(basic, "INC_TYPE", pattern).select(*key))
+    building = normalize_incident_key(containing(basic, "INC_TYPE", pattern).select(*key, *by))
     detectors = normalize_incident_key(fire.select(*key, "DETECTOR", "DET_TYPE"))
     flagged = keyed_lookup(detectors, building, key).select(
-        *key, presence_flag("DETECTOR", "DET_TYPE").alias("smoke_alarm_presence")
+        *key, *by, presence_flag("DETECTOR", "DET_TYPE").alias("smoke_alarm_presence")
     )
     places = formatted.select(*key, "row_seq").join(
         geocoded.filter(good_geocode("rating", "tractid")).select("row_seq", "tractid"), "row_seq", "inner"
     )
     located = keyed_join(flagged, normalize_incident_key(places), key, "inner", null_safe=True)
-    return three_state_counts(located, "tractid", "smoke_alarm_presence", COUNT_NAMES)
+    return three_state_counts(located, ["tractid", *by], "smoke_alarm_presence", COUNT_NAMES)
 
 
 def presence_all_years(yearly: Mapping[str, DataFrame]) -> DataFrame:

@@ -26,14 +26,15 @@ def _keyed(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     return normalize_incident_key(df.select(*INCIDENT_KEY, *columns))
 
 
-def blend_year(tables: Mapping[str, DataFrame], year: str, null_safe: bool = True) -> DataFrame:
-    """PL-BLEND for one year: every fire incident with its basic facts, address and geocode.
+def blend(tables: Mapping[str, DataFrame], null_safe: bool = True, by: Sequence[str] = ()) -> DataFrame:
+    """PL-BLEND: every fire incident with its basic facts, address and geocode.
 
     A missing key part matches a missing key part unless ``null_safe`` is off.
+    ``by`` names columns of the fire table to keep, such as the year.
     """
     basic = _keyed(tables["basic"], BLEND_COLUMNS["basic"])
     address = _keyed(tables["address"], BLEND_COLUMNS["address"])
-    fire = _keyed(tables["fire"], BLEND_COLUMNS["fire"])
+    fire = _keyed(tables["fire"], [*BLEND_COLUMNS["fire"], *by])
     formatted = _keyed(tables["formatted"], BLEND_COLUMNS["formatted"])
     geocoded = tables["geocoded"].select(*BLEND_COLUMNS["geocoded"])
 
@@ -41,7 +42,12 @@ def blend_year(tables: Mapping[str, DataFrame], year: str, null_safe: bool = Tru
     facts = keyed_join(basic, address, key, "left", null_safe)
     with_facts = keyed_join(fire, facts, key, "left", null_safe)
     located = keyed_join(formatted, geocoded, "row_seq", "left")
-    return tag(keyed_join(with_facts, located, key, "left", null_safe), "year", year)
+    return keyed_join(with_facts, located, key, "left", null_safe)
+
+
+def blend_year(tables: Mapping[str, DataFrame], year: str, null_safe: bool = True) -> DataFrame:
+    """PL-BLEND for the tables of one year."""
+    return tag(blend(tables, null_safe), "year", year)
 
 
 def blend_years(years: Mapping[str, Mapping[str, DataFrame]], null_safe: bool = True) -> DataFrame:
@@ -66,11 +72,10 @@ def residential_by_tract(
         tuple(key),
     )
     zips = normalize_incident_key(address.select(*key, F.col("ZIP5").alias("zcta5")), tuple(key))
-    # Addresses of other incidents are dropped before they meet the ZIP relation.
-    wanted = keyed_join(zips, kept.select(*key).distinct(), key, "left_semi", null_safe=True)
+    # Only addresses of residential incidents get as far as the ZIP relation.
+    addressed = keyed_join(kept, zips, key, "left", null_safe=True)
     relation = zcta_tract.select("zcta5", "state", "county", "tract", "geoid")
-    tracts = skew_join(wanted, relation, "zcta5", "left")
-    return keyed_join(kept, tracts, key, "left", null_safe=True)
+    return skew_join(addressed, relation, "zcta5", "left")
 
 
 def geocoded_outcomes(

@@ -12,6 +12,7 @@ from cindermap.operators.aggregate import first_per_key, stack, strict_mean, wit
 from cindermap.operators.relate import keyed_join
 from cindermap.operators.scale import balscale
 from cindermap.plans.block_risk import tract_risk
+from cindermap.session import materialize
 
 INDICATORS = ("risk_1a", "risk_1b", "risk_1c", "risk_2a", "risk_2c", "risk_3a")
 REGION_COLUMNS = ("region_code", "region_name", "chapter_code", "chapter_name", "county_name_long")
@@ -96,7 +97,9 @@ def finish(combined: DataFrame, crosswalk: DataFrame) -> DataFrame:
     """County mean, region attributes and group composites.
 
     Tracts that only other indicators know have no state and county and form one group.
+    The combined scores are stored once, as the county mean reads them several times.
     """
+    combined = materialize(combined, "scores")
     with_county = with_group_value(combined, ["state", "cnty"], risk_cnty=strict_mean("risk"))
     counties = first_per_key(
         crosswalk.select("county_fips", *REGION_COLUMNS), "county_fips", ["chapter_code", "region_code", *REGION_COLUMNS]
