@@ -203,10 +203,10 @@ def model_comparison(spark, folder):
     features = [f"e{i}" for i in range(size)]
     wide = e.select("vec_id", kind.alias("target"), *[F.col("embedding")[i].cast("double").alias(f) for i, f in enumerate(features)])
     settings = {
-        "boosting": {"depths": (2,), "min_rows": (10, 20), "trees": 3},
-        "forest": {"per_split": (8, 14), "trees": 20, "depth": 6},
-        "forest_kappa": {"per_split": (8, 14), "trees": 20, "depth": 6},
-        "network": {"sizes": (2, 4), "max_iter": 50},
-        "pls": {"components": (1, 2, 3)},
+        "boosting": {"depths": (2,), "min_rows": (10, 20), "trees": 2},
+        "forest": {"per_split": (8, 14), "trees": 10, "depth": 5},
+        "forest_kappa": {"per_split": (8, 14), "trees": 10, "depth": 5},
+        "network": {"sizes": (2, 4), "max_iter": 10},
+        "pls": {"components": (1, 2)},
     }
     return compare_models(wide, features, "target", ["vec_id"], settings)

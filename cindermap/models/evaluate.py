@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.ml.evaluation import Evaluator
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cindermap.functions.values import safe_ratio
@@ -17,19 +19,31 @@ def confusion(df: DataFrame, actual: str, predicted: str) -> DataFrame:
 
 
 def agreement(df: DataFrame, actual: str, predicted: str) -> DataFrame:
-    """One row: rows, accuracy and Kappa, from the confusion matrix (classes squared rows)."""
+    """One row: rows, accuracy and Kappa, from the confusion matrix.
+
+    The matrix (at most classes squared cells) is gathered in one array; the
+    chance agreement adds up, over all classes, row total times column total.
+    """
     cells = confusion(df, actual, predicted).filter(F.col("actual").isNotNull() & F.col("predicted").isNotNull())
-    sides = cells.select(F.col("actual").cast("string").alias("class"), F.col("n").alias("rows"), F.lit(0).alias("cols")).unionByName(
-        cells.select(F.col("predicted").cast("string").alias("class"), F.lit(0).alias("rows"), F.col("n").alias("cols"))
-    )
-    margins = sides.groupBy("class").agg(F.sum("rows").alias("rows"), F.sum("cols").alias("cols"))
-    chance = margins.agg(F.sum(F.col("rows").cast("double") * F.col("cols"))).scalar()
-    total = cells.agg(
-        F.sum("n").alias("n"),
-        F.sum(F.when(F.col("actual").cast("string") == F.col("predicted").cast("string"), F.col("n")).otherwise(0)).alias("hits"),
+    cell = F.struct(
+        F.col("actual").cast("string").alias("a"),
+        F.col("predicted").cast("string").alias("p"),
+        F.col("n").cast("double").alias("n"),
     )
+    one = cells.agg(F.sum("n").alias("n"), F.collect_list(cell).alias("c"))
+
+    def total(array: Column, weight: Callable[[Column], Column]) -> Column:
+        return F.aggregate(array, F.lit(0.0), lambda s, x: s + weight(x))
+
+    def chance(x: Column) -> Column:
+        same = F.filter("c", lambda y: y["p"] == x["a"])
+        return x["n"] * total(same, lambda y: y["n"])
+
+    hits = total(F.filter("c", lambda x: x["a"] == x["p"]), lambda x: x["n"])
     n = F.col("n").cast("double")
-    rated = total.select("n", safe_ratio("hits", "n").alias("accuracy"), safe_ratio(chance, n * n).alias("__pe"))
+    rated = one.select(
+        "n", safe_ratio(hits, n).alias("accuracy"), safe_ratio(total(F.col("c"), chance), n * n).alias("__pe")
+    )
     return rated.select(
         "n", "accuracy", safe_ratio(F.col("accuracy") - F.col("__pe"), F.lit(1.0) - F.col("__pe")).alias("kappa")
     )

@@ -18,12 +18,6 @@ from pyspark.sql import functions as F
 from cindermap.operators.prep import feature_vector
 
 
-def _balanced_sum(terms: list[Column]) -> Column:
-    while len(terms) > 1:
-        terms = [terms[i] + terms[i + 1] if i + 1 < len(terms) else terms[i] for i in range(0, len(terms), 2)]
-    return terms[0]
-
-
 @dataclass
 class PlsModel:
     features: list[str]
@@ -32,11 +26,11 @@ class PlsModel:
     weights: np.ndarray  # features x classes, on the original scale
 
     def scores(self) -> list[Column]:
+        values = F.array(*[F.col(f"`{f}`") for f in self.features])
         out = []
         for k, start in enumerate(self.intercepts):
-            terms = [F.lit(float(start))]
-            terms += [F.col(f"`{f}`") * F.lit(float(self.weights[j, k])) for j, f in enumerate(self.features)]
-            out.append(_balanced_sum(terms))
+            products = F.zip_with(values, F.lit([float(w) for w in self.weights[:, k]]), lambda x, w: x * w)
+            out.append(F.aggregate(products, F.lit(float(start)), lambda s, t: s + t))
         return out
 
     def transform(self, df: DataFrame, out: str = "predicted_class") -> DataFrame:

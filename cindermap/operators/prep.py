@@ -62,7 +62,7 @@ def central_impute(
         modes = column_modes(df, nominal).agg(F.map_from_entries(entries)).scalar()
         out = out.withColumn("__fill", modes)
         out = out.withColumns(
-            {c: F.coalesce(F.col(f"`{c}`"), F.col("__fill").getItem(F.lit(c))) for c in nominal}
+            {c: F.coalesce(F.col(f"`{c}`"), F.col("__fill")[c]) for c in nominal}
         ).drop("__fill")
     return out
 

@@ -87,7 +87,7 @@ def draw_without_replacement(
             raise ValueError(f"class {c!r} has {sizes.get(c, 0)} rows, {n} wanted without replacement")
     h = key_hash(keys, seed)
     cuts = _hash_cuts(df, h, target, {c: wanted[c] / sizes[c] for c in wanted if 0 < wanted[c]})
-    kept = df.withColumn("__cuts", cuts).filter(h <= F.col("__cuts").getItem(F.col(target).cast("string")))
+    kept = df.withColumn("__cuts", cuts).filter(h <= F.col("__cuts")[F.col(target).cast("string")])
     return kept.drop("__cuts").withColumn("draw_id", key_hash(keys, seed))
 
 
@@ -147,7 +147,7 @@ def stratified_split(
     h = key_hash(keys, seed)
     cuts = _hash_cuts(df, h, target, {c: train_share for c in sizes if c is not None})
     marked = df.withColumn("__cuts", cuts)
-    return marked.withColumn(out, h <= F.col("__cuts").getItem(F.col(target).cast("string"))).drop("__cuts")
+    return marked.withColumn(out, h <= F.col("__cuts")[F.col(target).cast("string")]).drop("__cuts")
 
 
 def with_fold(df: DataFrame, keys: Sequence[str], folds: int, seed: int = 12, out: str = "fold") -> DataFrame:

@@ -2,16 +2,23 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cindermap.functions.keys import compose, county_fips_of, restore_leading_zero
+from cindermap.functions.keys import (
+    compose,
+    county_fips_of,
+    county_of,
+    pad_left,
+    restore_leading_zero,
+    state_of,
+    tract_of,
+)
 from cindermap.functions.scores import damped_rate, mean_of_known, mean_strict, stabilized_rate
 from cindermap.functions.values import first_known
 from cindermap.operators.aggregate import first_per_key, stack, strict_mean, with_group_value
 from cindermap.operators.relate import keyed_join
-from cindermap.operators.scale import balscale
-from cindermap.plans.block_risk import tract_risk
+from cindermap.operators.scale import balscale, balscale_many
 from cindermap.session import materialize
 
 INDICATORS = ("risk_1a", "risk_1b", "risk_1c", "risk_2a", "risk_2c", "risk_3a")
@@ -23,83 +30,116 @@ OUTPUT = (
 MIN_POPULATION = 200
 
 
-def install_indicator(scores: DataFrame) -> DataFrame:
-    keyed = scores.select(compose("state", "cnty", "tract").alias("tract_geoid"), "risk_1a")
-    return balscale(keyed, "risk_1a", "risk_1a")
+def _known(df: DataFrame) -> DataFrame:
+    return df.filter(F.col("tract_geoid").isNotNull())
+
+
+def install_rows(scores: DataFrame) -> DataFrame:
+    return scores.select(compose("state", "cnty", "tract").alias("tract_geoid"), F.col("risk_1a").alias("install"))
+
+
+def alarm_rows(scores: DataFrame) -> DataFrame:
+    return scores.select(
+        restore_leading_zero("tractid").alias("tract_geoid"), F.col("weighted_linear_pred").alias("alarm")
+    )
+
+
+def block_rows(blocks: DataFrame) -> DataFrame:
+    """K1: the tract is the first 11 characters of the padded block-group id."""
+    tract = F.substring(pad_left("bg_geoid", 12), 1, 11)
+    return blocks.select(tract.alias("tract_geoid"), F.col("smoke_alarm_risk").alias("block"), F.lit(1).alias("blocks"))
+
+
+def fire_rows(yearly: DataFrame, base_year: str) -> DataFrame:
+    base = F.when(F.col("year") == base_year, F.col("population"))
+    return yearly.select(F.col("tractid").alias("tract_geoid"), F.col("N").alias("fires"), base.alias("base"))
+
 
+def response_rows(responses: DataFrame) -> DataFrame:
+    return responses.select(restore_leading_zero("x").alias("tract_geoid"), F.col("freq").alias("responses"))
 
-def alarm_indicator(scores: DataFrame) -> DataFrame:
-    keyed = scores.select(restore_leading_zero("tractid").alias("tract_geoid"), "weighted_linear_pred")
-    return balscale(keyed, "weighted_linear_pred", "risk_1b").select("tract_geoid", "risk_1b")
+
+def casualty_rows(scores: DataFrame) -> DataFrame:
+    return scores.select(F.col("geoid").alias("tract_geoid"), F.col("risk_3a").alias("casualty"))
+
+
+def population_rows(population: DataFrame) -> DataFrame:
+    return population.select("tract_geoid", F.col("P0010001").cast("long").alias("census"))
+
+
+def fire_measure() -> dict[str, Column]:
+    """A20, P8 (aggregates): fires of all years, zero where there are none; population of the base year, else census, else 0."""
+    return {
+        "N": F.coalesce(F.sum("fires"), F.lit(0)),
+        "population": first_known(F.max("base"), F.max("census"), default=0),
+    }
 
 
 def fire_indicator(yearly: DataFrame, tracts: DataFrame, population: DataFrame, base_year: str = "2009") -> DataFrame:
-    """Fires of all years per 1,000 people.
+    """Fires of all years per 1,000 people, scaled over tracts with more than 200 people.
 
-    ``yearly`` has ``tractid, year, N, population``. Tracts of ``tracts`` and
-    ``population`` without fires count zero. Population is that of the base year,
-    else the census figure, else 0. The full joins of the yearly tables come down
-    to one stacked table and one grouping, hence one shuffle.
+    ``yearly`` has ``tractid, year, N, population``; tracts of the other two tables
+    without fires count zero.
     """
-    fires = yearly.select(
-        F.col("tractid").alias("tract_geoid"),
-        F.col("N").alias("n"),
-        F.when(F.col("year") == base_year, F.col("population")).alias("base"),
-    )
-    others = tracts.select("tract_geoid")
-    census = population.select("tract_geoid", F.col("P0010001").cast("long").alias("census"))
-    combined = (
-        stack(fires, others, census)
-        .groupBy("tract_geoid")
-        .agg(
-            F.coalesce(F.sum("n"), F.lit(0)).alias("N"),
-            first_known(F.max("base"), F.max("census"), default=0).alias("population"),
-        )
-        .withColumn("rate", stabilized_rate("N", "population"))
-    )
-    return balscale(combined, "rate", "risk_2a", where=F.col("population") > MIN_POPULATION)
+    rows = stack(fire_rows(yearly, base_year), tracts.select("tract_geoid"), population_rows(population))
+    rated = rows.groupBy("tract_geoid").agg(*[c.alias(n) for n, c in fire_measure().items()])
+    rated = rated.withColumn("rate", stabilized_rate("N", "population"))
+    return balscale(rated, "rate", "risk_2a", where=F.col("population") > MIN_POPULATION)
 
 
 def response_indicator(responses: DataFrame, population: DataFrame) -> DataFrame:
-    """Responses per 1,000 people, damped for small tracts."""
-    found = responses.select(restore_leading_zero("x").alias("tract_geoid"), F.col("freq").alias("f"))
-    census = population.select("tract_geoid", F.col("P0010001").alias("p"))
-    combined = (
-        stack(found, census)
-        .groupBy("tract_geoid")
-        .agg(F.coalesce(F.sum("f"), F.lit(0)).alias("freq"), F.coalesce(F.max("p"), F.lit(0)).alias("population"))
-        .withColumn("rate", damped_rate("freq", "population"))
+    """Responses per 1,000 people, damped for small tracts, scaled like the fires."""
+    rows = stack(response_rows(responses), population_rows(population))
+    rated = rows.groupBy("tract_geoid").agg(
+        F.coalesce(F.sum("responses"), F.lit(0)).alias("freq"), F.coalesce(F.max("census"), F.lit(0)).alias("population")
     )
-    return balscale(combined, "rate", "risk_2c", where=F.col("population") > MIN_POPULATION)
+    rated = rated.withColumn("rate", damped_rate("freq", "population"))
+    return balscale(rated, "rate", "risk_2c", where=F.col("population") > MIN_POPULATION)
 
 
-def casualty_indicator(scores: DataFrame) -> DataFrame:
-    keyed = scores.select(F.col("geoid").alias("tract_geoid"), "risk_3a")
-    return balscale(keyed, "risk_3a", "risk_3a")
+def raw_scores(*sources: DataFrame) -> DataFrame:
+    """One row per tract of any source, with the unscaled measure of every indicator.
 
+    The sources are stacked and grouped once. That is one shuffle, combined on the
+    map side, where a chain of full joins would shuffle the growing result each
+    time. Scored sources have at most one row per tract.
+    """
+    g = _known(stack(*sources)).groupBy("tract_geoid").agg(
+        F.max("install").alias("risk_1a"),
+        F.max("alarm").alias("risk_1b"),
+        F.when(F.count("blocks") == F.count("block"), F.avg("block") * 100).alias("risk_1c"),
+        F.count("blocks").alias("blocks"),
+        *[c.alias(n) for n, c in fire_measure().items()],
+        F.coalesce(F.sum("responses"), F.lit(0)).alias("freq"),
+        F.coalesce(F.max("census"), F.lit(0)).alias("census"),
+        F.max("casualty").alias("risk_3a"),
+    )
+    enough, counted = F.col("population") > MIN_POPULATION, F.col("census") > MIN_POPULATION
+    has_blocks = F.col("blocks") > 0
+    geoid = F.col("tract_geoid")
+    return g.select(
+        "tract_geoid",
+        *[F.when(has_blocks, c).alias(n) for n, c in (("state", state_of(geoid)), ("cnty", county_of(geoid)), ("tract", tract_of(geoid)))],
+        "risk_1a",
+        "risk_1b",
+        "risk_1c",
+        F.when(enough, stabilized_rate("N", "population")).alias("risk_2a"),
+        F.when(counted, damped_rate("freq", "census")).alias("risk_2c"),
+        "risk_3a",
+    )
 
-def combine(*indicators: DataFrame) -> DataFrame:
-    """Every tract of any indicator, one grouping instead of a chain of full joins.
 
-    Each indicator has at most one row per tract.
-    """
-    shape = {"state": "string", "cnty": "string", "tract": "string", **{c: "double" for c in INDICATORS}}
-    wide = [
-        t.select("tract_geoid", *[(F.col(c) if c in t.columns else F.lit(None)).cast(k).alias(c) for c, k in shape.items()])
-        for t in indicators
-    ]
-    rows = stack(*wide).filter(F.col("tract_geoid").isNotNull())
-    joined = rows.groupBy("tract_geoid").agg(*[F.max(c).alias(c) for c in shape])
-    return joined.withColumn("risk", mean_of_known(*INDICATORS))
+def scale_and_combine(raw: DataFrame) -> DataFrame:
+    """All indicators on the 0-100 scale, from one statistics pass, and their mean."""
+    scaled = balscale_many(raw, {c: c for c in INDICATORS})
+    return scaled.withColumn("risk", mean_of_known(*INDICATORS))
 
 
 def finish(combined: DataFrame, crosswalk: DataFrame) -> DataFrame:
     """County mean, region attributes and group composites.
 
     Tracts that only other indicators know have no state and county and form one group.
-    The combined scores are stored once, as the county mean reads them several times.
     """
-    combined = materialize(combined, "scores")
     with_county = with_group_value(combined, ["state", "cnty"], risk_cnty=strict_mean("risk"))
     counties = first_per_key(
         crosswalk.select("county_fips", *REGION_COLUMNS), "county_fips", ["chapter_code", "region_code", *REGION_COLUMNS]
@@ -129,13 +169,14 @@ def risk_table(
     base_year: str = "2009",
 ) -> DataFrame:
     """PL-AGG: 20 columns, one row per tract known to any indicator."""
-    by_block = tract_risk(blocks)
-    combined = combine(
-        install_indicator(installs),
-        alarm_indicator(alarms),
-        by_block,
-        fire_indicator(yearly_fires, by_block, population, base_year),
-        response_indicator(responses, population),
-        casualty_indicator(casualties),
+    raw = raw_scores(
+        install_rows(installs),
+        alarm_rows(alarms),
+        block_rows(blocks),
+        fire_rows(yearly_fires, base_year),
+        response_rows(responses),
+        casualty_rows(casualties),
+        population_rows(population),
     )
-    return finish(combined, crosswalk)
+    # Stored once: statistics, scores and county means each read it.
+    return finish(scale_and_combine(materialize(raw, "scores")), crosswalk)
