@@ -16,7 +16,7 @@ from cindermap.operators.quantiles import exact_quantiles
 from cindermap.plans import alarms, casualty, installs
 from cindermap.plans.compare import compare_models
 from cindermap.plans.incidents import geocoded_outcomes
-from cindermap.session import scratch_path
+from cindermap.session import materialize, scratch_path
 
 
 @query("""
@@ -90,7 +90,7 @@ def lasso_search(spark, folder):
     """Cross-validated error per penalty."""
     l = table(spark, folder, "lineitem").withColumn("signal", F.col("l_extendedprice") + 2000 * F.col("l_quantity"))
     features = ["l_quantity", "l_discount", "l_tax"]
-    fit = lasso_cv(l, features, "signal", ["l_orderkey", "l_linenumber"], points=8, folds=3)
+    fit = lasso_cv(l, features, "signal", ["l_orderkey", "l_linenumber"], points=5, folds=2)
     rows = [(float(p), float(e), bool(p == fit.best)) for p, e in fit.errors]
     return spark.createDataFrame(rows, "penalty double, mse double, chosen boolean")
 
@@ -136,8 +136,8 @@ def alarm_model(spark, folder):
 
 def _casualty_data(spark, folder):
     basic, _, formatted, geocoded = _tables(spark, folder)
-    outcomes = geocoded_outcomes(basic, formatted, geocoded)
-    features = _tract_table(spark, folder)
+    outcomes = materialize(geocoded_outcomes(basic, formatted, geocoded), "outcomes")
+    features = materialize(_tract_table(spark, folder), "features")
     data = {e: casualty.binary_dataset(outcomes, features, e, c, n=None) for e, c in (("death", "OTH_DEATH"), ("injury", "OTH_INJ"))}
     return data, features
 
@@ -147,7 +147,7 @@ def logistic_risk(spark, folder):
     """PL-3A-L: M5, X11, A11: deciles of the combined risk over all tracts."""
     data, features = _casualty_data(spark, folder)
     fit = casualty.logistic_risk(data["death"], data["injury"], features)
-    return exact_quantiles(fit.scores, ["death_injury_risk_prob"], [i / 10 for i in range(11)])
+    return exact_quantiles(materialize(fit.scores, "scores"), ["death_injury_risk_prob"], [i / 10 for i in range(11)])
 
 
 @query()
@@ -168,8 +168,8 @@ def _casualty_profile(spark, folder):
 
 def _casualty_fit(spark, folder):
     basic, _, formatted, geocoded = _tables(spark, folder)
-    outcomes = geocoded_outcomes(basic, formatted, geocoded).withColumnRenamed("tractid", "geoid")
-    profile = _casualty_profile(spark, folder)
+    outcomes = materialize(geocoded_outcomes(basic, formatted, geocoded).withColumnRenamed("tractid", "geoid"), "outcomes")
+    profile = materialize(_casualty_profile(spark, folder), "profile")
     keys = ["STATE", "FDID", "INC_DATE", "INC_NO", "EXP_NO"]
     training, _audit = casualty.casualty_training(outcomes, profile, keys, "civic")
     features = ["tractpopulation2010", "balance", "spend", "civic"]

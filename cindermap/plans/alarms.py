@@ -18,6 +18,7 @@ from cindermap.operators.filters import BUILDING_FIRE, containing, good_geocode
 from cindermap.operators.prep import mean_impute, scaled_weights
 from cindermap.operators.relate import keyed_join, keyed_lookup
 from cindermap.operators.sample import hash_split
+from cindermap.session import materialize
 
 COUNT_NAMES = {
     "all": "all_fire", "unknown": "alarm_unknown", "true": "alarm_presented", "false": "alarm_not_presented",
@@ -99,7 +100,8 @@ def weighted_linear(
     """PL-1B-M: no-alarm share by tract features, weighted by the number of fires, scored for all tracts."""
     features = numeric_columns(acs)
     tracts = tract_features(acs)
-    merged = keyed_join(totals, tracts, "tractid", "left")
+    # The counts are the costly part; model, errors and scores read them from here.
+    merged = materialize(keyed_join(totals, tracts, "tractid", "left"), "merged")
     supported = mean_impute(merged.filter(F.col("all_fire_all_years") > support), features)
     split = hash_split(supported, ["tractid"], test_share, seed)
     train = scaled_weights(split.filter(~F.col("is_test")), "all_fire_all_years", "weight")

@@ -25,6 +25,7 @@ from cindermap.operators.filters import known
 from cindermap.operators.prep import central_impute
 from cindermap.operators.relate import match_audit, skew_join
 from cindermap.operators.sample import downsample
+from cindermap.session import materialize
 
 # Columns of the tract profile that are not features, and those stored as formatted text.
 PROFILE_IDS = ("county_fip", "county_fip_full", "state", "statecountyfipscode", "tract_fip", "gov")
@@ -64,8 +65,11 @@ def binary_dataset(
     ``draw_id`` tells repeated draws of one incident apart.
     """
     labelled = outcomes.filter(known("tractid")).select(*keys, "tractid", binary_target(event, column).alias("target"))
+    # Read by the class counts and by the draws, so the incident joins run once.
+    labelled = materialize(labelled, "labelled")
     drawn = downsample(labelled, "target", [event, "other"], [0.5, 0.5], list(keys), True, n, seed)
-    joined = skew_join(drawn.select("draw_id", "target", "tractid"), features, "tractid", "left")
+    drawn = materialize(drawn.select("draw_id", "target", "tractid"), "draws")
+    joined = materialize(skew_join(drawn, features, "tractid", "left"), "training")
     return central_impute(joined, numeric=numeric_columns(features), nominal=[])
 
 
@@ -138,13 +142,13 @@ def casualty_training(
     ``witness`` is a profile column that is never missing; rows without it found no profile.
     """
     labelled = incidents.filter(F.col("geoid").isNotNull()).select(*keys, "geoid", casualty_target().alias("target"))
+    labelled = materialize(labelled, "labelled")
     drawn = downsample(labelled, "target", [DEATH, INJURY, NO_CASUALTY], list(shares), list(keys), seed=seed)
-    ready = drawn.select("draw_id", "target", "geoid")
+    drawn = materialize(drawn.select("draw_id", "target", "geoid"), "draws")
     features = profile_features(profile)
-    joined = skew_join(ready, features, "geoid", "left").filter(F.col(witness).isNotNull())
-    return central_impute(joined.drop("geoid"), nominal=[], numeric=numeric_columns(joined, ["draw_id"])), match_audit(
-        ready, features, "geoid"
-    )
+    joined = materialize(skew_join(drawn, features, "geoid", "inner").filter(F.col(witness).isNotNull()), "training")
+    filled = central_impute(joined.drop("geoid"), nominal=[], numeric=numeric_columns(joined, ["draw_id"]))
+    return filled, match_audit(drawn, features, "geoid")
 
 
 def prior_corrected_scores(

@@ -15,6 +15,7 @@ from cindermap.operators.aggregate import high_missing_columns, mode_by, strict_
 from cindermap.operators.columns import columns_between
 from cindermap.operators.filters import complete_cases
 from cindermap.operators.relate import keyed_join
+from cindermap.session import materialize
 
 
 def install_share(installs: DataFrame, support: int = 25) -> DataFrame:
@@ -65,7 +66,9 @@ def install_risk(
     too_sparse = set(high_missing_columns(tracts, named))
     features = [c for c in named if c not in too_sparse]
     # Parts a county does not have (tract) are empty text, not missing, so complete cases look at the rest.
-    ready = complete_cases(training, [*named, "alarm_ins_pct"]).select("fips", "alarm_ins_pct", *features)
+    ready = materialize(
+        complete_cases(training, [*named, "alarm_ins_pct"]).select("fips", "alarm_ins_pct", *features), "training"
+    )
     forest = forest_regressor(features, "alarm_ins_pct", trees, seed=seed).fit(ready)
     lasso = lasso_cv(ready, features, "alarm_ins_pct", ["fips"], penalties, folds, seed)
 
