@@ -43,12 +43,12 @@ def block_to_tract(spark, folder):
 
 
 @query(f"""
-SELECT state, cnty, round(AVG(mean_risk) / 100, 6) AS smoke_alarm_risk, CAST(SUM(population + 10) AS BIGINT) AS ct_pop,
+SELECT state, cnty, round(AVG(mean_risk) / 100, 9) AS smoke_alarm_risk, CAST(SUM(population + 10) AS BIGINT) AS ct_pop,
   2 * COUNT(*) AS blocks_per_county, state || cnty AS county5_code FROM ({BLOCK_TRACT_SQL}) GROUP BY state, cnty""")
 def block_to_county(spark, folder):
     """PL-1C by county: A3, A4."""
     out = block_risk.county_risk(blocks(spark, folder))
-    return out.withColumn("smoke_alarm_risk", F.round("smoke_alarm_risk", 6))
+    return out.withColumn("smoke_alarm_risk", F.round("smoke_alarm_risk", 9))
 
 
 @query(f"""

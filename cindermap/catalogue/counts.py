@@ -129,13 +129,13 @@ def supported_shares(spark, folder):
 
 
 @query(f"""
-SELECT event_id, user_id, round(AVG(value) OVER (PARTITION BY user_id), 6) AS user_mean,
+SELECT event_id, user_id, round(AVG(value) OVER (PARTITION BY user_id), 8) AS user_mean,
   COUNT(*) OVER (PARTITION BY user_id) AS user_rows FROM ({CASES_SQL})""")
 def group_values(spark, folder):
     """Aggregates on every row."""
     rows = cases(spark, folder).select("event_id", "user_id", "value")
     marked = with_group_value(rows, "user_id", m=F.avg("value"), user_rows=F.count(F.lit(1)))
-    return marked.select("event_id", "user_id", F.round("m", 6).alias("user_mean"), "user_rows")
+    return marked.select("event_id", "user_id", F.round("m", 8).alias("user_mean"), "user_rows")
 
 
 _SUMMARY = " UNION ALL ".join(
