@@ -58,17 +58,24 @@ def frequency(df: DataFrame, keys: str | Sequence[str]) -> DataFrame:
     return table.withColumn("share", safe_ratio(F.col("n"), total))
 
 
-def three_state_counts(df: DataFrame, keys: str | Sequence[str], flag: str, names: Mapping[str, str]) -> DataFrame:
+def three_state_counts(
+    df: DataFrame, keys: str | Sequence[str], flag: str, names: Mapping[str, str], weight: Column | None = None
+) -> DataFrame:
     """A2: all rows, TRUE, FALSE and unknown per key in one pass.
 
     ``names`` maps ``all``, ``unknown``, ``true``, ``false`` to the output names.
+    With ``weight`` a row stands for that many rows.
     """
-    f = F.col(flag)
+    f, one = F.col(flag), F.lit(1) if weight is None else weight
+
+    def total(condition: Column | None) -> Column:
+        return F.sum((one if condition is None else F.when(condition, one).otherwise(F.lit(0))).cast("long"))
+
     return df.groupBy(*_names(keys)).agg(
-        F.count(F.lit(1)).alias(names["all"]),
-        F.count_if(f.isNull()).alias(names["unknown"]),
-        F.count_if(f).alias(names["true"]),
-        F.count_if(~f).alias(names["false"]),
+        total(None).alias(names["all"]),
+        total(f.isNull()).alias(names["unknown"]),
+        total(f).alias(names["true"]),
+        total(~f).alias(names["false"]),
     )
 
 

@@ -14,6 +14,7 @@ from operator import and_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from cindermap.operators.aggregate import first_per_key
 
@@ -76,6 +77,23 @@ def keyed_lookup(x: DataFrame, y: DataFrame, on: str | Sequence[str], null_safe:
     return joined.select(*keys, *rest)
 
 
+def hot_keys(df: DataFrame, on: str | Sequence[str], hot_share: float = 0.005) -> DataFrame | None:
+    """Keys with more than ``hot_share`` of the rows, or None when there are none.
+
+    One pass over the key columns, combined on the map side. There can be at most
+    ``1 / hot_share`` such keys, so the answer is kept as a local table: plans that
+    use it do not compute it again.
+    """
+    keys = _names(on)
+    counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("__rows"))
+    total = counts.agg(F.sum("__rows")).scalar()
+    rows = counts.filter(F.col("__rows") > total * F.lit(hot_share)).select(*keys).collect()
+    if not rows:
+        return None
+    schema = T.StructType([T.StructField(k, df.schema[k].dataType) for k in keys])
+    return df.sparkSession.createDataFrame([tuple(r) for r in rows], schema)
+
+
 def skew_join(
     left: DataFrame,
     right: DataFrame,
@@ -84,13 +102,15 @@ def skew_join(
     null_safe: bool = False,
     hot_share: float = 0.005,
     salts: int = 64,
+    probe: DataFrame | None = None,
 ) -> DataFrame:
-    """Equi-join for a left side in which single keys may hold a large share of the rows.
+    """Equi-join for a left side in which single keys may hold a large share of the rows.
 
-    Keys with more than ``hot_share`` of the left rows are hot; there can be at
-    most ``1 / hot_share`` of them, which bounds the table that is broadcast. A
-    hot key is spread over ``salts`` join partitions and only its right rows are
-    repeated once per salt. All rows are kept; the result equals the plain join.
+    Hot keys are looked for first, in ``probe`` or else in ``left``; name a probe
+    where ``left`` is costly to compute and a base table has the same keys. Without
+    hot keys this is the plain join. A hot key is spread over ``salts`` join
+    partitions and only its right rows are repeated once per salt. All rows are
+    kept; the result equals the plain join.
 
     The salt is a hash of the row and of the input partition, so it does not
     change when a lost task runs again, and identical copies of one row still
@@ -101,30 +121,29 @@ def skew_join(
     keys = _names(on)
     if how not in ("left_semi", "left_anti"):
         _refuse_overlap(left, right, keys)
+    found = hot_keys(left if probe is None else probe, keys, hot_share)
+    if found is None:
+        return keyed_join(left, right, keys, how, null_safe)
 
-    counts = left.groupBy(*keys).agg(F.count(F.lit(1)).alias("__rows"))
-    total = counts.agg(F.sum("__rows")).scalar()
-    hot = counts.filter(F.col("__rows") > total * F.lit(hot_share)).select(
-        *[F.col(k).alias(f"__h_{k}") for k in keys], F.lit(True).alias("__hot")
-    )
-    hot = F.broadcast(hot)  # at most 1 / hot_share rows, by the filter above
+    theirs = {k: f"__h_{k}" for k in keys}
+    hot = found.withColumnsRenamed(theirs).withColumn("__hot", F.lit(True))
 
     def marked(df: DataFrame) -> DataFrame:
-        here = [F.col(k) for k in keys]
-        there = [F.col(f"__h_{k}") for k in keys]
-        return df.join(hot, _match(here, there, True), "left").drop(*[f"__h_{k}" for k in keys])
+        same = _match([F.col(k) for k in keys], [F.col(theirs[k]) for k in keys], True)
+        # at most 1 / hot_share rows
+        return df.join(F.broadcast(hot), same, "left").drop(*theirs.values())
 
     hashable = [F.col(f"`{name}`") for name, kind in left.dtypes if "map<" not in kind and "variant" not in kind]
     row_salt = F.pmod(F.xxhash64(F.spark_partition_id(), *hashable), F.lit(salts)).cast("int")
     salted_left = marked(left).withColumn("__salt", F.when(F.col("__hot"), row_salt).otherwise(F.lit(0))).drop("__hot")
     copies = F.when(F.col("__hot"), F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))
     salted_right = marked(right).withColumn("__r_salt", F.explode(copies)).drop("__hot")
-    theirs = _their_names(keys)
-    salted_right = salted_right.withColumnsRenamed(theirs)
+    renamed = _their_names(keys)
+    salted_right = salted_right.withColumnsRenamed(renamed)
 
-    condition = _match([F.col(k) for k in keys], [F.col(theirs[k]) for k in keys], null_safe)
+    condition = _match([F.col(k) for k in keys], [F.col(renamed[k]) for k in keys], null_safe)
     joined = salted_left.join(salted_right, condition & (F.col("__salt") == F.col("__r_salt")), how)
-    return joined.drop("__salt", "__r_salt", *theirs.values())
+    return joined.drop("__salt", "__r_salt", *renamed.values())
 
 
 def lookup_first(

@@ -11,12 +11,13 @@ from pyspark.sql import functions as F
 
 from cindermap.functions.keys import INCIDENT_KEY, TRACT_LEVEL, normalize_incident_key, pad_left, summary_id, summary_level
 from cindermap.functions.values import presence_flag, safe_ratio
+from cindermap.models.fit import fit_cached
 from cindermap.models.regress import least_squares, rmse
 from cindermap.operators.aggregate import stack, three_state_counts
 from cindermap.operators.columns import numeric_columns, tag
 from cindermap.operators.filters import BUILDING_FIRE, containing, good_geocode
 from cindermap.operators.prep import mean_impute, scaled_weights
-from cindermap.operators.relate import keyed_join, keyed_lookup
+from cindermap.operators.relate import keyed_join, keyed_lookup, skew_join
 from cindermap.operators.sample import hash_split
 from cindermap.session import materialize
 
@@ -50,16 +51,22 @@ def presence_counts(
     ``by=["year"]``, a column of ``basic``, and need one plan for all of them.
     """
     key = list(INCIDENT_KEY)
+    n = F.count(F.lit(1))
+    # Each side becomes counts per key before it meets the next, so a key with very many copies
+    # (all incidents without a key, say) costs one row per side and not one row per pair.
     building = normalize_incident_key(containing(basic, "INC_TYPE", pattern).select(*key, *by))
-    detectors = normalize_incident_key(fire.select(*key, "DETECTOR", "DET_TYPE"))
-    flagged = keyed_lookup(detectors, building, key).select(
-        *key, *by, presence_flag("DETECTOR", "DET_TYPE").alias("smoke_alarm_presence")
-    )
-    places = formatted.select(*key, "row_seq").join(
+    building = building.groupBy(*key, *by).agg(n.alias("n_basic"))
+    detectors = normalize_incident_key(fire.select(*key, presence_flag("DETECTOR", "DET_TYPE").alias("present")))
+    detectors = detectors.groupBy(*key, "present").agg(n.alias("n_fire"))
+    flagged = keyed_lookup(detectors, building, key)
+    addresses = normalize_incident_key(formatted.select(*key, "row_seq"))
+    places = addresses.join(
         geocoded.filter(good_geocode("rating", "tractid")).select("row_seq", "tractid"), "row_seq", "inner"
     )
-    located = keyed_join(flagged, normalize_incident_key(places), key, "inner", null_safe=True)
-    return three_state_counts(located, ["tractid", *by], "smoke_alarm_presence", COUNT_NAMES)
+    places = places.groupBy(*key, "tractid").agg(n.alias("n_place"))
+    located = skew_join(places, flagged, key, "inner", null_safe=True, probe=addresses)
+    weight = F.col("n_place") * F.col("n_basic") * F.coalesce(F.col("n_fire"), F.lit(1))
+    return three_state_counts(located, ["tractid", *by], "present", COUNT_NAMES, weight)
 
 
 def presence_all_years(yearly: Mapping[str, DataFrame]) -> DataFrame:
@@ -105,7 +112,7 @@ def weighted_linear(
     supported = mean_impute(merged.filter(F.col("all_fire_all_years") > support), features)
     split = hash_split(supported, ["tractid"], test_share, seed)
     train = scaled_weights(split.filter(~F.col("is_test")), "all_fire_all_years", "weight")
-    model = least_squares(features, "ratio_no_alarm_in_all", "weight", "weighted_linear_pred").fit(train)
+    model = fit_cached(least_squares(features, "ratio_no_alarm_in_all", "weight", "weighted_linear_pred"), train)
 
     def scored(df: DataFrame) -> DataFrame:
         return model.transform(df).drop("features")

@@ -19,6 +19,7 @@ from cindermap.models.classify import (
     logistic_model,
     score,
 )
+from cindermap.models.fit import fit_cached
 from cindermap.operators.aggregate import share_where
 from cindermap.operators.columns import drop_matching, numeric_columns
 from cindermap.operators.filters import known
@@ -82,7 +83,7 @@ class RiskModels:
 
 
 def _fit_both(build, deaths: DataFrame, injuries: DataFrame) -> tuple[PipelineModel, PipelineModel]:
-    return build("death").fit(deaths), build("injury").fit(injuries)
+    return fit_cached(build("death"), deaths), fit_cached(build("injury"), injuries)
 
 
 def logistic_risk(deaths: DataFrame, injuries: DataFrame, tracts: DataFrame) -> RiskModels:
@@ -173,4 +174,4 @@ def prior_corrected_scores(
 def fit_casualty_forest(training: DataFrame, features: Sequence[str], trees: int = 150, depth: int = 10, seed: int = 12) -> PipelineModel:
     """M6: casualty against none, saved with ``model.write().save(path)`` and read back with ``PipelineModel.load``."""
     two = training.withColumn("target", F.when(F.col("target") == NO_CASUALTY, "none").otherwise("casualty"))
-    return forest_classifier(features, "target", trees, depth, seed).fit(two)
+    return fit_cached(forest_classifier(features, "target", trees, depth, seed), two.select("target", *features))

@@ -11,7 +11,7 @@ from cindermap.functions.keys import INCIDENT_KEY, normalize_incident_key, prefi
 from cindermap.functions.scores import rate_per
 from cindermap.operators.aggregate import coverage, distinct_keys, first_per_key
 from cindermap.operators.filters import BUILDING_FIRE, containing, known
-from cindermap.operators.relate import keyed_join, keyed_lookup
+from cindermap.operators.relate import keyed_join, skew_join
 
 
 def fires_per_tract(
@@ -28,10 +28,13 @@ def fires_per_tract(
     if dedup_incidents:
         addresses = first_per_key(addresses, key, ["row_seq"])
         building = building.distinct()
-    placed = keyed_lookup(addresses, building, key).filter(F.col("row_seq").isNotNull())
-    by_place = placed.groupBy("row_seq").agg(F.count(F.lit(1)).alias("n"))
-    located = keyed_join(by_place, geocoded.select("row_seq", "tractid"), "row_seq", "left")
-    return located.filter(F.col("tractid").isNotNull()).groupBy("tractid").agg(F.sum("n").alias("N"))
+    # Incidents become counts per key before the join: copies of a key do not multiply with its addresses.
+    per_key = building.groupBy(*key).agg(F.count(F.lit(1)).alias("n"))
+    located = keyed_join(addresses, geocoded.select("row_seq", "tractid"), "row_seq", "left")
+    per_place = located.filter(F.col("row_seq").isNotNull() & F.col("tractid").isNotNull())
+    per_place = per_place.groupBy(*key, "tractid").agg(F.count(F.lit(1)).alias("n_place"))
+    placed = skew_join(per_place, per_key, key, "inner", null_safe=True, probe=addresses)
+    return placed.groupBy("tractid").agg(F.sum(F.col("n") * F.col("n_place")).alias("N"))
 
 
 def fire_rate(by_tract: DataFrame, population: DataFrame, min_population: int = 100, per: float = 1000.0) -> DataFrame:

@@ -39,10 +39,11 @@ def blend(tables: Mapping[str, DataFrame], null_safe: bool = True, by: Sequence[
     geocoded = tables["geocoded"].select(*BLEND_COLUMNS["geocoded"])
 
     key = list(INCIDENT_KEY)
-    facts = keyed_join(basic, address, key, "left", null_safe)
-    with_facts = keyed_join(fire, facts, key, "left", null_safe)
+    # Incidents without a key can be many and share one (missing) key, hence the skew-aware joins.
+    facts = skew_join(basic, address, key, "left", null_safe)
+    with_facts = skew_join(fire, facts, key, "left", null_safe)
     located = keyed_join(formatted, geocoded, "row_seq", "left")
-    return keyed_join(with_facts, located, key, "left", null_safe)
+    return skew_join(with_facts, located, key, "left", null_safe, probe=fire)
 
 
 def blend_year(tables: Mapping[str, DataFrame], year: str, null_safe: bool = True) -> DataFrame:
@@ -73,9 +74,9 @@ def residential_by_tract(
     )
     zips = normalize_incident_key(address.select(*key, F.col("ZIP5").alias("zcta5")), tuple(key))
     # Only addresses of residential incidents get as far as the ZIP relation.
-    addressed = keyed_join(kept, zips, key, "left", null_safe=True)
+    addressed = skew_join(kept, zips, key, "left", null_safe=True)
     relation = zcta_tract.select("zcta5", "state", "county", "tract", "geoid")
-    return skew_join(addressed, relation, "zcta5", "left")
+    return skew_join(addressed, relation, "zcta5", "left", probe=zips)
 
 
 def geocoded_outcomes(
@@ -86,7 +87,9 @@ def geocoded_outcomes(
     places = keyed_join(
         _keyed(formatted, ["row_seq"]), geocoded.select("row_seq", "tabblock_id", "county", "tractid"), "row_seq", "left"
     )
-    facts = _keyed(basic, ["FF_DEATH", "OTH_DEATH", "FF_INJ", "OTH_INJ"])
-    joined = keyed_join(facts, places, key, "left", null_safe=True).filter(known("tractid"))
-    rest = [c for c in joined.columns if c not in key and c not in order_by]
-    return first_per_key(joined, key, [*order_by, *rest])
+    casualties = ["FF_DEATH", "OTH_DEATH", "FF_INJ", "OTH_INJ"]
+    located = places.filter(known("tractid"))
+    rest = [c for c in located.columns if c not in key and c not in order_by]
+    # One row per key on both sides first: the first of all pairs is the pair of the firsts.
+    facts = first_per_key(_keyed(basic, casualties), key, casualties)
+    return keyed_join(facts, first_per_key(located, key, [*order_by, *rest]), key, "inner", null_safe=True)

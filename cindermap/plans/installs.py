@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from cindermap.functions.keys import COUNTY_LEVEL, TRACT_LEVEL, pad_left, summary_id, summary_level, with_geo_parts
 from cindermap.functions.scores import capped_mean
+from cindermap.models.fit import fit_cached
 from cindermap.models.regress import LassoFit, forest_regressor, lasso_cv
 from cindermap.operators.aggregate import high_missing_columns, mode_by, strict_mean
 from cindermap.operators.columns import columns_between
@@ -69,7 +70,7 @@ def install_risk(
     ready = materialize(
         complete_cases(training, [*named, "alarm_ins_pct"]).select("fips", "alarm_ins_pct", *features), "training"
     )
-    forest = forest_regressor(features, "alarm_ins_pct", trees, seed=seed).fit(ready)
+    forest = fit_cached(forest_regressor(features, "alarm_ins_pct", trees, seed=seed), ready)
     lasso = lasso_cv(ready, features, "alarm_ins_pct", ["fips"], penalties, folds, seed)
 
     def scored(df: DataFrame) -> DataFrame:
