@@ -105,7 +105,7 @@ WITH r AS (SELECT s_nationkey, lpad(CAST(s_nationkey AS VARCHAR), 5, '0') AS fip
 s AS (SELECT fips, state, row_number() OVER (PARTITION BY fips ORDER BY COUNT(*) DESC, state) AS rn FROM r GROUP BY fips, state),
 c AS (SELECT fips, city, row_number() OVER (PARTITION BY fips ORDER BY COUNT(*) DESC, city) AS rn FROM r GROUP BY fips, city)
 SELECT r.fips, COUNT(*) AS "N", round(AVG(CASE WHEN ins > 0 THEN 1.0 ELSE 0.0 END)::DOUBLE, 6) AS alarm_ins_pct,
-  MIN(s.state) AS rc_state, MIN(c.city) AS rc_city
+  MIN(s.state) AS visit_state, MIN(c.city) AS visit_city
 FROM r JOIN s ON s.fips = r.fips AND s.rn = 1 JOIN c ON c.fips = r.fips AND c.rn = 1 GROUP BY r.fips HAVING COUNT(*) > 25""")
 def install_shares(spark, folder):
     """PL-1A target: K4, A5, A6, F7."""

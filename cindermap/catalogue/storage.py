@@ -90,7 +90,7 @@ def titled_file(spark, folder):
     path = scratch_path(spark, "titled")
     s = table(spark, folder, "supplier")
     line = F.concat_ws(",", F.lpad(text("s_nationkey"), 5, "0"), F.lit("r"), F.lit("region"), text("s_suppkey"), "s_name", F.lit("county"))
-    top = spark.range(1).select(F.explode(F.array(F.lit("Alignment master"), F.lit(",".join(CHAPTER_CROSSWALK.names)))).alias("value"))
+    top = spark.range(1).select(F.explode(F.array(F.lit("Chapter list"), F.lit(",".join(CHAPTER_CROSSWALK.names)))).alias("value"))
     top.unionByName(s.select(line.alias("value"))).write.text(path)
     rows = read_below_title(spark, path, CHAPTER_CROSSWALK, "county_fips", "^[0-9]{5}$")
     return rows.select("county_fips", "chapter_code", "chapter_name")

@@ -3,8 +3,8 @@
 ``percentile`` keeps every distinct value of a group in one buffer, which does not
 scale. Here a sketch with a guaranteed rank error brackets each requested rank, a
 second pass counts exactly what lies below each bracket, and only the values inside
-the brackets (about ``6 / accuracy`` of the rows per quantile) are looked at in order.
-The result is the exact order statistic, interpolated linearly between neighbours.
+the brackets (about ``6 / accuracy`` of the rows per quantile) are looked at in order,
+each bracket in slices of equal width. The result is the exact order statistic, interpolated linearly between neighbours.
 """
 
 from __future__ import annotations
@@ -19,7 +19,8 @@ from pyspark.sql import functions as F
 from cindermap.functions.values import col, nan_to_null
 from cindermap.operators.aggregate import column_stats
 
-ACCURACY = 10_000
+ACCURACY = 1_000
+SLICES = 256  # parts of one bracket that are ordered separately
 
 
 def _columns(columns: Sequence[str] | Mapping[str, Column]) -> dict[str, Column]:
@@ -64,30 +65,34 @@ def exact_quantiles(
     x, k = F.col("x"), len(ordered)
     opened = reduce(add, [(x >= F.get("ends", F.lit(j))).cast("int") for j in range(k)])
     closed = reduce(add, [(x > F.get("ends", F.lit(k + j))).cast("int") for j in range(k)])
-    placed = long.filter(x.isNotNull()).select("i", "x", opened.alias("opened"), closed.alias("closed"))
+    placed = long.filter(x.isNotNull()).select("i", "x", "ends", opened.alias("opened"), closed.alias("closed"))
+    # Inside, x lies between the last opening and the next closing end; its slice grows with x.
+    inside = F.col("opened") > F.col("closed")
+    lo, hi = F.get("ends", F.col("opened") - 1), F.get("ends", F.col("closed") + k)
+    slice_of = F.least(F.floor(F.try_divide(x - lo, hi - lo) * SLICES), F.lit(SLICES - 1))
+    placed = placed.select(
+        "i",
+        "x",
+        (F.col("opened") + F.col("closed")).alias("region"),
+        F.coalesce(F.when(inside, slice_of), F.lit(0)).alias("slice"),
+        F.when(inside, x).alias("value"),
+    )
 
     # One pass counts everything: a gap between brackets is one row, a bracket one row per distinct value.
-    counted = (
-        placed.groupBy(
-            "i",
-            (F.col("opened") + F.col("closed")).alias("region"),
-            F.when(F.col("opened") > F.col("closed"), x).alias("value"),
-        )
-        .agg(F.count(F.lit(1)).alias("m"), F.min("x").alias("first"), F.max("x").alias("last"))
+    part = ["i", "region", "slice"]
+    counted = placed.groupBy(*part, "value").agg(
+        F.count(F.lit(1)).alias("m"), F.min("x").alias("first"), F.max("x").alias("last")
     )
-    # At most (2 * len(probs) + 1) rows per column.
-    regions = counted.groupBy("i", "region").agg(F.sum("m").alias("size"))
-    order = Window.partitionBy("i").orderBy("region")
-    starts = regions.select(
-        "i",
-        "region",
+    # At most (2 * len(probs) + 1) * SLICES rows per column.
+    sizes = counted.groupBy(*part).agg(F.sum("m").alias("size"))
+    order = Window.partitionBy("i").orderBy("region", "slice")
+    starts = sizes.select(
+        *part,
         (F.sum("size").over(order) - F.col("size")).alias("start"),
         F.sum("size").over(Window.partitionBy("i")).alias("n"),
     )
-    inside = Window.partitionBy("i", "region").orderBy("value")
-    rows = counted.withColumn("upto", F.sum("m").over(inside.rowsBetween(Window.unboundedPreceding, 0))).join(
-        F.broadcast(starts), ["i", "region"]
-    )
+    upto = Window.partitionBy(*part).orderBy("value").rowsBetween(Window.unboundedPreceding, 0)
+    rows = counted.withColumn("upto", F.sum("m").over(upto)).join(F.broadcast(starts), part)
     cum = F.col("start") + F.col("upto")
     rows = rows.select("i", "n", "first", "last", (cum - F.col("m") + 1).alias("from_rank"), cum.alias("to_rank"))
 
@@ -109,9 +114,9 @@ def exact_quantiles(
         .when(F.col("first") == F.col("last"), F.col("first"))
         .otherwise(F.raise_error(F.lit("quantile bracket missed its rank")).cast("double"))
     )
-    part = F.max(place - F.floor(place)) if method == "linear" else F.lit(0.0)
+    rest = F.max(place - F.floor(place)) if method == "linear" else F.lit(0.0)
     found = held.groupBy("i", "prob").agg(
-        F.min(value).alias("lo"), F.max(value).alias("hi"), part.alias("part")
+        F.min(value).alias("lo"), F.max(value).alias("hi"), rest.alias("part")
     )
     asked = F.array(
         *[

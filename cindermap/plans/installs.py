@@ -26,7 +26,7 @@ def install_share(installs: DataFrame, support: int = 25) -> DataFrame:
         F.count(F.lit(1)).alias("N"),
         strict_mean((F.col("alarms_ins") > 0).cast("double")).alias("alarm_ins_pct"),
     )
-    named = mode_by(padded, "fips", ["state", "city"]).withColumnsRenamed({"state": "rc_state", "city": "rc_city"})
+    named = mode_by(padded, "fips", ["state", "city"]).withColumnsRenamed({"state": "visit_state", "city": "visit_city"})
     return keyed_join(shares.filter(F.col("N") > support), named, "fips", "left", null_safe=True)
 
 

@@ -72,7 +72,7 @@ def test_parts_title_and_round_trip(spark, tmp_path):
     write(tmp_path / "parts" / "a.csv", "1,47.1,-122.2,530330001001\n")
     write(tmp_path / "parts" / "b.csv", "2,,-122.3,error\n")
     assert rows(S.read_parts(spark, str(tmp_path / "parts"), layout("id lat lon block"))) == [("1", "47.1", "-122.2", "530330001001"), ("2", None, "-122.3", "error")]
-    titled = write(tmp_path / "t.csv", "Alignment master,,,,,\nCounty FIPS,a,b,c,d,e\n01001,r,R,c,C,Autauga\n")
+    titled = write(tmp_path / "t.csv", "Chapter list,,,,,\nCounty FIPS,a,b,c,d,e\n01001,r,R,c,C,Autauga\n")
     assert rows(S.read_below_title(spark, titled, CHAPTER_CROSSWALK, "county_fips", "^[0-9]{5}$")) == [("01001", "r", "R", "c", "C", "Autauga")]
     df = spark.createDataFrame([("01", 1.5), (None, 2.0)], "id string, x double")
     S.write_delimited(df, str(tmp_path / "out"), sep="\t")
