@@ -99,6 +99,18 @@ def survey_states(spark, folder):
     return block_risk.households_by_state(block_risk.clean_survey(_survey(spark, folder), _state_codes(spark, folder)))
 
 
+@query("""
+SELECT c_custkey, upper(substring(r_name, 1, 3)) AS abb, lpad(CAST(r_regionkey AS VARCHAR), 2, '0') AS state_num
+FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON r_regionkey = n_regionkey""")
+def state_numbers(spark, folder):
+    """State abbreviations to numbers through the first county of each state."""
+    nation = table(spark, folder, "nation").join(table(spark, folder, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
+    counties = nation.select((F.col("n_regionkey") * 1000 + F.col("n_nationkey")).alias("fips"), F.lower(F.substring("r_name", 1, 3)).alias("acronym"))
+    people = table(spark, folder, "customer").join(nation, F.col("c_nationkey") == F.col("n_nationkey"))
+    coded = people.select("c_custkey", F.upper(F.substring("r_name", 1, 3)).alias("abb"))
+    return block_risk.with_state_number(coded, "abb", counties)
+
+
 @query("""
 WITH r AS (SELECT s_nationkey, lpad(CAST(s_nationkey AS VARCHAR), 5, '0') AS fips, l_returnflag AS state, l_linestatus AS city,
     l_quantity - 10 AS ins FROM lineitem JOIN supplier ON s_suppkey = l_suppkey),

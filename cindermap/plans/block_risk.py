@@ -10,6 +10,7 @@ from cindermap.functions.values import strip_ticks
 from cindermap.operators.aggregate import (
     collect_unique,
     counts_by,
+    first_per_key,
     share_where,
     strict_mean,
     with_group_value,
@@ -74,6 +75,18 @@ def clean_survey(survey: DataFrame, state_fips: DataFrame, support: int = 30) ->
     return with_min_support(named, ["COUNTY", "STATE"], support)
 
 
+def with_state_number(df: DataFrame, column: str, counties: DataFrame, out: str = "state_num") -> DataFrame:
+    """Two-digit state number of a state abbreviation, whatever its case.
+
+    ``counties`` has ``fips, acronym``, one row per county; the first county of a state names it.
+    """
+    states = counties.select(
+        F.substring(pad_left("fips", 5), 1, 2).alias(out), F.upper("acronym").alias("__code"), pad_left("fips", 5).alias("__fips")
+    )
+    coded = df.withColumn("__code", F.upper(column))
+    return lookup_first(coded, first_per_key(states, out, ["__fips"]), "__code", [out], [out]).drop("__code")
+
+
 def states_of_county_codes(households: DataFrame) -> DataFrame:
     """County codes occur in many states, so a county is a (county, state) pair."""
     return collect_unique(households, "COUNTY", "abb", "states")
