@@ -77,17 +77,25 @@ def keyed_lookup(x: DataFrame, y: DataFrame, on: str | Sequence[str], null_safe:
     return joined.select(*keys, *rest)
 
 
-def hot_keys(df: DataFrame, on: str | Sequence[str], hot_share: float = 0.005) -> DataFrame | None:
+def hot_keys(df: DataFrame, on: str | Sequence[str], hot_share: float = 0.005, buckets: int = 1 << 16) -> DataFrame | None:
     """Keys with more than ``hot_share`` of the rows, or None when there are none.
 
-    One pass over the key columns, combined on the map side. There can be at most
-    ``1 / hot_share`` such keys, so the answer is kept as a local table: plans that
-    use it do not compute it again.
+    Rows are counted per hash bucket of the key first, so keys that are mostly
+    unique are never shuffled; a hot key makes its bucket hot, and only the rows of
+    hot buckets are counted per key. There can be at most ``1 / hot_share`` hot
+    keys, so the answer is kept as a local table: plans that use it do not compute
+    it again.
     """
     keys = _names(on)
-    counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("__rows"))
-    total = counts.agg(F.sum("__rows")).scalar()
-    rows = counts.filter(F.col("__rows") > total * F.lit(hot_share)).select(*keys).collect()
+    n = F.count(F.lit(1))
+    bucket = F.pmod(F.xxhash64(*[F.col(k) for k in keys]), F.lit(buckets))
+    sizes = df.groupBy(bucket.alias("__bucket")).agg(n.alias("__rows"))
+    total = sizes.agg(F.sum("__rows")).scalar()
+    large = sizes.withColumn("__limit", total * F.lit(hot_share)).filter("__rows > __limit").collect()
+    if not large:
+        return None
+    suspects = df.filter(bucket.isin([r["__bucket"] for r in large])).groupBy(*keys).agg(n.alias("__rows"))
+    rows = suspects.filter(F.col("__rows") > F.lit(large[0]["__limit"])).select(*keys).collect()
     if not rows:
         return None
     schema = T.StructType([T.StructField(k, df.schema[k].dataType) for k in keys])
