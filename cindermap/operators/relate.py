@@ -111,11 +111,13 @@ def skew_join(
     hot_share: float = 0.005,
     salts: int = 64,
     probe: DataFrame | None = None,
+    hot: DataFrame | None | str = "find",
 ) -> DataFrame:
     """Equi-join for a left side in which single keys may hold a large share of the rows.
 
     Hot keys are looked for first, in ``probe`` or else in ``left``; name a probe
-    where ``left`` is costly to compute and a base table has the same keys. Without
+    where ``left`` is costly to compute and a base table has the same keys, or pass
+    the answer of :func:`hot_keys` as ``hot`` where it serves several joins. Without
     hot keys this is the plain join. A hot key is spread over ``salts`` join
     partitions and only its right rows are repeated once per salt. All rows are
     kept; the result equals the plain join.
@@ -129,17 +131,17 @@ def skew_join(
     keys = _names(on)
     if how not in ("left_semi", "left_anti"):
         _refuse_overlap(left, right, keys)
-    found = hot_keys(left if probe is None else probe, keys, hot_share)
+    found = hot_keys(left if probe is None else probe, keys, hot_share) if isinstance(hot, str) else hot
     if found is None:
         return keyed_join(left, right, keys, how, null_safe)
 
     theirs = {k: f"__h_{k}" for k in keys}
-    hot = found.withColumnsRenamed(theirs).withColumn("__hot", F.lit(True))
+    marks = found.withColumnsRenamed(theirs).withColumn("__hot", F.lit(True))
 
     def marked(df: DataFrame) -> DataFrame:
         same = _match([F.col(k) for k in keys], [F.col(theirs[k]) for k in keys], True)
         # at most 1 / hot_share rows
-        return df.join(F.broadcast(hot), same, "left").drop(*theirs.values())
+        return df.join(F.broadcast(marks), same, "left").drop(*theirs.values())
 
     hashable = [F.col(f"`{name}`") for name, kind in left.dtypes if "map<" not in kind and "variant" not in kind]
     row_salt = F.pmod(F.xxhash64(F.spark_partition_id(), *hashable), F.lit(salts)).cast("int")

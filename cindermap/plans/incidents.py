@@ -11,7 +11,7 @@ from cindermap.functions.keys import INCIDENT_KEY, normalize_incident_key
 from cindermap.operators.aggregate import first_per_key, stack
 from cindermap.operators.columns import tag
 from cindermap.operators.filters import known, residential
-from cindermap.operators.relate import keyed_join, skew_join
+from cindermap.operators.relate import hot_keys, keyed_join, skew_join
 
 BLEND_COLUMNS = {
     "basic": ["INC_TYPE", "ALARM", "FF_DEATH", "OTH_DEATH", "DET_ALERT"],
@@ -40,10 +40,11 @@ def blend(tables: Mapping[str, DataFrame], null_safe: bool = True, by: Sequence[
 
     key = list(INCIDENT_KEY)
     # Incidents without a key can be many and share one (missing) key, hence the skew-aware joins.
+    hot = hot_keys(fire, key)
     facts = skew_join(basic, address, key, "left", null_safe)
-    with_facts = skew_join(fire, facts, key, "left", null_safe)
+    with_facts = skew_join(fire, facts, key, "left", null_safe, hot=hot)
     located = keyed_join(formatted, geocoded, "row_seq", "left")
-    return skew_join(with_facts, located, key, "left", null_safe, probe=fire)
+    return skew_join(with_facts, located, key, "left", null_safe, hot=hot)
 
 
 def blend_year(tables: Mapping[str, DataFrame], year: str, null_safe: bool = True) -> DataFrame:
