@@ -53,7 +53,7 @@ SQL["op1_mixing"] = _mixing()
 # crc32 by half bytes, low half first. The checksum's table for half bytes.
 _CRC_TABLE = "[0, 498536548, 997073096, 651767980, 1994146192, 1802195444, 1303535960, 1342533948, 3988292384, 4027552580, 3604390888, 3412177804, 2607071920, 2262029012, 2685067896, 3183342108]"
 _CRC = f"""xor(4294967295, list_reduce(list_prepend(4294967295::BIGINT, list_transform(regexp_extract_all(regexp_replace(hex(encode(coalesce(text, ''))), '(.)(.)', '\\2\\1', 'g'), '.'),
-    h -> CAST(instr('0123456789ABCDEF', h) - 1 AS BIGINT))), (c, h) -> xor(c >> 4, ({_CRC_TABLE}::BIGINT[])[xor(c & 15, h) + 1])))"""
+    lambda h: CAST(instr('0123456789ABCDEF', h) - 1 AS BIGINT))), lambda c, h: xor(c >> 4, ({_CRC_TABLE}::BIGINT[])[xor(c & 15, h) + 1])))"""
 
 SQL["op2_sharding"] = f"""
     WITH sized AS (SELECT doc_id, CAST(coalesce(octet_length(encode(text)), 0) + 8 AS BIGINT) AS size, {_CRC} AS text_crc32 FROM documents),
@@ -65,7 +65,7 @@ SQL["op2_sharding"] = f"""
 SQL["op3_ngram_jaccard"] = r"""
     WITH RECURSIVE worded AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
     sets AS (SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 3 THEN [array_to_string(w, ' ')]
-        ELSE list_distinct(list_transform(range(1, len(w) - 1), i -> w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) END AS s FROM worded),
+        ELSE list_distinct(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) END AS s FROM worded),
     tokens AS (SELECT doc_id, unnest(s) AS token FROM sets),
     sizes AS (SELECT doc_id, len(s) AS n FROM sets),
     overlap AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS shared FROM tokens a JOIN tokens b ON a.token = b.token AND a.doc_id <> b.doc_id GROUP BY ALL),
@@ -109,19 +109,19 @@ SQL["op5_license_scan"] = _licenses()
 SQL["op7_line_dedup"] = r"""
     WITH split AS (SELECT doc_id, text, string_split(text, chr(10)) AS l FROM documents WHERE text IS NOT NULL),
     lines AS (SELECT doc_id, unnest(l) AS line, generate_subscripts(l, 1) AS pos FROM split),
-    full_lines AS (SELECT doc_id, pos, trim(line) AS line, row_number() OVER (PARTITION BY doc_id ORDER BY pos) AS at FROM lines WHERE trim(line) <> ''),
-    windows AS (SELECT a.doc_id, a.at, a.line || chr(10) || b.line || chr(10) || c.line AS w, [a.pos, b.pos, c.pos] AS ps FROM full_lines a
-        JOIN full_lines b ON b.doc_id = a.doc_id AND b.at = a.at + 1 JOIN full_lines c ON c.doc_id = a.doc_id AND c.at = a.at + 2),
-    firsts AS (SELECT w, min((doc_id, at)) AS f FROM windows GROUP BY w HAVING count(*) > 1),
-    later AS (SELECT doc_id, CASE WHEN doc_id = f[1] AND at - f[2] < 3 THEN ps[4 - (at - f[2]):3] ELSE ps END AS ps FROM windows JOIN firsts USING (w) WHERE (doc_id, at) <> f),
+    full_lines AS (SELECT doc_id, pos, trim(line) AS line, row_number() OVER (PARTITION BY doc_id ORDER BY pos) AS place FROM lines WHERE trim(line) <> ''),
+    windows AS (SELECT a.doc_id, a.place, a.line || chr(10) || b.line || chr(10) || c.line AS w, [a.pos, b.pos, c.pos] AS ps FROM full_lines a
+        JOIN full_lines b ON b.doc_id = a.doc_id AND b.place = a.place + 1 JOIN full_lines c ON c.doc_id = a.doc_id AND c.place = a.place + 2),
+    firsts AS (SELECT w, min((doc_id, place)) AS f FROM windows GROUP BY w HAVING count(*) > 1),
+    later AS (SELECT doc_id, CASE WHEN doc_id = f[1] AND place - f[2] < 3 THEN ps[4 - (place - f[2]):3] ELSE ps END AS ps FROM windows JOIN firsts USING (w) WHERE (doc_id, place) <> f),
     gone AS (SELECT DISTINCT doc_id, unnest(ps) AS pos FROM later),
     kept AS (SELECT doc_id, string_agg(line, chr(10) ORDER BY pos) AS text FROM lines ANTI JOIN gone USING (doc_id, pos) GROUP BY doc_id)
     SELECT d.doc_id, CASE WHEN d.text IS NOT NULL THEN coalesce(k.text, '') END AS text, length(CASE WHEN d.text IS NOT NULL THEN coalesce(k.text, '') END) AS n_chars
     FROM documents d LEFT JOIN kept k ON k.doc_id = d.doc_id"""
 
 SQL["op8_top_k"] = """
-    WITH v AS (SELECT vec_id, list_transform(embedding, x -> CAST(floor(64 * CAST(x AS DOUBLE)) AS BIGINT)) AS e FROM embeddings
-        WHERE embedding IS NOT NULL AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0),
+    WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(64 * CAST(x AS DOUBLE)) AS BIGINT)) AS e FROM embeddings
+        WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
     scored AS (SELECT q.vec_id AS query_id, c.vec_id AS vec_id, CAST(list_dot_product(CAST(q.e AS DOUBLE[]), CAST(c.e AS DOUBLE[])) AS BIGINT) AS score
         FROM v q JOIN v c ON q.vec_id % 20 = 0 AND q.vec_id <> c.vec_id),
     ranked AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM scored)
@@ -129,9 +129,9 @@ SQL["op8_top_k"] = """
 
 SQL["op10_quality_rules"] = rf"""
     WITH w AS (SELECT doc_id, coalesce(text, '') AS text, {_WORDS} AS w FROM documents),
-    windows AS (SELECT doc_id, unnest(range(1, greatest(len(w) - 3, 1))) AS i, unnest(list_transform(range(1, greatest(len(w) - 3, 1)), i -> array_to_string(w[i:i + 4], ' '))) AS win FROM w),
+    windows AS (SELECT doc_id, unnest(range(1, greatest(len(w) - 3, 1))) AS i, unnest(list_transform(range(1, greatest(len(w) - 3, 1)), lambda i: array_to_string(w[i:i + 4], ' '))) AS win FROM w),
     often AS (SELECT doc_id, win FROM windows GROUP BY ALL HAVING count(*) > 1),
-    covered AS (SELECT doc_id, count(DISTINCT at) AS n FROM (SELECT doc_id, unnest(range(i, i + 5)) AS at FROM windows SEMI JOIN often USING (doc_id, win)) GROUP BY doc_id),
+    covered AS (SELECT doc_id, count(DISTINCT place) AS n FROM (SELECT doc_id, unnest(range(i, i + 5)) AS place FROM windows SEMI JOIN often USING (doc_id, win)) GROUP BY doc_id),
     lines AS (SELECT doc_id, line FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM w) WHERE regexp_matches(line, '[^\x20\x09-\x0D]')),
     dup AS (SELECT doc_id, count(*) AS n_lines, count(*) - count(DISTINCT line) AS n FROM lines GROUP BY doc_id),
     measured AS (SELECT w.doc_id, len(w) AS n_words, CAST(length(regexp_replace(text, '[\x20\x09-\x0D]+', '', 'g')) AS BIGINT) AS word_chars,
