@@ -25,13 +25,14 @@ def running_totals(df: DataFrame, value: str, order: Sequence[str | Column], gro
     before a range comes from one row per range and group (their number is at most ranges
     plus groups). Rows that tie in ``order`` follow in the order in which they are read.
     Nulls in ``value`` count as 0, null groups are a group, null orders come first.
-    Select the columns first: all are written to the shared folder once.
+    Select the columns first: all are written to the shared folder, as they come and once more by range.
     """
     spark = df.sparkSession
     order = [F.col(o).asc_nulls_first() if isinstance(o, str) else o for o in order]
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     tied = df.withColumns({"__tie": F.monotonically_increasing_id(), "__v": F.coalesce(F.col(value), F.lit(0)).cast("long")})
-    ranged = tied.repartitionByRange(n, *group, *order, "__tie").withColumn("__part", F.spark_partition_id())
+    # finding the ranges reads the rows once more, so what makes them must not run twice
+    ranged = materialize(tied, "rows").repartitionByRange(n, *group, *order, "__tie").withColumn("__part", F.spark_partition_id())
     stored = materialize(ranged, "ranges")
 
     sizes = stored.groupBy("__part", *group).agg(F.sum("__v").alias("__sum"), F.count(F.lit(1)).alias("__n"))

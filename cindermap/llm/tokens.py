@@ -7,7 +7,7 @@ import struct
 
 from tokenizers import Tokenizer
 
-_CACHE_WORDS = 500_000  # bounds the memory of a worker; a full cache starts anew
+_CACHE_WORDS = 300_000  # bounds the memory of a worker; a full cache starts anew and takes over what is met again
 _MARKS = ".,;:!?"
 _LATIN = re.compile(r"[A-Za-zÀ-ÖØ-öø-ÿ]+")
 _CUT = re.compile(r"(?<=\S)(?= \S)")  # where a single space stands between two other characters
@@ -32,12 +32,21 @@ class _Words(dict):
         self.tokenizer, self.model, self.letters = tokenizer, tokenizer.model, _byte_letters()
         self.before, self.lower, self.lead = before, lower, before.encode().decode("latin-1").translate(self.letters)
         self.marks = {m: self._model(m) for m in _MARKS}
+        self.former: dict[str, bytes] = {}
+
+    def bound(self) -> None:
+        if len(self) > _CACHE_WORDS:
+            self.former = dict(self)
+            self.clear()
 
     def _model(self, spelled: str) -> bytes:
         return _packed([t.id for t in self.model.tokenize(spelled)])
 
     def __missing__(self, word: str) -> bytes:
-        if word[-1:] in self.marks and _LATIN.fullmatch(word, 0, len(word) - 1):
+        ids = self.former.get(word)
+        if ids is not None:
+            pass
+        elif word[-1:] in self.marks and _LATIN.fullmatch(word, 0, len(word) - 1):
             ids = self[word[:-1]] + self.marks[word[-1]]  # letters and a mark never merge
         elif not _LATIN.fullmatch(word):
             ids = _packed(self.tokenizer.encode(self.before + word, add_special_tokens=False).ids)
@@ -71,9 +80,8 @@ class _Encoder:
         return self.first[words[0]] + b"".join(map(self.rest.__getitem__, words[1:]))
 
     def __call__(self, text: str) -> bytes:
-        for known in (self.first, self.rest):
-            if len(known) > _CACHE_WORDS:
-                known.clear()
+        self.first.bound()
+        self.rest.bound()
         words = text.split()
         if not self.leading_space:
             # the library takes the separators 1C to 1F for letters, Python for white space
