@@ -65,6 +65,7 @@ def dedup_lines(docs: DataFrame, size: int = 3, key: str = "doc_id", text: str =
     removed = materialize(covered_lines(docs, size, key, text), "covered").select(
         F.col("key").alias("__key"), F.col("text_digest").alias("__digest"), F.col("removed").alias("__removed")
     )
-    joined = docs.join(removed, F.col(key).eqNullSafe(F.col("__key")) & (F.md5(F.col(text).cast("binary")) == F.col("__digest")), "left")
+    # what is removed grows with the documents, so both sides are dealt by key at every size
+    joined = docs.join(removed.hint("merge"), F.col(key).eqNullSafe(F.col("__key")) & (F.md5(F.col(text).cast("binary")) == F.col("__digest")), "left")
     kept = F.array_join(F.filter(F.split(F.col(text), "\n", -1), lambda line, i: ~F.array_contains(F.col("__removed"), i)), "\n")
     return joined.withColumn(text, F.when(F.col("__removed").isNull(), F.col(text)).otherwise(kept)).select(*docs.columns)
