@@ -31,13 +31,13 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     """
     classes = jaccard.similar(docs, size=5, num=8, den=10)
     gone = classes.filter((F.col("n_shingles") > 0) & (F.col("doc_id") != F.col("component_id"))).select(F.col("doc_id").alias("__gone")).distinct()
-    return docs.join(gone, F.col("doc_id") == F.col("__gone"), "left_anti").select(*docs.columns)
+    return docs.join(gone.hint("merge"), F.col("doc_id") == F.col("__gone"), "left_anti").select(*docs.columns)
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in the target weights of the tree; each is taken once at most, so no copies come back."""
     taken = mixing.mix(with_domain(docs), LEVELS, tree_weights(), MIX_PERCENT, 1, SEED).select(F.col("doc_id").alias("__taken"))
-    return docs.join(materialize(taken.distinct(), "taken"), F.col("doc_id").eqNullSafe(F.col("__taken")), "left_semi").select(*docs.columns)
+    return docs.join(materialize(taken.distinct(), "taken").hint("merge"), F.col("doc_id").eqNullSafe(F.col("__taken")), "left_semi").select(*docs.columns)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
