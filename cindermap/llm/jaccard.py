@@ -20,7 +20,7 @@ BUCKETS = 2048  # token buckets of the bit matrix; a power of two
 ZONE = 1.6  # share of all tokens, as a multiple of 1 - threshold, that the matrix looks at
 LIGHT = 16  # nodes of one token whose pairs are rows of a join
 BLOCK = 2048  # nodes of one token that are compared with as many others in one task
-_CACHE_WORDS = 400_000  # bounds the memory of a worker; a full cache starts anew
+_CACHE_WORDS = 100_000  # bounds the memory of a worker; a full cache starts anew
 _HASHES: dict[bytes, int] = {}
 _M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 

@@ -7,7 +7,7 @@ import struct
 
 from tokenizers import Tokenizer
 
-_CACHE_WORDS = 300_000  # bounds the memory of a worker; a full cache starts anew and takes over what is met again
+_CACHE_WORDS = 100_000  # bounds the memory of a worker; a full cache starts anew and takes over what is met again
 _MARKS = ".,;:!?"
 _LATIN = re.compile(r"[A-Za-zÀ-ÖØ-öø-ÿ]+")
 _CUT = re.compile(r"(?<=\S)(?= \S)")  # where a single space stands between two other characters
