@@ -54,7 +54,7 @@ def draw_with_replacement(
     and meets its row by an equi-join on that number.
     """
     spark = df.sparkSession
-    classes = sorted(sizes, key=str)
+    classes = sorted(sizes, key=lambda c: (c is not None, c))  # the order of the numbered rows: by value, missing first
     indexed = dense_index(df, [target, *keys], "__row")
     # Rows are in (class, key) order, so each class is one run whose start follows from the class sizes.
     start, draw_start, starts, limits = 0, 0, {}, []
@@ -86,11 +86,16 @@ def draw_without_replacement(
         if n > sizes.get(c, 0):
             raise ValueError(f"class {c!r} has {sizes.get(c, 0)} rows, {n} wanted without replacement")
     h = key_hash(keys, seed)
-    cuts = _hash_cuts(df, h, target, {c: wanted[c] / sizes[c] for c in wanted if 0 < wanted[c]})
+    cuts = _hash_cuts(df, h, target, {c: (wanted[c] - 0.5) / sizes[c] for c in wanted if 0 < wanted[c]})  # half a row off: no rounding passes a rank
     kept = df.withColumn("__cuts", cuts).filter(h <= F.col("__cuts")[F.col(target).cast("string")])
     return kept.drop("__cuts").withColumn("draw_id", key_hash(keys, seed))
 
 
+def _as_text(value: object) -> str:
+    """A class as Spark's cast to text writes it."""
+    return str(value).lower() if isinstance(value, bool) else str(value)
+
+
 def _hash_cuts(df: DataFrame, h: Column, target: str, shares: Mapping[str, float]) -> Column:
     """Scalar map: class -> the hash of rank ``ceil(share * rows)`` within the class."""
     classes = list(shares)
@@ -99,7 +104,7 @@ def _hash_cuts(df: DataFrame, h: Column, target: str, shares: Mapping[str, float
         members = [c for c in classes if shares[c] == share]
         part = exact_quantiles(
             df,
-            {str(c): F.when(F.col(target) == F.lit(c), h) for c in members},
+            {_as_text(c): F.when(F.col(target) == F.lit(c), h) for c in members},
             [share],
             method="inverse",
         )
@@ -142,12 +147,12 @@ def hash_split(df: DataFrame, keys: Sequence[str], test_share: float, seed: int
 def stratified_split(
     df: DataFrame, target: str, keys: Sequence[str], train_share: float = 0.8, seed: int = 12, out: str = "is_train"
 ) -> DataFrame:
-    """Mark ``ceil(train_share * rows)`` rows of every class as training rows (keys must be unique)."""
+    """Mark ``ceil(train_share * rows)`` rows of every class as training rows (keys must be unique); rows without a class are none."""
     sizes = class_sizes(df, target)
     h = key_hash(keys, seed)
     cuts = _hash_cuts(df, h, target, {c: train_share for c in sizes if c is not None})
     marked = df.withColumn("__cuts", cuts)
-    return marked.withColumn(out, h <= F.col("__cuts")[F.col(target).cast("string")]).drop("__cuts")
+    return marked.withColumn(out, F.coalesce(h <= F.col("__cuts")[F.col(target).cast("string")], F.lit(False))).drop("__cuts")
 
 
 def with_fold(df: DataFrame, keys: Sequence[str], folds: int, seed: int = 12, out: str = "fold") -> DataFrame:

@@ -128,7 +128,9 @@ class DbfReader(DataSourceReader):
                 count = min(RECORDS_PER_BATCH, part.stop - start)
                 f.seek(layout.header_bytes + start * layout.record_bytes)
                 raw = np.frombuffer(f.read(count * layout.record_bytes), dtype=np.uint8)
-                rows = raw[: len(raw) // layout.record_bytes * layout.record_bytes].reshape(-1, layout.record_bytes)
+                if len(raw) < count * layout.record_bytes:
+                    raise ValueError(f"{part.path} ends within record {start + len(raw) // layout.record_bytes}, before the number its header gives")
+                rows = raw.reshape(-1, layout.record_bytes)
                 rows = rows[rows[:, 0] != ord("*")]
                 columns = []
                 for wanted in self.schema.fields:
