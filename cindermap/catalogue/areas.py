@@ -176,7 +176,7 @@ def point_in_polygon(spark, folder):
     pts = table(spark, folder, "events").select(
         "event_id", F.when(there, F.col("value")).alias("lon"), (F.col("user_id") / 10.0 + 0.03).alias("lat")
     )
-    return assign_polygon(pts, _polygons(spark, folder), "event_id", cell=1.0).select("event_id", "geoid")
+    return assign_polygon(pts, _polygons(spark, folder), cell=1.0).select("event_id", "geoid")
 
 
 @query("""

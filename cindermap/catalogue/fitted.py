@@ -136,7 +136,7 @@ def alarm_model(spark, folder):
 
 def _casualty_data(spark, folder):
     basic, _, formatted, geocoded = _tables(spark, folder)
-    outcomes = materialize(geocoded_outcomes(basic, formatted, geocoded), "outcomes")
+    outcomes = materialize(geocoded_outcomes(basic, formatted, geocoded, ["ALARM"]), "outcomes")
     features = materialize(_tract_table(spark, folder), "features")
     data = {e: casualty.binary_dataset(outcomes, features, e, c, n=None) for e, c in (("death", "OTH_DEATH"), ("injury", "OTH_INJ"))}
     return data, features
@@ -168,7 +168,7 @@ def _casualty_profile(spark, folder):
 
 def _casualty_fit(spark, folder):
     basic, _, formatted, geocoded = _tables(spark, folder)
-    outcomes = materialize(geocoded_outcomes(basic, formatted, geocoded).withColumnRenamed("tractid", "geoid"), "outcomes")
+    outcomes = materialize(geocoded_outcomes(basic, formatted, geocoded, ["ALARM"]).withColumnRenamed("tractid", "geoid"), "outcomes")
     profile = materialize(_casualty_profile(spark, folder), "profile")
     keys = ["STATE", "FDID", "INC_DATE", "INC_NO", "EXP_NO"]
     training, _audit = casualty.casualty_training(outcomes, profile, keys, "civic")

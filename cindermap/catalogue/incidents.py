@@ -150,10 +150,12 @@ SELECT nullif(o_orderstatus, 'P') AS "STATE", CAST(o_custkey AS VARCHAR) AS "FDI
     WHEN o_totalprice > 400000 THEN 'inj' ELSE 'no_inj' END AS three
 FROM orders JOIN t ON o_custkey = c_custkey WHERE c_acctbal >= 0""")
 def casualty_outcomes(spark, folder):
-    """PL-3A-D: J2, J1, F3, W2, P7: one geocoded row per incident with its target; each address is listed twice."""
+    """PL-3A-D: J2, J1, F3, W2, P7: one geocoded row per incident with its target; each address is listed twice, each incident again without harm."""
     basic, _, formatted, geocoded = _tables(spark, folder)
+    later = basic.withColumns({"seq": F.lit(1), "OTH_DEATH": F.lit(0).cast("long"), "OTH_INJ": F.lit(0).cast("long")})
+    basic = basic.withColumn("seq", F.lit(0)).unionByName(later)
     again = formatted.withColumn("row_seq", F.col("row_seq") + 0)
-    out = geocoded_outcomes(basic, formatted.unionByName(again), geocoded)
+    out = geocoded_outcomes(basic, formatted.unionByName(again), geocoded, ["seq"])
     return out.select("STATE", "FDID", "INC_NO", "tractid", binary_target("death", "OTH_DEATH").alias("two"),
                       casualty_target().alias("three"))
 

@@ -46,8 +46,8 @@ def coefficients(model: PipelineModel, features: Sequence[str], spark) -> DataFr
     return spark.createDataFrame(rows, "term string, coefficient double")
 
 
-def penalty_path(df: DataFrame, features: Sequence[str], label: str, points: int = 20) -> list[float]:
-    """M3: log-spaced penalties from the smallest that clears the model down to a fixed fraction of it.
+def penalty_path(df: DataFrame, features: Sequence[str], label: str, points: int = 20, ratio: float = 1e-4) -> list[float]:
+    """M3: log-spaced penalties from the smallest that clears the model down to ``ratio`` times it.
 
     The largest is ``max |cor(x, y)| * sd(y)``, from one distributed correlation pass.
     """
@@ -55,11 +55,10 @@ def penalty_path(df: DataFrame, features: Sequence[str], label: str, points: int
     vectors = feature_vector(columns, "__all").transform(df.select(*columns)).select("__all")
     last = Correlation.corr(vectors, "__all").first()[0].toArray()[-1][:-1]
     strongest = max((abs(v) for v in last if v == v), default=0.0)
-    stats = df.agg(F.stddev_pop(label).alias("sd"), F.count(label).alias("n")).first()
+    stats = df.agg(F.stddev_pop(label).alias("sd")).first()
     top = strongest * (stats["sd"] or 0.0)
     if top <= 0.0:
         return [0.0]
-    ratio = 1e-4 if stats["n"] > len(features) else 1e-2
     return [top * ratio ** (i / (points - 1)) for i in range(points)]
 
 
@@ -80,9 +79,10 @@ def lasso_cv(
     seed: int = 12,
     out: str = "pred_lasso",
     parallelism: int = 4,
+    ratio: float = 1e-4,
 ) -> LassoFit:
     """M3: LASSO with the penalty of least cross-validated squared error."""
-    penalties = penalty_path(df, features, label, points)
+    penalties = penalty_path(df, features, label, points, ratio)
     lasso = LinearRegression(labelCol=label, predictionCol=out, elasticNetParam=1.0)
     grid = ParamGridBuilder().addGrid(lasso.regParam, penalties).build()
     search = CrossValidator(

@@ -72,20 +72,25 @@ def near_zero_variance(
 ) -> DataFrame:
     """Per column the ratio of the two largest value counts, the percentage of distinct values, and the verdict.
 
+    Missing are NULL and, in numeric columns, NaN; the text ``NaN`` is a value.
     Flagged are columns with one value at most, or with a ratio above ``freq_cut``
     and a distinct percentage of at most ``unique_cut``. Values are counted across
     the cluster first; the choice of the top two sees one row per distinct value.
     """
-    cells = F.array(
-        *[F.struct(F.lit(c).alias("column"), F.col(f"`{c}`").cast("string").alias("value")) for c in columns]
-    )
+    kinds = dict(df.dtypes)
+
+    def value(name: str) -> Column:
+        x = F.col(f"`{name}`")
+        return (F.when(~F.isnan(x), x) if kinds[name] in ("double", "float") else x).cast("string")
+
+    cells = F.array(*[F.struct(F.lit(c).alias("column"), value(c).alias("value")) for c in columns])
     counted = (
         df.select(F.explode(cells).alias("c"))
         .select("c.column", "c.value")
         .groupBy("column", "value")
         .agg(F.count(F.lit(1)).alias("n"))
     )
-    known = counted.filter(F.col("value").isNotNull() & (F.col("value") != "NaN"))
+    known = counted.filter(F.col("value").isNotNull())
     lead = F.struct(F.col("n"), F.col("value"))
     tops = known.groupBy("column").agg(F.max(lead).alias("top"), F.count(F.lit(1)).alias("n_distinct"))
     # One row per column, so the hint is bounded by the schema.

@@ -126,7 +126,7 @@ def exact_quantiles(
         ]
     )
     frame = df.sparkSession.range(1).select(F.explode(asked).alias("a")).select("a.*")
-    joined = F.broadcast(frame).join(found, ["i", "prob"], "left")
+    joined = frame.join(found, ["i", "prob"], "left")
     out = F.col("lo") + F.col("part") * (F.col("hi") - F.col("lo"))
     return joined.select("column", "prob", out.alias("value"))
 

@@ -77,28 +77,32 @@ def keyed_lookup(x: DataFrame, y: DataFrame, on: str | Sequence[str], null_safe:
     return joined.select(*keys, *rest)
 
 
-def hot_keys(df: DataFrame, on: str | Sequence[str], hot_share: float = 0.005, buckets: int = 1 << 16) -> DataFrame | None:
-    """Keys with more than ``hot_share`` of the rows, or None when there are none.
+def hot_keys(df: DataFrame, on: str | Sequence[str], hot_share: float | None = None, buckets: int = 1 << 16) -> DataFrame | None:
+    """Keys with more rows than a task has in the mean, and ``__salts``, the tasks each is worth; None when there are none.
+
+    The mean is the rows over ``spark.sql.shuffle.partitions``; ``hot_share`` names another share of the rows.
 
     Rows are counted per hash bucket of the key first, so keys that are mostly
     unique are never shuffled; a hot key makes its bucket hot, and only the rows of
     hot buckets are counted per key. There can be at most ``1 / hot_share`` hot
-    keys, so the answer is kept as a local table: plans that use it do not compute
+    keys, by default one per partition, so the answer is kept as a local table: plans that use it do not compute
     it again.
     """
     keys = _names(on)
+    share = hot_share or 1 / int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     n = F.count(F.lit(1))
     bucket = F.pmod(F.xxhash64(*[F.col(k) for k in keys]), F.lit(buckets))
     sizes = df.groupBy(bucket.alias("__bucket")).agg(n.alias("__rows"))
     total = sizes.agg(F.sum("__rows")).scalar()
-    large = sizes.withColumn("__limit", total * F.lit(hot_share)).filter("__rows > __limit").collect()
+    large = sizes.withColumn("__limit", total * F.lit(share)).filter("__rows > __limit").collect()
     if not large:
         return None
     suspects = df.filter(bucket.isin([r["__bucket"] for r in large])).groupBy(*keys).agg(n.alias("__rows"))
-    rows = suspects.filter(F.col("__rows") > F.lit(large[0]["__limit"])).select(*keys).collect()
+    limit = F.lit(large[0]["__limit"])
+    rows = suspects.filter(F.col("__rows") > limit).select(*keys, F.ceil(F.col("__rows") / limit).cast("int").alias("__salts")).collect()
     if not rows:
         return None
-    schema = T.StructType([T.StructField(k, df.schema[k].dataType) for k in keys])
+    schema = T.StructType([T.StructField(k, df.schema[k].dataType) for k in keys] + [T.StructField("__salts", T.IntegerType())])
     return df.sparkSession.createDataFrame([tuple(r) for r in rows], schema)
 
 
@@ -108,8 +112,8 @@ def skew_join(
     on: str | Sequence[str],
     how: str = "left",
     null_safe: bool = False,
-    hot_share: float = 0.005,
-    salts: int = 64,
+    hot_share: float | None = None,
+    salts: int | None = None,
     probe: DataFrame | None = None,
     hot: DataFrame | None | str = "find",
 ) -> DataFrame:
@@ -118,8 +122,8 @@ def skew_join(
     Hot keys are looked for first, in ``probe`` or else in ``left``; name a probe
     where ``left`` is costly to compute and a base table has the same keys, or pass
     the answer of :func:`hot_keys` as ``hot`` where it serves several joins. Without
-    hot keys this is the plain join. A hot key is spread over ``salts`` join
-    partitions and only its right rows are repeated once per salt. All rows are
+    hot keys this is the plain join. A hot key is spread over as many join partitions
+    as its rows are worth, or over ``salts``, and only its right rows are repeated once per salt. All rows are
     kept; the result equals the plain join.
 
     The salt is a hash of the row and of the input partition, so it does not
@@ -136,7 +140,8 @@ def skew_join(
         return keyed_join(left, right, keys, how, null_safe)
 
     theirs = {k: f"__h_{k}" for k in keys}
-    marks = found.withColumnsRenamed(theirs).withColumn("__hot", F.lit(True))
+    marks = found.withColumnsRenamed({**theirs, "__salts": "__hot"})
+    marks = marks.withColumn("__hot", F.lit(salts)) if salts else marks
 
     def marked(df: DataFrame) -> DataFrame:
         same = _match([F.col(k) for k in keys], [F.col(theirs[k]) for k in keys], True)
@@ -144,9 +149,9 @@ def skew_join(
         return df.join(F.broadcast(marks), same, "left").drop(*theirs.values())
 
     hashable = [F.col(f"`{name}`") for name, kind in left.dtypes if "map<" not in kind and "variant" not in kind]
-    row_salt = F.pmod(F.xxhash64(F.spark_partition_id(), *hashable), F.lit(salts)).cast("int")
-    salted_left = marked(left).withColumn("__salt", F.when(F.col("__hot"), row_salt).otherwise(F.lit(0))).drop("__hot")
-    copies = F.when(F.col("__hot"), F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))
+    row_salt = F.pmod(F.xxhash64(F.spark_partition_id(), *hashable), F.col("__hot")).cast("int")
+    salted_left = marked(left).withColumn("__salt", F.coalesce(row_salt, F.lit(0))).drop("__hot")
+    copies = F.when(F.col("__hot").isNotNull(), F.sequence(F.lit(0), F.col("__hot") - F.lit(1))).otherwise(F.array(F.lit(0)))
     salted_right = marked(right).withColumn("__r_salt", F.explode(copies)).drop("__hot")
     renamed = _their_names(keys)
     salted_right = salted_right.withColumnsRenamed(renamed)

@@ -1,9 +1,10 @@
 """Point in polygon as an equi-join.
 
 A polygon is a row ``(geoid, ring array<struct<lon, lat>>)``. Each polygon is
-repeated once per grid cell its bounding box touches, points are given their
+repeated once per grid cell its bounding box touches, coordinates are given their
 cell, the two meet by cell, and the ring decides. A point on a border belongs to
 the polygon whose ring reports it, the smallest geoid winning where several do.
+Each pair of coordinates is looked up once, however many points share it.
 """
 
 from __future__ import annotations
@@ -45,7 +46,6 @@ def contains(ring: Column, lon: Column, lat: Column) -> Column:
 def assign_polygon(
     points: DataFrame,
     polygons: DataFrame,
-    point_id: str,
     lon: str = "lon",
     lat: str = "lat",
     cell: float = 0.1,
@@ -53,6 +53,8 @@ def assign_polygon(
 ) -> DataFrame:
     """Attach the polygon id to every point; points outside all polygons or without coordinates get NULL.
 
+    The answer depends on the coordinates alone, so no column needs to identify a point.
+
     ``cell`` is the grid step in degrees: about the width of a typical polygon
     keeps both the copies per polygon and the candidates per point small. A cell
     with a large share of the points is spread over several tasks.
@@ -62,8 +64,8 @@ def assign_polygon(
     def cell_of(v: Column) -> Column:
         return F.floor(v / F.lit(float(cell)))
 
-    located = points.select(F.col(point_id).alias("__id"), x.alias("__x"), y.alias("__y"))
-    located = located.filter(F.col("__x").isNotNull() & F.col("__y").isNotNull())
+    placed = points.withColumns({"__x": x, "__y": y})
+    located = placed.select("__x", "__y").filter(F.col("__x").isNotNull() & F.col("__y").isNotNull()).distinct()
     located = located.withColumns({"cx": cell_of(F.col("__x")), "cy": cell_of(F.col("__y"))})
 
     boxed = polygons.select(F.col("geoid").alias("__geoid"), "ring", *[c.alias(n) for n, c in ring_bounds(F.col("ring")).items()])
@@ -74,8 +76,8 @@ def assign_polygon(
         F.col("__x").between(F.col("x0"), F.col("x1")) & F.col("__y").between(F.col("y0"), F.col("y1"))
     )
     inside = near.filter(contains(F.col("ring"), F.col("__x"), F.col("__y")))
-    found = inside.groupBy("__id").agg(F.min("__geoid").alias(out))
-    return points.join(found.withColumnRenamed("__id", point_id), point_id, "left")
+    found = inside.groupBy("__x", "__y").agg(F.min("__geoid").alias(out))
+    return skew_join(placed, found, ["__x", "__y"], "left", probe=placed.select("__x", "__y")).select(*points.columns, out)
 
 
 def attach_scores(polygons: DataFrame, scores: DataFrame, score_key: str) -> DataFrame:

@@ -39,7 +39,7 @@ def locate_visits(visits: DataFrame, polygons: DataFrame, cell: float = 0.1) ->
             "__lat": blank_to_null("Latitude").try_cast("double"),
         }
     )
-    return assign_polygon(numeric, polygons, "id", "__lon", "__lat", cell, "block_group").drop("__lon", "__lat")
+    return assign_polygon(numeric, polygons, "__lon", "__lat", cell, "block_group").drop("__lon", "__lat")
 
 
 def share_located(located: DataFrame) -> DataFrame:

@@ -81,9 +81,13 @@ def residential_by_tract(
 
 
 def geocoded_outcomes(
-    basic: DataFrame, formatted: DataFrame, geocoded: DataFrame, order_by: Sequence[str] = ("row_seq",)
+    basic: DataFrame, formatted: DataFrame, geocoded: DataFrame, incident_order: Sequence[str], order_by: Sequence[str] = ("row_seq",)
 ) -> DataFrame:
-    """PL-3A-D, first step: incidents with casualties and the tract of their first geocoded address."""
+    """PL-3A-D, first step: incidents with casualties and the tract of their first geocoded address.
+
+    Of an incident listed more than once the row that comes first by ``incident_order`` counts: columns of
+    ``basic`` outside the key that follow the file, such as a row number.
+    """
     key = list(INCIDENT_KEY)
     places = keyed_join(
         _keyed(formatted, ["row_seq"]), geocoded.select("row_seq", "tabblock_id", "county", "tractid"), "row_seq", "left"
@@ -92,5 +96,5 @@ def geocoded_outcomes(
     located = places.filter(known("tractid"))
     rest = [c for c in located.columns if c not in key and c not in order_by]
     # One row per key on both sides first: the first of all pairs is the pair of the firsts.
-    facts = first_per_key(_keyed(basic, casualties), key, casualties)
+    facts = first_per_key(_keyed(basic, [*casualties, *incident_order]), key, [*incident_order, *casualties]).drop(*incident_order)
     return keyed_join(facts, first_per_key(located, key, [*order_by, *rest]), key, "inner", null_safe=True)

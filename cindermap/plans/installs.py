@@ -57,6 +57,7 @@ def install_risk(
     folds: int = 10,
     penalties: int = 20,
     seed: int = 12,
+    penalty_ratio: float = 1e-4,
 ) -> InstallModels:
     """PL-1A: forest and LASSO on county shares, their mean (at most 1) as tract score."""
     counties, tracts = split_levels(acs)
@@ -66,12 +67,10 @@ def install_risk(
     named = [c for c in columns_between(acs, first_feature, last_feature) if c not in sparse]
     too_sparse = set(high_missing_columns(tracts, named))
     features = [c for c in named if c not in too_sparse]
-    # Parts a county does not have (tract) are empty text, not missing, so complete cases look at the rest.
-    ready = materialize(
-        complete_cases(training, [*named, "alarm_ins_pct"]).select("fips", "alarm_ins_pct", *features), "training"
-    )
+    # A gap in any column drops the county; parts a county does not have (tract) are empty text, not missing.
+    ready = materialize(complete_cases(training).select("fips", "alarm_ins_pct", *features), "training")
     forest = fit_cached(forest_regressor(features, "alarm_ins_pct", trees, seed=seed), ready)
-    lasso = lasso_cv(ready, features, "alarm_ins_pct", ["fips"], penalties, folds, seed)
+    lasso = lasso_cv(ready, features, "alarm_ins_pct", ["fips"], penalties, folds, seed, ratio=penalty_ratio)
 
     def scored(df: DataFrame) -> DataFrame:
         usable = complete_cases(df, features)

@@ -21,11 +21,10 @@ def home_fire_cases(cases: DataFrame) -> DataFrame:
 
 
 def locate_cases(
-    cases: DataFrame, polygons: DataFrame, case_id: str = "case_num",
-    lon: str = "esri_longitude_x", lat: str = "esri_latitude_x", cell: float = 0.1,
+    cases: DataFrame, polygons: DataFrame, lon: str = "esri_longitude_x", lat: str = "esri_latitude_x", cell: float = 0.1
 ) -> DataFrame:
     """J11 on home-fire cases: adds ``tract``; a case without coordinates has none."""
-    return assign_polygon(cases, polygons, case_id, lon, lat, cell, "tract")
+    return assign_polygon(cases, polygons, lon, lat, cell, "tract")
 
 
 def fires_per_tract(located: DataFrame) -> DataFrame:

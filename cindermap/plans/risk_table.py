@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Mapping
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -10,12 +12,11 @@ from cindermap.functions.keys import (
     county_fips_of,
     county_of,
     pad_left,
-    restore_leading_zero,
     state_of,
     tract_of,
 )
 from cindermap.functions.scores import damped_rate, mean_of_known, mean_strict, stabilized_rate
-from cindermap.functions.values import first_known
+from cindermap.functions.values import blank_to_null, first_known
 from cindermap.operators.aggregate import first_per_key, stack, strict_mean, with_group_value
 from cindermap.operators.relate import keyed_join
 from cindermap.operators.scale import balscale, balscale_many
@@ -34,13 +35,28 @@ def _known(df: DataFrame) -> DataFrame:
     return df.filter(F.col("tract_geoid").isNotNull())
 
 
+def tract_id(c: Column | str) -> Column:
+    """K4, K5: the 11 characters of a tract id, with the zeros it lost when it was stored as a number; blank is missing."""
+    return pad_left(blank_to_null(c), 11)
+
+
+def rows_without_tract(sources: Mapping[str, DataFrame]) -> DataFrame:
+    """Per source (tables made by the ``*_rows`` functions) its rows and those that the final table leaves out for want of a tract id."""
+    counts = [
+        df.agg(F.count(F.lit(1)).alias("n_rows"), F.count_if(F.col("tract_geoid").isNull()).alias("n_without_tract")).withColumn("source", F.lit(name))
+        for name, df in sources.items()
+    ]
+    return stack(*counts).select("source", "n_rows", "n_without_tract")
+
+
 def install_rows(scores: DataFrame) -> DataFrame:
-    return scores.select(compose("state", "cnty", "tract").alias("tract_geoid"), F.col("risk_1a").alias("install"))
+    parts = compose(pad_left("state", 2), pad_left("cnty", 3), pad_left("tract", 6))
+    return scores.select(parts.alias("tract_geoid"), F.col("risk_1a").alias("install"))
 
 
 def alarm_rows(scores: DataFrame) -> DataFrame:
     return scores.select(
-        restore_leading_zero("tractid").alias("tract_geoid"), F.col("weighted_linear_pred").alias("alarm")
+        tract_id("tractid").alias("tract_geoid"), F.col("weighted_linear_pred").alias("alarm")
     )
 
 
@@ -52,19 +68,26 @@ def block_rows(blocks: DataFrame) -> DataFrame:
 
 def fire_rows(yearly: DataFrame, base_year: str) -> DataFrame:
     base = F.when(F.col("year") == base_year, F.col("population"))
-    return yearly.select(F.col("tractid").alias("tract_geoid"), F.col("N").alias("fires"), base.alias("base"))
+    return yearly.select(tract_id("tractid").alias("tract_geoid"), F.col("N").alias("fires"), base.alias("base"))
 
 
 def response_rows(responses: DataFrame) -> DataFrame:
-    return responses.select(restore_leading_zero("x").alias("tract_geoid"), F.col("freq").alias("responses"))
+    return responses.select(tract_id("x").alias("tract_geoid"), F.col("freq").alias("responses"))
 
 
 def casualty_rows(scores: DataFrame) -> DataFrame:
-    return scores.select(F.col("geoid").alias("tract_geoid"), F.col("risk_3a").alias("casualty"))
+    return scores.select(tract_id("geoid").alias("tract_geoid"), F.col("risk_3a").alias("casualty"))
 
 
 def population_rows(population: DataFrame) -> DataFrame:
-    return population.select("tract_geoid", F.col("P0010001").cast("long").alias("census"))
+    return population.select(tract_id("tract_geoid").alias("tract_geoid"), F.col("P0010001").cast("long").alias("census"))
+
+
+def _only(score: str) -> Column:
+    """A13 (aggregate): the one score of a tract; two are an error, not a choice."""
+    n = F.count(score)
+    text = F.concat(F.lit("tract "), F.first("tract_geoid"), F.lit(" has "), n.cast("string"), F.lit(f" scores {score}"))
+    return F.when(n <= 1, F.max(score)).otherwise(F.raise_error(text).cast("double"))
 
 
 def fire_measure() -> dict[str, Column]:
@@ -81,7 +104,7 @@ def fire_indicator(yearly: DataFrame, tracts: DataFrame, population: DataFrame,
     ``yearly`` has ``tractid, year, N, population``; tracts of the other two tables
     without fires count zero.
     """
-    rows = stack(fire_rows(yearly, base_year), tracts.select("tract_geoid"), population_rows(population))
+    rows = stack(fire_rows(yearly, base_year), tracts.select(tract_id("tract_geoid").alias("tract_geoid")), population_rows(population))
     rated = rows.groupBy("tract_geoid").agg(*[c.alias(n) for n, c in fire_measure().items()])
     rated = rated.withColumn("rate", stabilized_rate("N", "population"))
     return balscale(rated, "rate", "risk_2a", where=F.col("population") > MIN_POPULATION)
@@ -102,17 +125,18 @@ def raw_scores(*sources: DataFrame) -> DataFrame:
 
     The sources are stacked and grouped once. That is one shuffle, combined on the
     map side, where a chain of full joins would shuffle the growing result each
-    time. Scored sources have at most one row per tract.
+    time. Installs, alarms and casualties give a tract one score; a second one raises.
+    Rows without tract id belong to no tract (:func:`rows_without_tract` counts them).
     """
     g = _known(stack(*sources)).groupBy("tract_geoid").agg(
-        F.max("install").alias("risk_1a"),
-        F.max("alarm").alias("risk_1b"),
+        _only("install").alias("risk_1a"),
+        _only("alarm").alias("risk_1b"),
         F.when(F.count("blocks") == F.count("block"), F.avg("block") * 100).alias("risk_1c"),
         F.count("blocks").alias("blocks"),
         *[c.alias(n) for n, c in fire_measure().items()],
         F.coalesce(F.sum("responses"), F.lit(0)).alias("freq"),
         F.coalesce(F.max("census"), F.lit(0)).alias("census"),
-        F.max("casualty").alias("risk_3a"),
+        _only("casualty").alias("risk_3a"),
     )
     enough, counted = F.col("population") > MIN_POPULATION, F.col("census") > MIN_POPULATION
     has_blocks = F.col("blocks") > 0

@@ -14,14 +14,18 @@ from cindermap.operators.columns import tag
 
 
 def read_delimited(
-    spark: SparkSession, path: str | Sequence[str], schema: T.StructType, sep: str = ",", header: bool = True
+    spark: SparkSession, path: str | Sequence[str], schema: T.StructType, sep: str = ",", header: bool = True,
+    malformed: str = "raise",
 ) -> DataFrame:
     """Delimited text with a declared schema; no pass over the data to guess types.
 
     With a header, columns are taken by name in any file order, and columns the
-    schema leaves out are not parsed. A blank field is missing.
+    schema leaves out are not parsed. A blank field is missing. A field that its type
+    cannot hold ends the read, or is missing with ``malformed="null"``.
     """
-    reader = spark.read.option("header", header).option("sep", sep).option("mode", "PERMISSIVE")
+    if malformed not in ("raise", "null"):
+        raise ValueError(f"malformed is raise or null, not {malformed!r}")
+    reader = spark.read.option("header", header).option("sep", sep).option("mode", "FAILFAST" if malformed == "raise" else "PERMISSIVE")
     if not header:
         return blank_to_null_all(reader.schema(schema).csv(path))
     first = path if isinstance(path, str) else path[0]
@@ -48,9 +52,13 @@ def read_parts(spark: SparkSession, folder: str, schema: T.StructType, sep: str
 def read_below_title(
     spark: SparkSession, path: str, schema: T.StructType, key: str, key_pattern: str, sep: str = ","
 ) -> DataFrame:
-    """A table whose header follows a title; title and header are the lines without a valid key."""
-    table = read_delimited(spark, path, schema, sep=sep, header=False)
-    return table.filter(F.col(key).rlike(key_pattern))
+    """A table whose header follows a title; title and header are the lines without a valid key.
+
+    Lines are cut into text first; a field of a line with a key that its type cannot hold raises.
+    """
+    texts = T.StructType([T.StructField(n, T.StringType()) for n in schema.names])
+    table = read_delimited(spark, path, texts, sep, False, "null").filter(F.col(key).rlike(key_pattern))
+    return table.select(*[F.col(f"`{f.name}`").cast(f.dataType) for f in schema.fields])
 
 
 def read_one(spark: SparkSession, spec: Mapping[str, object]) -> DataFrame:

@@ -70,7 +70,7 @@ def test_residential_tracts(spark, year):
 
 
 def test_outcomes_take_the_first_address(spark, year):
-    out = incidents.geocoded_outcomes(year["basic"], year["formatted"], year["geocoded"])
+    out = incidents.geocoded_outcomes(year["basic"], year["formatted"], year["geocoded"], ["ALARM"])
     assert rows(out, "INC_NO", "STATE", "tractid") == [("1", "WA", "T1"), ("2", None, "T1"), ("5", "WA", "T3")]
     assert rows(out.select("INC_NO", casualty.casualty_target(), casualty.binary_target("injury", "OTH_INJ"))) == [
         ("1", "death", "other"), ("2", "inj", "injury"), ("5", "no_inj", "other")]

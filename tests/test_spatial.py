@@ -10,7 +10,7 @@ SQUARE = [(0.0, 0.0), (2.0, 0.0), (2.0, 2.0), (0.0, 2.0)]
 
 def assign(spark, polygons, points, cell=0.5):
     p = spark.createDataFrame(points, "id long, lon double, lat double")
-    return dict(rows(assign_polygon(p, spark.createDataFrame(polygons, SHAPE), "id", cell=cell), "id", "geoid"))
+    return dict(rows(assign_polygon(p, spark.createDataFrame(polygons, SHAPE), cell=cell), "id", "geoid"))
 
 
 def test_inside_outside_edges_and_gaps(spark):
@@ -20,6 +20,12 @@ def test_inside_outside_edges_and_gaps(spark):
     assert assign(spark, polygons, points) == {1: "b", 2: "a", 3: "a", 4: "b", 5: "b", 6: None, 7: None, 8: None, 9: "t", 10: None, 11: "t", 12: None}
 
 
+def test_repeated_and_missing_ids(spark):
+    polygons = spark.createDataFrame([("A", SQUARE), ("B", [(x + 5, y) for x, y in SQUARE])], SHAPE)
+    cases = spark.createDataFrame([("c1", 1.0, 1.0), ("c1", 6.0, 1.0), (None, 6.0, 1.0), (None, None, 1.0)], "case_num string, lon double, lat double")
+    assert rows(assign_polygon(cases, polygons), "case_num", "lon", "geoid") == [(None, None, None), (None, 6.0, "B"), ("c1", 1.0, "A"), ("c1", 6.0, "B")]
+
+
 def test_concave_ring(spark):
     ring = [(0.0, 0.0), (4.0, 0.0), (4.0, 4.0), (2.0, 1.0), (0.0, 4.0)]
     assert assign(spark, [("c", ring)], [(1, 2.0, 0.5), (2, 2.0, 2.0), (3, 0.5, 3.0), (4, 3.5, 3.0)]) == {1: "c", 2: None, 3: "c", 4: "c"}
