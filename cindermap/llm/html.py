@@ -35,32 +35,47 @@ _CLOSES_P = BLOCKS - {"br", "body", "html", "option", "optgroup", "caption", "td
 _TAG = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>\x00]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?/][^>]*(?:>|\Z)", re.S)
 _NAMES = re.compile(r"""(?:^|\s)(class|id|role|hidden|aria-hidden|style)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.I)
 _WORDS = re.compile(r"[a-z]+")
+_VALUE_END = re.compile(r"=\s*[^\s\"'>]+/\Z")  # a slash that belongs to a value without quotes
 
 
 class _Node:
-    __slots__ = ("tag", "path", "around")
+    """An open element; ``kind`` says what its names tell, ``named`` holds it and the elements around it that have a kind."""
 
-    def __init__(self, tag: str, path: str, around: bool):
-        self.tag, self.path, self.around = tag, path, around
+    __slots__ = ("tag", "path", "around", "kind", "named")
+
+    def __init__(self, tag: str, path: str, around: bool, kind: str = "", named: tuple[_Node, ...] = ()):
+        self.tag, self.path, self.around, self.kind = tag, path, around, kind
+        self.named = (*named, self) if kind else named
 
 
 def _attributes(text: str) -> dict[str, str]:
     return {m[1].lower(): m[2] or m[3] or m[4] or "" for m in _NAMES.finditer(text)} if text and not text.isspace() else {}
 
 
-def _is_around(tag: str, names: dict[str, str], in_article: bool) -> bool:
+def _kind(tag: str, names: dict[str, str], in_article: bool) -> str:
+    """``hidden`` for what is never read, ``remark`` and ``word`` for what its names put around an article unless it holds the article,
+    ``section`` for a section that its id alone puts there, which is often its title; else empty."""
     if tag in HIDDEN:
-        return True
+        return "hidden"
     if tag in FRAME and not (tag == "header" and in_article):
-        return True
+        return "hidden"
     if not names:
-        return False
+        return ""
     if "hidden" in names or names.get("aria-hidden", "").lower() == "true" or re.search(r"display\s*:\s*none", names.get("style", ""), re.I):
-        return True
-    if tag in ("html", "body"):
-        return False
-    kinds = REMARKS if tag in ("article", "main") else AROUND
-    return any(not kinds.isdisjoint(_WORDS.findall(re.sub(r"([a-z])([A-Z])", r"\1 \2", names.get(n, "")).lower())) for n in ("class", "id", "role"))
+        return "hidden"
+    if tag in ("html", "body", "header") or tag in HEADINGS:
+        return ""
+    kinds = REMARKS if tag in ("article", "main") else AROUND - {"header"} if in_article else AROUND
+    words, by_id = ({w for n in which for w in _WORDS.findall(re.sub(r"([a-z])([A-Z])", r"\1 \2", names.get(n, "")).lower())} & kinds for which in (("class", "role"), ("id",)))
+    if not words and not by_id:
+        return ""
+    if not REMARKS.isdisjoint(words | by_id):
+        kind = "remark"
+    elif words or tag != "section":
+        kind = "word"
+    else:
+        kind = "" if in_article else "section"
+    return "hidden" if kind and tag not in BLOCKS and "-" not in tag else kind
 
 
 def _general(tag: str, names: dict[str, str]) -> str:
@@ -69,8 +84,8 @@ def _general(tag: str, names: dict[str, str]) -> str:
     return ".".join([tag, *classes])
 
 
-def blocks_of(html: str) -> Iterator[tuple[tuple[_Node, ...], str, int]]:
-    """(open elements, text, length of linked text) of every block of text in page order; what is hidden or around the article is left out."""
+def _all_blocks(html: str) -> Iterator[tuple[tuple[_Node, ...], str, int]]:
+    """(open elements, text, length of linked text) of every block of text in page order; what is hidden is left out."""
     stack: list[_Node] = [_Node("", "", False)]
     words: list[str] = []
     linked = depth_a = 0
@@ -101,7 +116,7 @@ def blocks_of(html: str) -> Iterator[tuple[tuple[_Node, ...], str, int]]:
         if tag[1]:
             at = next((i for i in range(len(stack) - 1, 0, -1) if stack[i].tag == name), 0)
             if at:
-                if any(n.tag in BLOCKS for n in stack[at:]) and (found := flush()):
+                if any(n.tag in BLOCKS or n.kind for n in stack[at:]) and (found := flush()):
                     yield found
                 del stack[at:]
                 depth_a = sum(n.tag == "a" for n in stack)
@@ -111,6 +126,8 @@ def blocks_of(html: str) -> Iterator[tuple[tuple[_Node, ...], str, int]]:
                 yield found
         if name in VOID:
             continue
+        if tag[3].endswith("/") and (name in ("svg", "math") or any(n.tag in ("svg", "math") for n in stack)) and not _VALUE_END.search(tag[3]):
+            continue
         names = _attributes(tag[3])
         # an element that cannot hold this one ends
         closes = ()
@@ -130,11 +147,13 @@ def blocks_of(html: str) -> Iterator[tuple[tuple[_Node, ...], str, int]]:
                 break
         parent = stack[-1]
         in_article = any(n.tag in ("article", "main") for n in stack)
-        around = parent.around or _is_around(name, names, in_article)
+        kind = "hidden" if parent.around else _kind(name, names, in_article)
+        if kind not in ("", "hidden") and name not in BLOCKS and (found := flush()):
+            yield found
         path = parent.path
         if name in BLOCKS:
             path = f"{path}>{_general(name, names)}"
-        stack.append(_Node(name, path, around))
+        stack.append(_Node(name, path, True) if kind == "hidden" else _Node(name, path, False, kind, parent.named))
         if name == "a":
             depth_a += 1
         if name in RAW:
@@ -145,6 +164,48 @@ def blocks_of(html: str) -> Iterator[tuple[tuple[_Node, ...], str, int]]:
         yield found
 
 
+def blocks_of(html: str) -> list[tuple[tuple[_Node, ...], str, int]]:
+    """The blocks of a page without those around its article.
+
+    Names decide only for elements that hold neither a main element nor the longest article of the page, nor more than half of the
+    text without links (of the whole page if it has no article or main element, else only inside these). What is named after remarks holds the article
+    if it has a first-order heading. Sections that only an id names are left to ``text_at``.
+    """
+    blocks = list(_all_blocks(html))
+    if not any(nodes[-1].named for nodes, _, _ in blocks):
+        return blocks
+    worth: dict[int, int] = {}
+    first_order: set[int] = set()
+    mains: set[int] = set()
+    articles: dict[int, int] = {}
+    total = 0
+    for nodes, text, linked in blocks:
+        size = len(text) - linked
+        remark = any(n.kind == "remark" for n in nodes[-1].named)
+        total += 0 if remark else size
+        for n in nodes:
+            if n.kind:
+                worth[id(n)] = worth.get(id(n), 0) + size
+                if any(x.tag == "h1" for x in nodes):
+                    first_order.add(id(n))
+            elif n.tag == "main":
+                mains.add(id(n))
+            elif n.tag == "article" and not remark:
+                articles[id(n)] = articles.get(id(n), 0) + size
+    if articles:
+        mains.add(max(articles, key=articles.__getitem__))
+    holds = {id(n) for nodes, _, _ in blocks for i, n in enumerate(nodes) if n.kind and any(id(x) in mains for x in nodes[i + 1 :])}
+    inside = {id(n) for nodes, _, _ in blocks for i, n in enumerate(nodes) if n.kind and any(id(x) in mains for x in nodes[:i])}
+    for n in {id(n): n for nodes, _, _ in blocks for n in nodes[-1].named}.values():
+        if n.kind == "remark":
+            kept = id(n) in holds or id(n) in first_order
+        else:
+            kept = id(n) in holds or (2 * worth[id(n)] > total and (not mains or id(n) in inside))
+        n.around = not kept and n.kind != "section"
+        n.kind = "" if kept else n.kind
+    return [block for block in blocks if not any(n.around for n in block[0][-1].named)]
+
+
 def _holders(open_nodes: tuple[_Node, ...]) -> list[_Node]:
     return [n for n in open_nodes if n.tag in BLOCKS and n.tag not in ("p", "br", "html") and n.tag not in HEADINGS and n.tag not in ("li", "td", "th", "tr", "dd", "dt")]
 
@@ -157,6 +218,8 @@ def best_path(blocks: list[tuple[tuple[_Node, ...], str, int]]) -> tuple[str, fl
     """
     scores: dict[int, list] = {}
     for open_nodes, text, linked in blocks:
+        if any(n.kind == "section" for n in open_nodes[-1].named):
+            continue
         worth = len(text) - linked
         for share, node in zip((1.0, 0.5, 0.25), reversed(_holders(open_nodes))):
             held = scores.setdefault(id(node), [0.0, node])
@@ -168,8 +231,13 @@ def best_path(blocks: list[tuple[tuple[_Node, ...], str, int]]) -> tuple[str, fl
 
 
 def text_at(blocks: list[tuple[tuple[_Node, ...], str, int]], path: str | None) -> str:
-    """The blocks below elements of a general path, one on a line."""
-    return "\n".join(text for open_nodes, text, _ in blocks if any(n.path == path for n in open_nodes[1:]))
+    """The blocks below elements of a general path, one on a line; a section that its id alone puts around the article is read inside such an element, but the body."""
+    texts = []
+    for open_nodes, text, _ in blocks:
+        at = next((i for i, n in enumerate(open_nodes) if i and n.path == path), 0)
+        if at and not any(n.kind == "section" and (open_nodes[at].tag == "body" or n in open_nodes[:at]) for n in open_nodes[-1].named):
+            texts.append(text)
+    return "\n".join(texts)
 
 
 def host_of(url: str | Column) -> Column:
@@ -185,7 +253,7 @@ def vote(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame:
 
     def candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [best_path(list(blocks_of(h.as_py() or ""))) for h in batch.column(1)]
+            found = [best_path(blocks_of(h.as_py() or "")) for h in batch.column(1)]
             yield pa.RecordBatch.from_pydict({"host": batch.column(0), "path": pa.array([f and f[0] for f in found], pa.string()), "score": pa.array([f and int(f[1]) for f in found], pa.int64())})
 
     named = pages.select(host_of(url).alias("host"), F.col(html).alias("html")).mapInArrow(candidates, "host string, path string, score long")
@@ -199,7 +267,7 @@ def extract(pages: DataFrame, carry: tuple[str, ...] = ("page_id", "url"), url:
     First each page scores its containers, and the pages of a host vote on the general path (tags and classes without
     digits) of the best one; then every page is read again at its host's path. A page that has nothing there is read at its own
     best container. Elements around an article (menus, headers, footers, forms, notices, adverts, comments) are left out wherever
-    they stand. Character references are decoded, white space in a block is one space, blocks follow each other on lines.
+    they stand, unless they hold the article itself (see ``blocks_of``); headings and the header of an article stay whatever their names. Character references are decoded, white space in a block is one space, blocks follow each other on lines.
 
     A null, empty or textless page has the empty text; a page without host votes with the others that have none. Whole pages
     are read, cut-off ones to their end. Votes are rows per host and path; pages are not regrouped, and a host with any part of the
@@ -214,7 +282,7 @@ def extract(pages: DataFrame, carry: tuple[str, ...] = ("page_id", "url"), url:
         for batch in batches:
             texts = []
             for path, page in zip(batch.column(batch.num_columns - 2).to_pylist(), batch.column(batch.num_columns - 1)):
-                blocks = list(blocks_of(page.as_py() or ""))
+                blocks = blocks_of(page.as_py() or "")
                 text = text_at(blocks, path) if path is not None else ""
                 if not text and (own := best_path(blocks)):
                     text = text_at(blocks, own[0])

@@ -203,6 +203,23 @@ def test_html_text(spark):
     assert html.extract(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
 
+def test_names_do_not_drop_the_article():
+    def read(page):
+        blocks = html.blocks_of(page)
+        return html.text_at(blocks, html.best_path(blocks)[0])
+
+    text = "Word after word. " * 20
+    long, plain = f"<p>{text}</p>", text.strip()
+    assert read(f'<article><header class="entry-header"><h1>Title</h1></header>{long}</article>') == f"Title\n{plain}"
+    assert read(f'<div class="layout has-sidebar"><article><h1>Title</h1>{long}</article><div class="sidebar">Side</div></div>') == f"Title\n{plain}"
+    assert read(f'<div class="layout has-sidebar"><div class="text"><h1>Title</h1>{long}</div></div>') == f"Title\n{plain}"
+    assert read(f'<article>{long}<section id="discussion"><h2 id="search">Search</h2><p>End</p></section><div class="share">Share</div></article>') == f"{plain}\nSearch\nEnd"
+    assert read(f'<div class="post comments-open"><h1>Title</h1>{long}</div>') == f"Title\n{plain}"
+    assert read(f'<div class="post">{long}<section id="discussion"><p>End</p></section></div>') == f"{plain}\nEnd"
+    assert read(f'<article><p>Start<svg viewBox="0 0 1 1"/> on</p><math/>{long}</article>') == f"Start on\n{plain}"
+    assert read(f'<article>{long}</article><div class="related"><article>Other</article></div><div class="cookie-notice">{long * 5}</div>') == plain
+
+
 def test_line_windows_that_overlap(spark):
     docs = docs_of(spark, [(1, "a\n" * 5 + "z"), (2, "x\na\n\n a \na\ny"), (3, "p\nq\nr\ns"), (4, "p\nq\nr\ns")])
     got = {r["doc_id"]: r["text"] for r in lines.dedup_lines(docs).collect()}
