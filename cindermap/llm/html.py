@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from hashlib import md5
 from html import unescape
 
 import pyarrow as pa
@@ -210,24 +211,52 @@ def _holders(open_nodes: tuple[_Node, ...]) -> list[_Node]:
     return [n for n in open_nodes if n.tag in BLOCKS and n.tag not in ("p", "br", "html") and n.tag not in HEADINGS and n.tag not in ("li", "td", "th", "tr", "dd", "dt")]
 
 
-def best_path(blocks: list[tuple[tuple[_Node, ...], str, int]]) -> tuple[str, float] | None:
-    """The container of a page with the best score, as a general path, and its score.
-
-    Every block of text gives its length without links to the nearest container, and half as much to the one around that, so that the
-    element right around the paragraphs comes out ahead of the page. Article and main elements count twice.
-    """
+def _best(blocks: list[tuple[tuple[_Node, ...], str, int]]) -> tuple[float, _Node, list[_Node]] | None:
     scores: dict[int, list] = {}
     for open_nodes, text, linked in blocks:
         if any(n.kind == "section" for n in open_nodes[-1].named):
             continue
-        worth = len(text) - linked
-        for share, node in zip((1.0, 0.5, 0.25), reversed(_holders(open_nodes))):
-            held = scores.setdefault(id(node), [0.0, node])
-            held[0] += worth * share * (2.0 if node.tag in ("article", "main") else 1.0)
-    if not scores:
+        share = float(len(text) - linked)
+        holders = _holders(open_nodes)
+        for i in range(len(holders) - 1, -1, -1):
+            node = holders[i]
+            held = scores.get(id(node))
+            if held is None:
+                held = scores[id(node)] = [0.0, node, holders[:i]]
+            held[0] += share * (2.0 if node.tag in ("article", "main") else 1.0)
+            share /= 2
+    return max(scores.values(), key=lambda s: s[0]) if scores else None
+
+
+def best_path(blocks: list[tuple[tuple[_Node, ...], str, int]]) -> tuple[str, float, list[tuple[str, str | None, bool]]] | None:
+    """The container of a page with the best score, as a general path, its score, and what the containers around it add.
+
+    Every block of text gives its length without links to the nearest container, and half as much to each one around the one before, so that the
+    element right around the paragraphs comes out ahead of the page. Article and main elements count twice. For each container
+    from the best one outwards, up to an article or main element or else the body: (general path, digest of the text that it adds or
+    None, whether it adds a first-order heading). A block counts as added if less than half of it is linked.
+    """
+    best = _best(blocks)
+    if not best:
         return None
-    score, node = max(scores.values(), key=lambda s: s[0])
-    return node.path, score
+    score, node, outer = best
+    levels: list[tuple[str, str | None, bool]] = []
+    inner, headed = node, any(node in nodes and any(n.tag == "h1" for n in nodes) for nodes, _, _ in blocks)
+    for up in reversed(outer):
+        if inner.tag in ("article", "main", "body"):
+            break
+        added = [(nodes, text) for nodes, text, linked in blocks if 2 * linked < len(text) and up in nodes and inner not in nodes and not any(n.kind == "section" for n in nodes[-1].named)]
+        heading = any(n.tag == "h1" for nodes, _ in added for n in nodes)
+        if up.tag == "body" and (headed or not heading):
+            break
+        levels.append((up.path, md5("\n".join(text for _, text in added).encode("utf-8", "surrogatepass")).hexdigest() if added else None, heading))
+        inner, headed = up, headed or heading
+    return node.path, score, levels
+
+
+def _climbed(found: tuple[str, float, list[tuple[str, str | None, bool]]]) -> str:
+    """The path of a page that stands alone: the outermost container that adds text."""
+    return next((path for path, digest, _ in reversed(found[2]) if digest), found[0])
 
 
 def text_at(blocks: list[tuple[tuple[_Node, ...], str, int]], path: str | None) -> str:
@@ -248,17 +277,45 @@ def host_of(url: str | Column) -> Column:
 def vote(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame:
     """(host, path): the path on which the most pages of a host agree, each page with its best container.
 
-    Votes are counted per host and path before they are compared; ties go to the higher sum of scores, then the smaller path.
+    Votes are counted per host and path before they are compared; ties go to the higher sum of scores, then the smaller path. From the
+    path that wins, the host climbs to the containers around it as long as what they add belongs to the article: it has a first-order heading,
+    or it is not the same on all pages that voted for the path, or these pages are all the same.
     """
 
     def candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [best_path(blocks_of(h.as_py() or "")) for h in batch.column(1)]
-            yield pa.RecordBatch.from_pydict({"host": batch.column(0), "path": pa.array([f and f[0] for f in found], pa.string()), "score": pa.array([f and int(f[1]) for f in found], pa.int64())})
-
-    named = pages.select(host_of(url).alias("host"), F.col(html).alias("html")).mapInArrow(candidates, "host string, path string, score long")
-    counted = named.filter(F.col("path").isNotNull()).groupBy("host", "path").agg(F.count(F.lit(1)).alias("votes"), F.sum("score").alias("score"))
-    return counted.groupBy("host").agg(F.min_by("path", F.struct(-F.col("votes"), -F.col("score"), "path")).alias("path"))
+            read = [blocks_of(h.as_py() or "") for h in batch.column(1)]
+            found = [best_path(blocks) for blocks in read]
+            body = [f and md5(text_at(blocks, f[0]).encode("utf-8", "surrogatepass")).hexdigest() for f, blocks in zip(found, read)]
+            levels = [f and [{"path": p, "added": d, "heading": h} for p, d, h in f[2]] for f in found]
+            yield pa.RecordBatch.from_pydict(
+                {
+                    "host": batch.column(0),
+                    "path": pa.array([f and f[0] for f in found], pa.string()),
+                    "score": pa.array([f and int(f[1]) for f in found], pa.int64()),
+                    "body": pa.array(body, pa.string()),
+                    "levels": pa.array(levels, pa.list_(pa.struct([("path", pa.string()), ("added", pa.string()), ("heading", pa.bool_())]))),
+                }
+            )
+
+    kinds = "host string, path string, score long, body string, levels array<struct<path string, added string, heading boolean>>"
+    named = materialize(pages.select(host_of(url).alias("host"), F.col(html).alias("html")).mapInArrow(candidates, kinds).filter(F.col("path").isNotNull()), "candidates")
+    counted = named.groupBy("host", "path").agg(
+        F.count(F.lit(1)).alias("votes"), F.sum("score").alias("score"), (F.min("body") == F.max("body")).alias("alike")
+    )
+    won = counted.groupBy("host").agg(F.min_by(F.struct("path", "alike"), F.struct(-F.col("votes"), -F.col("score"), "path")).alias("won")).select("host", "won.path", "won.alike")
+    added = named.select("host", "path", F.posexplode("levels").alias("at", "level")).groupBy("host", "path", "at").agg(
+        F.min("level.path").alias("up"), F.min("level.added").alias("low"), F.max("level.added").alias("high"), F.max("level.heading").alias("heading")
+    )
+    # a path has as many levels as it has elements
+    steps = added.groupBy("host", "path").agg(F.collect_list(F.struct("at", "up", "low", "high", "heading")).alias("steps"))
+    steps = steps.select(F.col("host").alias("h"), F.col("path").alias("p"), "steps")
+    joined = won.join(steps, (F.col("host") == F.col("h")) & (F.col("path") == F.col("p")), "left")
+    adds = F.filter("steps", lambda s: s["low"].isNotNull())
+    ours = lambda s: F.col("alike") | s["heading"] | (s["low"] != s["high"])
+    end = F.array_min(F.transform(F.filter(adds, lambda s: ~ours(s)), lambda s: s["at"]))
+    up = F.array_max(F.filter(adds, lambda s: ours(s) & (end.isNull() | (s["at"] < end))))
+    return joined.select("host", F.coalesce(up["up"], F.col("path")).alias("path"))
 
 
 def extract(pages: DataFrame, carry: tuple[str, ...] = ("page_id", "url"), url: str = "url", html: str = "html") -> DataFrame:
@@ -285,7 +342,7 @@ def extract(pages: DataFrame, carry: tuple[str, ...] = ("page_id", "url"), url:
                 blocks = blocks_of(page.as_py() or "")
                 text = text_at(blocks, path) if path is not None else ""
                 if not text and (own := best_path(blocks)):
-                    text = text_at(blocks, own[0])
+                    text = text_at(blocks, _climbed(own))
                 texts.append(text)
             out = {name: batch.column(i) for i, name in enumerate(batch.schema.names[:-2])}
             yield pa.RecordBatch.from_pydict(out | {"text": pa.array(texts, pa.string()), "n_chars": pa.array([len(t) for t in texts], pa.int64())})

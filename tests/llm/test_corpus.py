@@ -220,6 +220,19 @@ def test_names_do_not_drop_the_article():
     assert read(f'<article>{long}</article><div class="related"><article>Other</article></div><div class="cookie-notice">{long * 5}</div>') == plain
 
 
+def test_container_climbs_to_the_title(spark):
+    long = "word after word. " * 180
+    shapes = {
+        "div": '<div id="page"><div class="logo">Name</div><div class="post"><h1>Title {n}</h1><p>Lead {n}</p><div class="wrap"><div class="body"><p>{long}{n}</p></div></div></div></div>',
+        "article": '<article><h1>Title {n}</h1><p>Lead {n}</p><div><div class="body"><p>{long}{n}</p></div></div></article><p>Around</p>',
+        "list": '<div class="post"><h2>Title {n}</h2><p>Lead {n}</p><ul><li>{long}{n}</ul></div>',
+    }
+    rows = [(f"{name} {n}", f"http://{name}.example/{n}", "<body>" + page.format(n=n, long=long)) for name, page in shapes.items() for n in range(3)]
+    rows.append(("one 0", "http://one.example/", "<body>" + shapes["list"].format(n=0, long=long)))
+    got = {r["page_id"]: r["text"] for r in html.extract(spark.createDataFrame(rows, "page_id string, url string, html string")).collect()}
+    assert got == {i: f"Title {i[-1]}\nLead {i[-1]}\n{long}{i[-1]}" for i, _, _ in rows}
+
+
 def test_line_windows_that_overlap(spark):
     docs = docs_of(spark, [(1, "a\n" * 5 + "z"), (2, "x\na\n\n a \na\ny"), (3, "p\nq\nr\ns"), (4, "p\nq\nr\ns")])
     got = {r["doc_id"]: r["text"] for r in lines.dedup_lines(docs).collect()}
