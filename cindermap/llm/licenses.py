@@ -42,12 +42,23 @@ KNOWN = (
     ("CC0-1.0", "SPDX-License-Identifier: CC0-1.0"),
 )
 
-_COPYRIGHT = r"(?m)^[ \t]*(?:copyright|\(c\)|©|all rights reserved)[^\n]*$"
+# Words that follow "copyright" in licence texts, where it begins no statement of a holder.
+_NO_HOLDER = (
+    "a act an and are as at by-laws claims? disclaimer disclaims? does doctrines? exceptions? for from holders? if in infringement interests? is it laws? licen[cs]es? licen[cs]ing licensors? may "
+    "notices? of office on or owners? ownership permissions? policy protection registration resulting rights? statements? status terms that the this to treaty treaties under which"
+).replace(" ", "|")
+# a line that states a holder, in lower case; not every line that begins with the word
+_COPYRIGHT = (
+    r"(?m)^[ \t]*(?:copyright[ \t:,]*(?:\(c\)|©|[0-9]{4}|[<\[{])[^\n]*"
+    rf"|copyright[ \t:]+(?:by[ \t]+)?(?!(?:{_NO_HOLDER})(?![a-z0-9]))[a-z\u00df-\u024f][^\n]*"
+    r"|copyright[ \t:]+by[ \t][^\n]*|copyright[ \t:]+the[ \t](?=[^\n]*(?:authors|contributors|foundation|project|regents|university))[^\n]*"
+    r"|\(c\)(?=[^\n]*(?:copyright|(?<![0-9])(?:19|20)[0-9]{2}(?![0-9])))[^\n]*|©[^\n]*|all rights reserved[ \t.!]*)\r?$"
+)
 _MARKS = "[!-/:-@\\[-`{-~«»“”‘’–—©\t\u000b\f\r ]+"  # ASCII punctuation, quotes, dashes and blanks, not the line end
 
 
 def canonical(text: str | Column) -> Column:
-    """Lower case, no copyright lines, one spelling, no punctuation, single blanks; line ends stay."""
+    """Lower case, no lines that state a copyright holder, one spelling, no punctuation, single blanks; line ends stay."""
     out = F.regexp_replace(F.lower(text), _COPYRIGHT, "")
     for spelling, common in SPELLINGS:
         out = F.replace(out, F.lit(spelling), F.lit(common))

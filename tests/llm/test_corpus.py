@@ -2,6 +2,8 @@
 
 import os
 import random
+import re
+import textwrap
 import zlib
 from collections import Counter
 
@@ -246,6 +248,28 @@ def test_license_spellings(spark):
     assert got[1][0] == "MIT" and got[2] == (None, "MIT") and got[3] == (None, "")
 
 
+def whole_texts():
+    return [(n, t) for n, t in licenses.KNOWN if len(t) > 500]
+
+
+def rewrapped(text, width):
+    """The paragraphs of a text that state no copyright, with lines of at most ``width`` characters."""
+    paragraphs = [p for p in re.split(r"\n\s*\n", text) if not re.search(r"(?i)copyright +(\(c\)|[\[<©0-9])", p)]
+    return "\n\n".join("\n".join(textwrap.wrap(" ".join(p.split()), width, break_long_words=False, break_on_hyphens=False)) for p in paragraphs)
+
+
+def test_licenses_in_any_layout(spark):
+    pairs = [(name, rewrapped(text, width), rewrapped(text, 10**6)) for name, text in whole_texts() for width in (20, 33, 60, 65, 70, 72, 76, 78, 80, 100)]
+    df = spark.createDataFrame(pairs, "name string, wrapped string, flat string")
+    got = df.select("name", (licenses.joined(licenses.canonical("wrapped")) == licenses.joined(licenses.canonical("flat"))).alias("same")).collect()
+    assert len(got) == len(pairs) and not [r["name"] for r in got if not r["same"]]
+    isc = dict((n, t) for n, t in licenses.KNOWN if len(t) > 500)["ISC"]
+    usual = "Copyright (c) 2020, X\n\n" + isc.replace("above copyright notice", "above\ncopyright notice")
+    stated = ["Copyright 2020 X", "Copyright (C) X", "copyright by X", "Copyright Jane Doe", "Copyright The Project Authors", "(c) X 2020", "© X", "All rights reserved."]
+    docs = docs_of(spark, [(0, usual)] + [(i, f"{line}\n{isc}") for i, line in enumerate(stated, 1)])
+    assert {r["whole_license"] for r in licenses.scan(docs, licenses.known_licenses(spark)).collect()} == {"ISC"}
+
+
 def test_cascade_order_does_not_change_the_verdict(spark):
     docs = spark.read.parquet(f"{SMALL}/documents.parquet")
     verdicts = [sorted(map(tuple, rules.judge(docs, order).collect())) for order in (rules.RULES, rules.RULES[::-1])]
