@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import re
+from importlib.resources import files
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -42,6 +45,11 @@ KNOWN = (
     ("CC0-1.0", "SPDX-License-Identifier: CC0-1.0"),
 )
 
+# Lines at which the terms begin after a heading, and behind which they end before advice on their use.
+_BEGINS = re.compile(r"^[ \t]*(?:Preamble|0\. PREAMBLE|Statement of Purpose|1\. Definitions\.?|TERMS AND CONDITIONS FOR USE, REPRODUCTION, AND DISTRIBUTION|Redistribution and use in .*|This version of the GNU Lesser .*|Permission is hereby granted, .*)[ \t]*$", re.M)
+_ENDS = re.compile(r"^[ \t]*END OF TERMS AND CONDITIONS[ \t]*$|^(?=[ \t]*(?:ADDENDUM: How to use|E(?i:xhibit) A ?-))", re.M)
+_TITLES = {"MIT": ("MIT License", "The MIT License", "The MIT License (MIT)"), "ISC": ("ISC License", "The ISC License", "ISC License (ISC)"), "BSD-2-Clause": ("BSD 2-Clause License", 'BSD 2-Clause "Simplified" License', "The BSD 2-Clause License"), "BSD-3-Clause": ("BSD 3-Clause License", 'BSD 3-Clause "New" or "Revised" License', "The BSD 3-Clause License"), "Unlicense": ("The Unlicense",)}
+
 # Words that follow "copyright" in licence texts, where it begins no statement of a holder.
 _NO_HOLDER = (
     "a act an and are as at by-laws claims? disclaimer disclaims? does doctrines? exceptions? for from holders? if in infringement interests? is it laws? licen[cs]es? licen[cs]ing licensors? may "
@@ -52,7 +60,7 @@ _COPYRIGHT = (
     r"(?m)^[ \t]*(?:copyright[ \t:,]*(?:\(c\)|©|[0-9]{4}|[<\[{])[^\n]*"
     rf"|copyright[ \t:]+(?:by[ \t]+)?(?!(?:{_NO_HOLDER})(?![a-z0-9]))[a-z\u00df-\u024f][^\n]*"
     r"|copyright[ \t:]+by[ \t][^\n]*|copyright[ \t:]+the[ \t](?=[^\n]*(?:authors|contributors|foundation|project|regents|university))[^\n]*"
-    r"|\(c\)(?=[^\n]*(?:copyright|(?<![0-9])(?:19|20)[0-9]{2}(?![0-9])))[^\n]*|©[^\n]*|all rights reserved[ \t.!]*)\r?$"
+    r"|\(c\)(?=[ \t]*copyright|[^\n]*(?<![0-9])(?:19|20)[0-9]{2}(?![0-9]))[^\n]*|©[^\n]*|all rights reserved[ \t.!]*)\r?$"
 )
 _MARKS = "[!-/:-@\\[-`{-~«»“”‘’–—©\t\u000b\f\r ]+"  # ASCII punctuation, quotes, dashes and blanks, not the line end
 
@@ -75,20 +83,42 @@ def digests(known: DataFrame) -> DataFrame:
     return known.select(F.md5(joined(canonical("text")).cast("binary")).alias("digest"), "license").groupBy("digest").agg(F.min("license").alias("license"))
 
 
+def whole_texts() -> list[tuple[str, str]]:
+    """(license, text) of the folder ``license_texts``, a file a licence, and of MIT and ISC: with each usual heading and without, with what follows the terms and without."""
+    folder = files("cindermap.llm").joinpath("license_texts")
+    texts = [(f.name.removesuffix(".txt"), f.read_text(encoding="utf-8")) for f in sorted(folder.iterdir(), key=lambda f: f.name) if f.name.endswith(".txt")]
+    texts += [(name, text) for name, text in KNOWN if name in ("MIT", "ISC") and "\n\n" in text]
+    out = set()
+    for name, text in texts:
+        begin, end = _BEGINS.search(text), _ENDS.search(text)
+        for first in {0, begin.start() if begin else 0}:
+            out |= {(name, text[first:last].strip()) for last in ({len(text), end.start(), end.end()} if end else {len(text)})}
+        bare = text[begin.start() :] if begin else text
+        out |= {(name, f"{title}\n\n{bare.strip()}") for title in _TITLES.get(name, ())}
+    return sorted(out)
+
+
 def known_licenses(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(list(KNOWN), "license string, text string")
+    """(license, text): the notices above and all whole texts."""
+    return spark.createDataFrame(sorted({*KNOWN, *whole_texts()}), "license string, text string")
+
+
+def paragraphs_of(canon: str | Column) -> Column:
+    """The paragraphs of a canonical text, each on one line, without empty ones."""
+    return F.filter(F.transform(F.split(canon, r"\n *(?:\n *)+"), lambda p: joined(p)), lambda p: p != "")
 
 
 def scan(docs: DataFrame, known: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """Licences that documents are, or hold as a paragraph or a line of their own.
+    """Licences that documents are, or hold as consecutive paragraphs, a paragraph or a line of their own.
 
-    Each document's canonical text, its paragraphs (parted by blank lines) and its lines are digested
+    Each document's canonical text, its paragraphs (parted by blank lines), its lines, and from each paragraph with which a known text of several
+    paragraphs begins as many paragraphs as that text has, are digested
     whole and looked up among the digests of ``known`` (license, text); what matches only in
     part is no match. Returns one row per document: key, whole_license (of the whole text, or null),
-    licenses (distinct names, sorted, joined by a comma; empty if none) and n_blocks (paragraphs and
-    lines that matched; a paragraph of one line counts once).
+    licenses (distinct names, sorted, joined by a comma; empty if none) and n_blocks (runs of paragraphs, paragraphs and
+    lines that matched; a paragraph of one line counts once, a text found with and without its heading twice).
 
-    ``known`` is a list of licences, not data: Spark broadcasts it as long as it is small. Only matches
+    ``known`` is a list of licences, not data: its texts of several paragraphs are collected, and Spark broadcasts it as long as it is small. Only matches
     are regrouped. A null or empty text matches nothing, a text of punctuation alone neither. Rows that repeat
     key and text have the same result, each on its own row; a null key is a key. What other columns ``docs`` has plays no part.
     """
@@ -97,10 +127,26 @@ def scan(docs: DataFrame, known: DataFrame, key: str = "doc_id", text: str = "te
     # a paragraph that is more than one line; lines stand for the others
     paragraphs = F.filter(F.transform(F.split("c", r"\n *(?:\n *)+"), lambda p: F.trim(F.regexp_replace(p, r"^[ \n]+|[ \n]+$", ""))), lambda p: F.contains(p, F.lit("\n")))
     blocks = F.filter(F.transform(F.concat(F.split("c", "\n"), paragraphs), lambda b: joined(b)), lambda b: b != "")
-    narrow = materialize(
-        canon.select("key", "text_digest", F.md5(joined("c").cast("binary")).alias("whole"), F.transform(blocks, lambda b: F.md5(b.cast("binary"))).alias("blocks")),
-        "licences",
-    )
+    first = F.md5(F.element_at("ps", 1).cast("binary")).alias("first")
+    begins = known.select(paragraphs_of(canonical("text")).alias("ps")).filter(F.size("ps") > 1).select(first, F.size("ps").alias("n")).distinct().collect()
+    digested = F.transform(blocks, lambda b: F.md5(b.cast("binary")))
+    if begins:
+        runs = F.array(*[F.struct(F.lit(r["first"]).alias("first"), F.lit(r["n"]).alias("n")) for r in sorted(begins)])
+        firsts = sorted({r["first"] for r in begins})
+        canon = canon.withColumn("ps", F.when(F.contains("c", F.lit("\n")), paragraphs_of("c")))
+        starts = F.filter(F.transform("ps", lambda p, i: F.struct(i.alias("i"), F.md5(p.cast("binary")).alias("d"))), lambda s: s["d"].isin(firsts))
+        canon = canon.withColumn("starts", F.when(F.size("ps") > 1, starts))
+        ran = F.flatten(
+            F.transform(
+                "starts",
+                lambda s: F.transform(
+                    F.filter(runs, lambda x: (x["first"] == s["d"]) & (x["n"] <= F.size("ps") - s["i"])),
+                    lambda x: F.md5(F.array_join(F.slice("ps", s["i"] + 1, x["n"]), " ").cast("binary")),
+                ),
+            )
+        )
+        digested = F.concat(digested, F.coalesce(ran, F.array().cast("array<string>")))
+    narrow = materialize(canon.select("key", "text_digest", F.md5(joined("c").cast("binary")).alias("whole"), digested.alias("blocks")), "licences")
     held = (
         narrow.select("key", "text_digest", F.posexplode("blocks").alias("at", "digest"))
         .join(table, "digest")

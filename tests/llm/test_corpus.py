@@ -249,7 +249,7 @@ def test_license_spellings(spark):
 
 
 def whole_texts():
-    return [(n, t) for n, t in licenses.KNOWN if len(t) > 500]
+    return licenses.whole_texts()
 
 
 def rewrapped(text, width):
@@ -270,6 +270,19 @@ def test_licenses_in_any_layout(spark):
     assert {r["whole_license"] for r in licenses.scan(docs, licenses.known_licenses(spark)).collect()} == {"ISC"}
 
 
+def test_whole_licenses_are_found(spark):
+    texts = licenses.whole_texts()
+    assert {"Apache-2.0", "BSD-2-Clause", "BSD-3-Clause", "GPL-2.0", "GPL-3.0", "LGPL-2.1", "MPL-2.0", "Unlicense", "MIT", "ISC"} <= {n for n, _ in texts}
+    docs = docs_of(spark, [(2 * i, t) for i, (_, t) in enumerate(texts)] + [(2 * i + 1, f"Project\n\nCopyright (c) 2020 X\n\n{t}\n\nMore of it.") for i, (_, t) in enumerate(texts)])
+    got = {r["doc_id"]: r for r in licenses.scan(docs, licenses.known_licenses(spark)).collect()}
+    for i, (name, _) in enumerate(texts):
+        assert got[2 * i]["whole_license"] == name and got[2 * i + 1]["whole_license"] is None, name
+        assert name in got[2 * i]["licenses"].split(",") and name in got[2 * i + 1]["licenses"].split(","), name
+    mit = dict((n, t) for n, t in licenses.KNOWN if len(t) > 500)["MIT"]
+    cut = licenses.scan(docs_of(spark, [(1, mit.rsplit("\n\n", 1)[0])]), licenses.known_licenses(spark)).collect()[0]
+    assert (cut["whole_license"], cut["licenses"]) == (None, "")
+
+
 def test_cascade_order_does_not_change_the_verdict(spark):
     docs = spark.read.parquet(f"{SMALL}/documents.parquet")
     verdicts = [sorted(map(tuple, rules.judge(docs, order).collect())) for order in (rules.RULES, rules.RULES[::-1])]
