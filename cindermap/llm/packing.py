@@ -28,7 +28,7 @@ def token_pieces(docs: DataFrame, tokenizer: str, window: int, end_id: int, lead
     schema = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("doc_tokens", pa.int64()), ("ids", pa.binary())])
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, end = encoder(tokenizer, leading_space), np.array([end_id], "<u4").tobytes()
+        encode, end = encoder(tokenizer, leading_space, special_as_text=False), np.array([end_id], "<u4").tobytes()
         for batch in batches:
             out, held = [], 0
             for doc, body in zip(batch.column(0).to_pylist(), batch.column(1)):

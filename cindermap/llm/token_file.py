@@ -99,7 +99,7 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer: str, end_id: int,
     ranged = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text")).repartitionByRange(n, *order).sortWithinPartitions(*order)
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, end, task = encoder(tokenizer, leading_space), struct.pack("<I", end_id), TaskContext.get()
+        encode, end, task = encoder(tokenizer, leading_space, special_as_text=False), struct.pack("<I", end_id), TaskContext.get()
         files, base = pafs.FileSystem.from_uri(folder)
         path = f"{base}/tokens-{task.partitionId():05d}.zst"
         own, writer = f"{path}.{task.taskAttemptId()}", None

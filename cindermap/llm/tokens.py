@@ -11,7 +11,7 @@ _CACHE_WORDS = 100_000  # bounds the memory of a worker; a full cache starts ane
 _MARKS = ".,;:!?"
 _LATIN = re.compile(r"[A-Za-zÀ-ÖØ-öø-ÿ]+")
 _CUT = re.compile(r"(?<=\S)(?= \S)")  # where a single space stands between two other characters
-_ENCODERS: dict[tuple[str, bool], _Encoder] = {}
+_ENCODERS: dict[tuple[str, bool, bool], _Encoder] = {}
 
 
 def _byte_letters() -> dict[int, str]:
@@ -65,12 +65,17 @@ class _Encoder:
     ``leading_space`` ones keep a single space with the word after it, the others drop white space
     and case. Words of Latin letters are a single piece for the library's model, all else goes through its
     whole chain. Texts with other white space than single spaces and line ends are cut
-    only where a single space stands alone. Strings of special tokens are ordinary text.
+    only where a single space stands alone. With ``special_as_text`` strings of special tokens are ordinary text; without it, as
+    the library loads a file, a text that holds the content of an added token goes to the library whole.
     """
 
-    def __init__(self, path: str, leading_space: bool):
+    def __init__(self, path: str, leading_space: bool, special_as_text: bool):
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.tokenizer.encode_special_tokens = special_as_text
+        added = [] if special_as_text else [t.content for t in self.tokenizer.get_added_tokens_decoder().values() if t.content]
+        normal = [self.tokenizer.normalizer.normalize_str(c) for c in added] if self.tokenizer.normalizer else []
+        # in any case, as a token may be looked for in the text before or after it is brought to lower case
+        self.added = re.compile("|".join(re.escape(c) for c in sorted({*added, *filter(None, normal)})), re.I) if added else None
         self.leading_space = leading_space
         self.first = _Words(self.tokenizer, "", not leading_space)
         self.rest = _Words(self.tokenizer, " ", False) if leading_space else self.first
@@ -80,6 +85,8 @@ class _Encoder:
         return self.first[words[0]] + b"".join(map(self.rest.__getitem__, words[1:]))
 
     def __call__(self, text: str) -> bytes:
+        if self.added and self.added.search(text):
+            return _packed(self.tokenizer.encode(text, add_special_tokens=False).ids)
         self.first.bound()
         self.rest.bound()
         words = text.split()
@@ -92,8 +99,9 @@ class _Encoder:
         return self.first[head] + b"".join([self.rest[piece[1:]] for piece in tail])
 
 
-def encoder(path: str, leading_space: bool) -> _Encoder:
+def encoder(path: str, leading_space: bool, special_as_text: bool = True) -> _Encoder:
     """The encoder of this worker for the vocabulary file; made once and kept between tasks."""
-    if (path, leading_space) not in _ENCODERS:
-        _ENCODERS[path, leading_space] = _Encoder(path, leading_space)
-    return _ENCODERS[path, leading_space]
+    key = (path, leading_space, special_as_text)
+    if key not in _ENCODERS:
+        _ENCODERS[key] = _Encoder(*key)
+    return _ENCODERS[key]

@@ -116,6 +116,24 @@ def test_word_encoder_equals_whole_texts(name, leading):
         assert np.frombuffer(encode(text), "<u4").tolist() == whole.encode(text, add_special_tokens=False).ids, text
 
 
+@pytest.mark.parametrize("name,leading", [("word_bpe_49k.json", False), ("byte_bpe_50k.json", True)])
+def test_added_tokens_as_the_library_reads_them(name, leading):
+    path, rng = public_tokenizers.path(name), random.Random(3)
+    whole, encode = Tokenizer.from_file(path), tokens.encoder(path, leading, special_as_text=False)
+    added = [t.content for t in whole.get_added_tokens_decoder().values()]
+    parts = [*added, *map(str.upper, added), "x", " y", "\n", "  ", "É", "<|", "|>", "endoftext", "don't"]
+    texts = ["x <|endoftext|> y", *added] + ["".join(rng.choice(parts) for _ in range(rng.randrange(1, 12))) for _ in range(1500)]
+    for text in texts:
+        assert np.frombuffer(encode(text), "<u4").tolist() == whole.encode(text, add_special_tokens=False).ids, text
+
+
+def test_pieces_hold_the_ids_of_added_tokens(spark):
+    path, text = public_tokenizers.path("byte_bpe_50k.json"), "x <|endoftext|> y"
+    got = packing.token_pieces(docs_of(spark, [(1, text)]), path, 64, 0).collect()
+    ids = Tokenizer.from_file(path).encode(text, add_special_tokens=False).ids
+    assert [np.frombuffer(bytes(r["ids"]), "<u4").tolist() for r in got] == [[*ids, 0]]
+
+
 def test_token_files_round_trip(spark, tmp_path):
     path = public_tokenizers.path("word_bpe_49k.json")
     docs, whole = docs_of(spark, EDGES), Tokenizer.from_file(path)
