@@ -2,12 +2,20 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cindermap.session import materialize
 
 
+_BLANKS = " \t\x0b\f\r"
+
+
+def _bare(line: Column) -> Column:
+    """A line without white space at its ends, the \\r of a line end included."""
+    return F.trim(line, F.lit(_BLANKS))
+
+
 def line_windows(docs: DataFrame, size: int, key: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per window of ``size`` consecutive lines that are not blank.
 
@@ -16,7 +24,7 @@ def line_windows(docs: DataFrame, size: int, key: str = "doc_id", text: str = "t
     positions of the window's lines in the text.
     """
     lines = F.filter(
-        F.transform(F.split(F.col(text), "\n", -1), lambda line, i: F.struct(i.alias("pos"), F.md5(F.trim(line).cast("binary")).alias("h"), (F.length(F.trim(line)) > 0).alias("full"))),
+        F.transform(F.split(F.col(text), "\n", -1), lambda line, i: F.struct(i.alias("pos"), F.md5(_bare(line).cast("binary")).alias("h"), (F.length(_bare(line)) > 0).alias("full"))),
         lambda x: x["full"],
     )
     numbered = docs.filter(F.col(text).isNotNull()).select(F.col(key).alias("key"), F.md5(F.col(text).cast("binary")).alias("text_digest"), lines.alias("l"))

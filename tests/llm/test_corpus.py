@@ -259,6 +259,12 @@ def test_line_windows_that_overlap(spark):
     assert got == {1: "a\na\na\nz", 2: "x\n\ny", 3: "p\nq\nr\ns", 4: ""}
 
 
+def test_line_ends_do_not_hide_a_passage(spark):
+    docs = docs_of(spark, [(1, "p\nq\nr\ns"), (2, "x\r\np\r\n\r\nq\t\r\nr\r\ny\r"), (3, "a\r\n\r\n\r\n\r\nb"), (4, "c\r\n\r\n\r\n\r\nd")])
+    got = {r["doc_id"]: r["text"] for r in lines.dedup_lines(docs).collect()}
+    assert got == {1: "p\nq\nr\ns", 2: "x\r\n\r\ny\r", 3: "a\r\n\r\n\r\n\r\nb", 4: "c\r\n\r\n\r\n\r\nd"}
+
+
 def test_license_spellings(spark):
     mit = dict((n, t) for n, t in licenses.KNOWN if len(t) > 500)["MIT"]
     docs = docs_of(spark, [(1, "Copyright (c) 2020 X\n" + mit.upper().replace("LICENSE", "Licence")), (2, "text\nreleased under the  MIT licence!\nmore"), (3, "released under the MIT licence or not")])
