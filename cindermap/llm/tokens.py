@@ -75,7 +75,10 @@ class _Encoder:
         added = [] if special_as_text else [t.content for t in self.tokenizer.get_added_tokens_decoder().values() if t.content]
         normal = [self.tokenizer.normalizer.normalize_str(c) for c in added] if self.tokenizer.normalizer else []
         # in any case, as a token may be looked for in the text before or after it is brought to lower case
-        self.added = re.compile("|".join(re.escape(c) for c in sorted({*added, *filter(None, normal)})), re.I) if added else None
+        forms = sorted({*added, *filter(None, normal)})
+        self.added = re.compile("|".join(map(re.escape, forms)), re.I) if forms else None
+        # what each form begins with before its first letter: a plain search for that is cheaper
+        self.begins = {re.match(r"[^\w]*", c)[0] for c in forms}
         self.leading_space = leading_space
         self.first = _Words(self.tokenizer, "", not leading_space)
         self.rest = _Words(self.tokenizer, " ", False) if leading_space else self.first
@@ -85,7 +88,7 @@ class _Encoder:
         return self.first[words[0]] + b"".join(map(self.rest.__getitem__, words[1:]))
 
     def __call__(self, text: str) -> bytes:
-        if self.added and self.added.search(text):
+        if self.added and any(b in text for b in self.begins) and self.added.search(text):
             return _packed(self.tokenizer.encode(text, add_special_tokens=False).ids)
         self.first.bound()
         self.rest.bound()
