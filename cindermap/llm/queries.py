@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cindermap.llm import html, jaccard, licenses, lines, mixing, packing, rules, sharding, token_file, topk
+from cindermap.llm import html, jaccard, licenses, lines, mixing, packing, phrases, rules, sharding, token_file, topk
 from cindermap.llm.common import table
 from cindermap.session import scratch_path
 
@@ -97,3 +97,8 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = rules.quality(table(spark, sf_dir, "documents"), report=True)
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
+@query
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(table(spark, sf_dir, "documents"))

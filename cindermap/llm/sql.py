@@ -140,3 +140,20 @@ SQL["op10_quality_rules"] = rf"""
     SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed,
         NOT (n_words < 10 OR 100 * n_repeat_words > 20 * n_words OR 100 * n_symbols > 30 * n_words OR word_chars < 2 * n_words OR word_chars > 20 * n_words OR 100 * n_dup_lines > 50 * n_lines) AS kept
     FROM measured"""
+
+SQL["op11_collocations"] = r"""
+    WITH pieces AS (SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents WHERE text IS NOT NULL),
+    worded AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM pieces),
+    starts AS (SELECT lang, w[i:i + 4] AS w FROM (SELECT lang, w, unnest(range(1, len(w) + 1)) AS i FROM worded)),
+    counted AS (SELECT lang, m, array_to_string(w[1:m], ' ') AS phrase, count(*)::HUGEINT AS f FROM (SELECT lang, w, unnest(range(1, len(w) + 1)) AS m FROM starts) GROUP BY ALL),
+    langs AS (SELECT lang, sum(f) AS n FROM counted WHERE m = 1 GROUP BY lang),
+    cand AS (SELECT lang, phrase, f AS a, m, string_split(phrase, ' ') AS w FROM counted WHERE m >= 2 AND f >= 100),
+    cuts AS (SELECT lang, phrase, a, w, m, unnest(range(1, m)) AS k FROM cand),
+    cutted AS (SELECT c.lang, c.phrase, c.a, c.k, x.f AS l, y.f AS r, n, (1000 * c.a * n) // (x.f * y.f) AS score FROM cuts c JOIN langs USING (lang)
+        JOIN counted x ON x.lang = c.lang AND x.phrase = array_to_string(c.w[1:c.k], ' ') JOIN counted y ON y.lang = c.lang AND y.phrase = array_to_string(c.w[c.k + 1:], ' ')),
+    lowest AS (SELECT * FROM cutted QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
+    parts AS (SELECT lang, a AS longer, array_to_string(w[i:i + j - 1], ' ') AS phrase FROM (SELECT *, unnest(range(1, m - j + 2)) AS i FROM (SELECT *, unnest(range(2, m)) AS j FROM cand))),
+    inside AS (SELECT DISTINCT p.lang, p.phrase FROM parts p JOIN cand c ON c.lang = p.lang AND c.phrase = p.phrase WHERE 100 * p.longer >= 100 * c.a),
+    ranked AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, encode(phrase)) AS rank FROM lowest ANTI JOIN inside USING (lang, phrase))
+    SELECT lang, CAST(rank AS BIGINT) AS rank, phrase, CAST(a AS BIGINT) AS a, CAST(l AS BIGINT) AS l, CAST(r AS BIGINT) AS r, CAST(n AS BIGINT) AS n, CAST(score AS BIGINT) AS score
+    FROM ranked WHERE rank <= 2000"""
