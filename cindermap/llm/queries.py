@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cindermap.llm import html, jaccard, licenses, lines, mixing, packing, phrases, rules, sharding, token_file, topk
+from cindermap.llm import html, jaccard, licenses, lines, mixing, packing, periodic, phrases, rules, sharding, token_file, topk
 from cindermap.llm.common import table
 from cindermap.session import scratch_path
 
@@ -102,3 +102,34 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return phrases.collocations(table(spark, sf_dir, "documents"))
+
+
+def with_cycles(docs: DataFrame) -> DataFrame:
+    """Every tenth document, by the checksum of its id, repeats a stretch of its words from some word on to the end; a null id stays as it is."""
+    words = F.expr(r"regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+', 0)")
+    h = F.crc32(F.col("doc_id").cast("string"))
+    g = F.floor(h / 10).cast("long")
+    n = F.greatest(F.size(words), F.lit(1)).cast("long")
+    a = g % n
+    p = F.lit(1) + F.floor((n - a) / (F.lit(3) + g % 8)).cast("long")
+    cycle = F.flatten(F.array_repeat(F.slice(words, (a + 1).cast("int"), p.cast("int")), F.ceil((n - a) / p).cast("int")))
+    cycled = F.concat(F.slice(words, F.lit(1), a.cast("int")), F.slice(cycle, F.lit(1), (n - a).cast("int")))
+    return docs.withColumn("text", F.when(h % 10 == 0, F.array_join(cycled, " ")).otherwise(F.col("text")))
+
+
+@query
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = periodic.periodic_runs(with_cycles(table(spark, sf_dir, "documents")))
+    # greatest length, then smallest start, then smallest period
+    longest = F.array_min(F.transform("runs", lambda r: F.struct((-r["length"]).alias("less"), r["start"].alias("start"), r["period"].alias("period"))))
+    length = -longest["less"]
+    lines = F.array_join(F.transform("runs", lambda r: F.concat(F.concat_ws(",", r["start"].cast("string"), r["length"].cast("string"), r["period"].cast("string")), F.lit("\n"))), "")
+    return found.select(
+        "doc_id",
+        F.size("runs").cast("long").alias("n_runs"),
+        longest["start"].alias("start"),
+        length.alias("length"),
+        longest["period"].alias("period"),
+        F.sha2(lines, 256).alias("runs_sha256"),
+        F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    ).withColumn("exponent_milli", F.expr("1000 * length div period"))

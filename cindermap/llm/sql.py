@@ -157,3 +157,21 @@ SQL["op11_collocations"] = r"""
     ranked AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, encode(phrase)) AS rank FROM lowest ANTI JOIN inside USING (lang, phrase))
     SELECT lang, CAST(rank AS BIGINT) AS rank, phrase, CAST(a AS BIGINT) AS a, CAST(l AS BIGINT) AS l, CAST(r AS BIGINT) AS r, CAST(n AS BIGINT) AS n, CAST(score AS BIGINT) AS score
     FROM ranked WHERE rank <= 2000"""
+
+_ID_CRC = _CRC.replace("coalesce(text, '')", "CAST(doc_id AS VARCHAR)")
+SQL["op12_periodic_runs"] = rf"""
+    WITH hashed AS (SELECT row_number() OVER () AS r, doc_id, {_WORDS} AS w, {_ID_CRC} AS h FROM documents),
+    cut AS (SELECT *, len(w) AS n, (h // 10) % greatest(len(w), 1) AS a FROM hashed),
+    cycled AS (SELECT *, 1 + (n - a) // (3 + (h // 10) % 8) AS c FROM cut),
+    words AS (SELECT r, doc_id, CAST(n AS BIGINT) AS n, CASE WHEN h % 10 = 0 THEN list_transform(range(0, n), lambda i: w[(CASE WHEN i < a THEN i ELSE a + (i - a) % c END) + 1]) ELSE w END AS w FROM cycled),
+    windows AS (SELECT r, i, array_to_string(w[i + 1:i + 6], ' ') AS win FROM (SELECT r, w, unnest(range(0, n - 5)) AS i FROM words)),
+    -- words that equal those q on: stretches of windows that do
+    equal AS (SELECT x.r, y.i - x.i AS q, x.i FROM windows x JOIN windows y ON x.r = y.r AND x.win = y.win AND x.i < y.i),
+    islands AS (SELECT r, q, min(i) AS s, max(i) + 6 - min(i) + q AS len FROM (SELECT r, q, i, i - row_number() OVER (PARTITION BY r, q ORDER BY i) AS part FROM equal) GROUP BY r, q, part),
+    runs AS (SELECT r, s, len, min(q) AS q FROM islands WHERE len >= greatest(12, 2 * q) GROUP BY r, s, len),
+    listed AS (SELECT r, count(*) AS n_runs, string_agg(concat(s, ',', len, ',', q, chr(10)), '' ORDER BY s, q) AS lines, arg_min((s, len, q), (-len, s, q)) AS best FROM runs GROUP BY r),
+    gone AS (SELECT DISTINCT r, unnest(range(s + q, s + len)) AS i FROM runs),
+    kept AS (SELECT r, string_agg(word, ' ' ORDER BY i) AS text FROM (SELECT r, unnest(range(0, n)) AS i, unnest(w) AS word FROM words) ANTI JOIN gone USING (r, i) GROUP BY r)
+    SELECT doc_id, CAST(coalesce(n_runs, 0) AS BIGINT) AS n_runs, CAST(best[1] AS BIGINT) AS start, CAST(best[2] AS BIGINT) AS length, CAST(best[3] AS BIGINT) AS period,
+        CAST((1000 * best[2]) // best[3] AS BIGINT) AS exponent_milli, sha256(coalesce(lines, '')) AS runs_sha256, sha256(coalesce(text, '')) AS collapsed_sha256
+    FROM words LEFT JOIN listed USING (r) LEFT JOIN kept USING (r)"""
