@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cindermap.llm import html, jaccard, licenses, lines, mixing, packing, periodic, phrases, rules, sharding, token_file, topk
+from cindermap.llm import covertree, html, jaccard, licenses, lines, mixing, packing, periodic, phrases, rules, sharding, token_file, topk
 from cindermap.llm.common import table
 from cindermap.session import scratch_path
 
@@ -133,3 +133,8 @@ def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2(lines, 256).alias("runs_sha256"),
         F.sha2("collapsed", 256).alias("collapsed_sha256"),
     ).withColumn("exponent_milli", F.expr("1000 * length div period"))
+
+
+@query
+def op13_near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return covertree.near_vectors(table(spark, sf_dir, "embeddings"), 95, 100)

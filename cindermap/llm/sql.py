@@ -175,3 +175,12 @@ SQL["op12_periodic_runs"] = rf"""
     SELECT doc_id, CAST(coalesce(n_runs, 0) AS BIGINT) AS n_runs, CAST(best[1] AS BIGINT) AS start, CAST(best[2] AS BIGINT) AS length, CAST(best[3] AS BIGINT) AS period,
         CAST((1000 * best[2]) // best[3] AS BIGINT) AS exponent_milli, sha256(coalesce(lines, '')) AS runs_sha256, sha256(coalesce(text, '')) AS collapsed_sha256
     FROM words LEFT JOIN listed USING (r) LEFT JOIN kept USING (r)"""
+
+SQL["op13_near_vectors"] = """
+    WITH RECURSIVE v AS (SELECT row_number() OVER () AS r, vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
+    fit AS (SELECT r, vec_id, e, sqrt(list_dot_product(e, e)) AS norm FROM v WHERE e IS NOT NULL AND len(e) > 0 AND len(list_filter(e, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(e, lambda x: x <> 0)) > 0),
+    links AS (SELECT a.r AS a, b.r AS b, b.vec_id AS other FROM fit a JOIN fit b ON a.r <> b.r AND len(a.e) = len(b.e) AND list_dot_product(a.e, b.e) / (a.norm * b.norm) >= 0.95),
+    reach AS (SELECT a AS node, b AS other FROM links UNION SELECT reach.node, links.b FROM reach JOIN links ON links.a = reach.other),
+    least AS (SELECT node, min(vec_id) AS m FROM reach JOIN v ON v.r = reach.other GROUP BY node)
+    SELECT vec_id, coalesce(n, 0) AS n_links, least(m, vec_id) AS component_id, vec_id IS NOT DISTINCT FROM least(m, vec_id) AS kept
+    FROM v LEFT JOIN (SELECT a, count(*) AS n FROM links GROUP BY a) c ON c.a = v.r LEFT JOIN least ON node = v.r"""
