@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator, Sequence
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -14,7 +15,7 @@ from pyspark.sql import functions as F
 from cindermap.llm.common import running_totals
 from cindermap.session import materialize
 
-BUDGET = 100_000  # leaves that one prefix, and one group of prefixes, may have; a group holds less than twice as many
+BUDGET = 200_000  # leaves, counted per task, that one prefix, and one group of prefixes, may have; a group holds less than twice as many
 LEAST_BITS, MOST_BITS = 16, 28  # size of the table of pair counters: about one counter for sixteen bytes of text, 2^28 at most
 LOCAL_WORDS, LOCAL_ROWS = 200_000, 1_000_000  # what a task keeps before it hands on what it has counted
 SHARES = 256  # in which a language's phrases are ranked first
@@ -157,12 +158,21 @@ def _often(counted: DataFrame, bits: int, limit: int) -> bytes:
     return b"".join(bytes(marked.get(b, bytes(_BLOCK // 8))) for b in range(blocks))
 
 
+_LEAVES = "lang string, prefix string, leaves int, suffixes array<string>, totals array<long>"
+_LEAVES_SCHEMA = pa.schema([("lang", pa.string()), ("prefix", pa.string()), ("leaves", pa.int32()), ("suffixes", pa.list_(pa.string())), ("totals", pa.list_(pa.int64()))])
+
+
+def _leaf_rows(langs: list[str], prefixes: list[str], sizes: np.ndarray, suffixes: list, totals) -> pa.RecordBatch:
+    ends = pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32())
+    lists = [pa.ListArray.from_arrays(ends, pa.array(values, kind)) for values, kind in ((suffixes, pa.string()), (totals, pa.int64()))]
+    return pa.RecordBatch.from_arrays([pa.array(langs, pa.string()), pa.array(prefixes, pa.string()), pa.array(sizes, pa.int32()), *lists], schema=_LEAVES_SCHEMA)
+
+
 def _suffixes(texts: DataFrame, often, bits: int, depth: int) -> DataFrame:
-    """(lang, suffix, total): the words from a place on, cut at the first pair that cannot be frequent or after ``depth`` words.
+    """Per task and first word one row of suffixes with their totals: the words from a place on, cut at the first pair that cannot be frequent or after ``depth`` words.
 
-    Equal suffixes of a task are one row. Places whose first pair is not frequent give none.
+    Equal suffixes of a task are one. Places whose first pair is not frequent give none.
     """
-    schema = pa.schema([("lang", pa.string()), ("suffix", pa.string()), ("total", pa.int64())])
 
     def totals(reader: _Reader, kept: dict[str, list[np.ndarray]]) -> Iterator[pa.RecordBatch]:
         for lang, parts in kept.items():
@@ -170,11 +180,16 @@ def _suffixes(texts: DataFrame, often, bits: int, depth: int) -> DataFrame:
             m = m[np.lexsort(m.T[::-1])]
             first = np.flatnonzero(np.concatenate([[True], (m[1:] != m[:-1]).any(axis=1)]))
             total = np.diff(np.concatenate([first, [len(m)]]))
-            names = reader.names
-            for i in range(0, len(first), 50_000):
-                some = m[first[i : i + 50_000]].tolist()
-                text = [b" ".join([names[j] for j in row if j]).decode("utf-8", "replace") for row in some]
-                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(some)), pa.array(text), pa.array(total[i : i + 50_000], pa.int64())], schema=schema)
+            m, names = m[first], reader.names
+            word = np.concatenate([[0], np.flatnonzero(np.diff(m[:, 0])) + 1, [len(m)]])  # where first words begin
+            at = 0
+            while at < len(word) - 1:
+                upto = max(at + 1, int(np.searchsorted(word, word[at] + 50_000, "right")) - 1)
+                rows = slice(word[at], word[upto])
+                text = [b" ".join([names[j] for j in row if j]) for row in m[rows].tolist()]
+                heads = [names[j] for j in m[word[at:upto], 0].tolist()]
+                yield _leaf_rows([lang] * len(heads), heads, np.diff(word[at : upto + 1]), text, total[rows])
+                at = upto
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bitmap = np.frombuffer(often.value, np.uint8)
@@ -188,8 +203,8 @@ def _suffixes(texts: DataFrame, often, bits: int, depth: int) -> DataFrame:
                 if not len(at):
                     continue
                 m = np.zeros((len(at), depth), np.int32)
-                m[:, 0], alive = ids[at], np.ones(len(at), bool)
-                for k in range(1, depth):
+                m[:, 0], m[:, 1], alive = ids[at], ids[at + 1], np.ones(len(at), bool)
+                for k in range(2, depth):
                     # the last place ends a piece, so a pair that goes on never starts there
                     alive = alive & go[np.minimum(at + k - 1, len(go) - 1)]
                     m[alive, k] = ids[at[alive] + k]
@@ -200,60 +215,87 @@ def _suffixes(texts: DataFrame, often, bits: int, depth: int) -> DataFrame:
                 reader, kept, n = _Reader(), {}, 0
         yield from totals(reader, kept)
 
-    return texts.mapInArrow(cut, "lang string, suffix string, total long")
+    return texts.mapInArrow(cut, _LEAVES)
+
 
+def _lengthened(rows: DataFrame, k: int) -> DataFrame:
+    """Rows with prefixes of ``k`` words; a shorter suffix is a prefix of its own."""
 
-def _groups(leaves: DataFrame, depth: int, budget: int) -> DataFrame:
-    """``leaves`` with the group they belong to: prefixes of one word, longer ones where more than ``budget`` leaves begin alike.
+    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for lang, suffixes, totals in zip(batch.column(0).to_pylist(), batch.column(3), batch.column(4)):
+                parts: dict[str, list[tuple[str, int]]] = {}
+                for suffix, total in zip(suffixes.as_py(), totals.as_py()):
+                    parts.setdefault(" ".join(suffix.split(" ", k)[:k]), []).append((suffix, total))
+                each = [leaf for part in parts.values() for leaf in part]
+                yield _leaf_rows([lang] * len(parts), list(parts), np.array([len(p) for p in parts.values()]), [s for s, _ in each], [t for _, t in each])
 
-    A prefix of ``depth`` words has one leaf, so the lengthening ends. Prefixes in the order of language and words are
+    return rows.mapInArrow(split, _LEAVES)
+
+
+def _groups(rows: DataFrame, depth: int, budget: int) -> tuple[DataFrame, DataFrame]:
+    """``rows`` with the group of their prefix: one word, more where more than ``budget`` leaves begin alike; and the nodes above prefixes.
+
+    A prefix of ``depth`` words has one leaf per task, so the lengthening ends. Prefixes in the order of language and words are
     cut into groups by the running sum of their leaves.
     """
-    marked, prefixes, crowded = leaves.withColumn("prefix", F.substring_index("suffix", " ", 1)), None, leaves
+    done: list[DataFrame] = []
+    sizes: list[DataFrame] = []
+    tops = [rows.sparkSession.createDataFrame([], "lang string, phrase string, words int, a long")]
     for k in range(1, depth + 1):
-        sizes = materialize(crowded.groupBy("lang", F.substring_index("suffix", " ", k).alias("prefix")).agg(F.count(F.lit(1)).alias("leaves")), "prefixes")
-        fits = (F.col("leaves") <= F.lit(budget)) if k < depth else F.lit(True)
-        light = sizes.filter(fits)
-        prefixes = light if prefixes is None else prefixes.union(light)
-        heavy = materialize(sizes.filter(~fits).select(F.col("lang").alias("__l"), F.col("prefix").alias("__p")), "crowded")
+        counts = materialize(rows.groupBy("lang", "prefix").agg(F.sum("leaves").alias("leaves")), "prefixes")
+        fits = F.col("leaves") <= F.lit(budget) if k < depth else F.lit(True)
+        heavy = materialize(counts.filter(~fits).select("lang", "prefix"), "crowded")  # at most leaves / budget rows
+        sizes.append(counts.filter(fits))
         if heavy.isEmpty():
+            done.append(rows.withColumn("k", F.lit(k)))
             break
-        # at most leaves / budget rows
-        marked = marked.join(heavy, (F.col("lang") == F.col("__l")) & (F.substring_index("suffix", " ", k) == F.col("__p")), "left")
-        longer = F.when(F.col("__p").isNotNull(), F.substring_index("suffix", " ", k + 1)).otherwise(F.col("prefix"))
-        marked = materialize(marked.withColumn("prefix", longer).drop("__l", "__p"), "leaves")
-        crowded = crowded.join(heavy, (F.col("lang") == F.col("__l")) & (F.substring_index("suffix", " ", k) == F.col("__p")), "left_semi")
-    placed = running_totals(prefixes, "leaves", ["lang", "prefix"]).select("lang", "prefix", F.expr(f"before div {budget}").alias("group"))
-    return marked.join(materialize(placed, "groups"), ["lang", "prefix"]).select("group", "lang", "suffix", "total")
+        done.append(rows.join(heavy, ["lang", "prefix"], "left_anti").withColumn("k", F.lit(k)))
+        rows = rows.join(heavy, ["lang", "prefix"], "left_semi")
+        if k > 1:
+            below = F.sum(F.aggregate("totals", F.lit(0).cast("long"), lambda total, n: total + n))
+            tops.append(rows.groupBy("lang", F.col("prefix").alias("phrase")).agg(F.lit(k).alias("words"), below.alias("a")).select("lang", "phrase", "words", "a"))
+        rows = materialize(_lengthened(rows, k + 1), "longer")
+    placed = running_totals(reduce(DataFrame.union, sizes), "leaves", ["lang", "prefix"]).select("lang", "prefix", F.expr(f"before div {budget}").alias("group"))
+    grouped = reduce(DataFrame.union, done).join(materialize(placed, "groups"), ["lang", "prefix"]).select("group", "lang", "k", "suffixes", "totals")
+    return grouped, reduce(DataFrame.union, tops)
 
 
 def _subtrees(grouped: DataFrame, least: int) -> DataFrame:
-    """(lang, phrase, words, a): the inner nodes and leaves of each group's subtree that occur ``least`` times or more."""
+    """(lang, phrase, words, a): the inner nodes and leaves of each group's subtree that occur ``least`` times or more.
+
+    Nodes of fewer words than the group's prefix are not whole here.
+    """
 
     def build(table: pa.Table) -> pa.Table:
-        leaves = sorted(zip(table["lang"].to_pylist(), [s.split(" ") for s in table["suffix"].to_pylist()], table["total"].to_pylist()))
+        held: dict[tuple[str, int], dict[str, int]] = {}
+        for lang, k, suffixes, totals in zip(table["lang"].to_pylist(), table["k"].to_pylist(), table["suffixes"], table["totals"]):
+            into = held.setdefault((lang, k), {})
+            for suffix, total in zip(suffixes.as_py(), totals.as_py()):
+                into[suffix] = into.get(suffix, 0) + total
         found: list[tuple[str, str, int, int]] = []
-        path: list[str] = []  # language and words of the open nodes, with the totals of the leaves below each
+        path: list[str] = []  # words of the open nodes, with the totals of the leaves below each
         totals: list[int] = []
 
         def close(upto: int) -> None:
             while len(path) > upto:
                 total = totals.pop()
-                if total >= least and len(path) > 2:
-                    found.append((path[0], " ".join(path[1:]), len(path) - 1, total))
+                if total >= least and len(path) >= max(2, k):
+                    found.append((lang, " ".join(path), len(path), total))
                 path.pop()
                 if totals:
                     totals[-1] += total
 
-        for lang, words, total in leaves:
-            names, common = [lang, *words], 0
-            while common < len(path) and common < len(names) and path[common] == names[common]:
-                common += 1
-            close(common)
-            path.extend(names[common:])
-            totals.extend([0] * (len(names) - common))
-            totals[-1] += total
-        close(0)
+        for (lang, k), leaves in held.items():
+            for words, total in sorted([(suffix.split(" "), n) for suffix, n in leaves.items()]):
+                common = 0
+                while common < len(path) and common < len(words) and path[common] == words[common]:
+                    common += 1
+                close(common)
+                path.extend(words[common:])
+                totals.extend([0] * (len(words) - common))
+                totals[-1] += total
+            close(0)
         columns = list(zip(*found)) if found else [[]] * 4
         return pa.table({"lang": pa.array(columns[0], pa.string()), "phrase": pa.array(columns[1], pa.string()), "words": pa.array(columns[2], pa.int32()), "a": pa.array(columns[3], pa.int64())})
 
@@ -300,10 +342,11 @@ def collocations(
     1. One reading counts the words of each language and, in a table of counters of bounded size, pairs of words. A pair whose counter
        stays below ``least`` is in no candidate; pairs that share a counter only let more through.
     2. A second reading gives the suffix at each place, cut at the first pair that cannot be frequent and at ``longest`` words.
-       Equal suffixes are added up in the task and then over all: these are the leaves with their totals.
+       Equal suffixes are added up in the task and handed on by first word: these are the leaves with their totals.
     3. Vertical partitioning: prefixes of one word are lengthened where more than ``budget`` leaves share them, and put together
        in groups of less than twice the budget.
-    4. Each group builds its truncated subtree by itself, from its sorted leaves; counts are sums of leaf totals.
+    4. Each group builds its truncated subtree by itself, from its sorted leaves; counts are sums of leaf totals,
+       those of nodes above a long prefix sums over all its leaves.
 
     Counts are exact: every occurrence of a phrase that is frequent has only pairs that pass. A null or empty text has no words, a null
     language is ``und``, repeated rows count each time, no rows give no rows. Words may be of any length; other
@@ -321,9 +364,8 @@ def collocations(
     words = materialize(counted.filter(F.col("word").isNotNull()).groupBy("lang", "word").agg(F.sum("f").alias("f")), "words")
     n = materialize(words.groupBy("lang").agg(F.sum("f").alias("n")), "languages")
     often = spark.sparkContext.broadcast(_often(counted, bits, least))
-    leaves = _suffixes(texts, often, bits, longest).groupBy("lang", "suffix").agg(F.sum("total").alias("total"))
-    grouped = _groups(materialize(leaves, "leaves"), longest, budget)
-    frequent = materialize(_subtrees(grouped, least), "frequent")
+    grouped, tops = _groups(materialize(_suffixes(texts, often, bits, longest), "leaves"), longest, budget)
+    frequent = materialize(_subtrees(grouped, least).union(tops.filter(F.col("a") >= least)), "frequent")
     scored = materialize(_scored(frequent, words.filter(F.col("f") >= least), n), "scored")
     left = scored.join(materialize(_inside(frequent, percent), "inside"), ["lang", "phrase"], "left_anti")
 
