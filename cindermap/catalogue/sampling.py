@@ -31,13 +31,12 @@ def balanced_bootstrap(spark, folder):
 
 
 @query(f"""
-WITH s AS (SELECT {_TARGET_SQL} AS target, COUNT(*) AS n FROM orders WHERE o_totalprice > 400000 GROUP BY 1), d AS (SELECT n FROM s WHERE target = 'death')
-SELECT s.target, CASE WHEN s.target = 'death' THEN d.n ELSE CAST(floor(0.5 * ceil(d.n / 0.5::DOUBLE)) AS BIGINT) END AS n,
-  CASE WHEN s.target = 'death' THEN d.n ELSE CAST(floor(0.5 * ceil(d.n / 0.5::DOUBLE)) AS BIGINT) END AS n_distinct FROM s, d""")
+WITH s AS (SELECT {_TARGET_SQL} AS target, COUNT(*) AS n FROM orders GROUP BY 1), d AS (SELECT n FROM s WHERE target = 'death'),
+w AS (SELECT s.target, CASE s.target WHEN 'death' THEN d.n WHEN 'inj' THEN ceil(d.n / 0.5) * 3 // 10 ELSE ceil(d.n / 0.5) * 2 // 10 END AS n FROM s, d)
+SELECT target, CAST(n AS BIGINT) AS n, CAST(n AS BIGINT) AS n_distinct FROM w""")
 def balanced_subset(spark, folder):
-    """R1 without replacement."""
-    rows = _incidents(spark, folder).filter("target <> 'no_inj'")
-    s = downsample(rows, "target", ["death", "inj"], [0.5, 0.5], ["o_orderkey"], replace=False)
+    """R1 without replacement: three classes at .5 / .3 / .2."""
+    s = downsample(_incidents(spark, folder), "target", ["death", "inj", "no_inj"], [0.5, 0.3, 0.2], ["o_orderkey"], replace=False)
     return s.groupBy("target").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("o_orderkey").alias("n_distinct"))
 
 
@@ -91,3 +90,21 @@ def rows_per_band(spark, folder):
     l = table(spark, folder, "lineitem").select("l_returnflag", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")
     s = sample_per_band(l, "l_returnflag", 100, ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"])
     return s.groupBy("l_returnflag").agg(F.count(F.lit(1)).alias("n"))
+
+
+_SHARES = (0.07, 0.29, 0.55, 0.57, 0.8, 0.9)
+
+
+@query(f"""
+WITH c AS (SELECT o_orderpriority AS band, COUNT(*) AS n FROM orders GROUP BY 1),
+s AS (SELECT unnest([{", ".join(f"{round(x * 100)}" for x in _SHARES)}]) AS percent)
+SELECT band, CAST(percent AS INTEGER) AS percent, n, (n * percent + 99) // 100 AS n_train FROM c, s""")
+def exact_shares(spark, folder):
+    """R4 at shares that a double holds only nearly: the training rows of every class are ceil(share * n), counted in whole numbers."""
+    orders = table(spark, folder, "orders").select("o_orderkey", F.col("o_orderpriority").alias("band"))
+    out = None
+    for share in _SHARES:
+        split = stratified_split(orders, "band", ["o_orderkey"], share)
+        part = split.groupBy("band").agg(F.lit(round(share * 100)).alias("percent"), F.count(F.lit(1)).alias("n"), F.count_if("is_train").alias("n_train"))
+        out = part if out is None else out.union(part)
+    return out

@@ -2,16 +2,20 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
+from fractions import Fraction
 from math import ceil, floor, isclose
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from cindermap.operators.quantiles import exact_quantiles
 from cindermap.operators.rank import dense_index
+from cindermap.session import materialize
 
-_HASH_SPAN = 1 << 52  # hashes stay exact when held as a double
+_HASH_BITS = 52
+_HASH_SPAN = 1 << _HASH_BITS  # hashes stay exact when held as a double
+RADIX_BITS = 16  # of the hash that one histogram counts by
+BUCKET_ROWS = 100_000  # a bucket of a class with more rows is counted by its next bits
 
 
 def key_hash(keys: Sequence[str], seed: int) -> Column:
@@ -38,12 +42,72 @@ def sample_plan(sizes: Mapping[str, int], classes: Sequence[str], shares: Sequen
     if set(classes) != set(sizes):
         raise ValueError(f"classes in the data are {sorted(map(str, sizes))}")
     primary = sizes[classes[0]] if n is None else n
-    total = ceil(primary / shares[0])
+    total = ceil(primary / _exact(shares[0]))
     plan = {classes[0]: primary}
-    plan.update({c: floor(share * total) for c, share in zip(classes[1:], shares[1:])})
+    plan.update({c: floor(_exact(share) * total) for c, share in zip(classes[1:], shares[1:])})
     return plan
 
 
+def _exact(share: float) -> Fraction:
+    """The share as it is written: .55 is 55 of 100, not the double next to it."""
+    return Fraction(repr(share)) if isinstance(share, float) else Fraction(share)
+
+
+def share_rank(n: Column, share: float) -> Column:
+    """``ceil(share * n)`` in whole numbers."""
+    f = _exact(share)
+    if not 0 <= f <= 1:
+        raise ValueError("a share lies between 0 and 1")
+    # quotient and rest of n apart, so that the product stays within 63 bits
+    whole, rest = F.call_function("div", n, F.lit(f.denominator)), n % F.lit(f.denominator)
+    return whole * F.lit(f.numerator) + F.call_function("div", rest * F.lit(f.numerator) + F.lit(f.denominator - 1), F.lit(f.denominator))
+
+
+def rank_cuts(df: DataFrame, group: str, keys: Sequence[str], seed: int, rank: Callable[[Column], Column]) -> DataFrame:
+    """(``__group``, ``__cut``): hash and keys of the row with rank ``rank(n)`` in hash order, for every group of n rows.
+
+    A radix histogram: rows are counted per group by the first bits of the hash, and only the one bucket per group that
+    holds the rank is looked at again, by its next bits as long as it is large, then row by row. Two passes for any number of groups up to
+    about ``2^RADIX_BITS * BUCKET_ROWS`` rows in a group, one more for each further ``RADIX_BITS``. Ranks are whole numbers from
+    end to end; equal hashes are told apart by their keys. Groups whose rank is 0 have no row.
+    """
+    h = key_hash(keys, seed)
+    rows = df.select(F.col(group).alias("__group"), h.alias("__h"), F.struct(h.alias("h"), *[F.col(k) for k in keys]).alias("__at"))
+    upto = Window.partitionBy("__group").orderBy("__bucket").rowsBetween(Window.unboundedPreceding, 0)
+    chosen, used = None, 0
+    while True:
+        used = min(used + RADIX_BITS, _HASH_BITS)
+        inside = rows if chosen is None else _within(rows, chosen)
+        counted = inside.withColumn("__bucket", F.shiftright("__h", _HASH_BITS - used))
+        counted = counted.groupBy("__group", "__bucket", *([] if chosen is None else ["__rank"])).agg(F.count(F.lit(1)).alias("__n"))
+        if chosen is None:
+            counted = counted.withColumn("__rank", rank(F.sum("__n").over(Window.partitionBy("__group"))))
+        placed = counted.withColumn("__upto", F.sum("__n").over(upto))
+        held = placed.filter((F.col("__rank") > F.col("__upto") - F.col("__n")) & (F.col("__rank") <= F.col("__upto")))
+        chosen = materialize(
+            held.select("__group", F.col("__bucket").alias("__b"), (F.col("__rank") - F.col("__upto") + F.col("__n")).alias("__rank"), "__n", F.lit(_HASH_BITS - used).alias("__shift")), "ranks"
+        )
+        if used == _HASH_BITS or chosen.filter(F.col("__n") > BUCKET_ROWS).isEmpty():
+            break
+    order = Window.partitionBy("__group").orderBy("__at")
+    last = _within(rows, chosen).withColumn("__place", F.row_number().over(order)).filter(F.col("__place") == F.col("__rank"))
+    return materialize(last.select("__group", F.col("__at").alias("__cut")), "cuts")
+
+
+def _within(rows: DataFrame, chosen: DataFrame) -> DataFrame:
+    """The rows in the chosen bucket of their group."""
+    of = chosen.select(F.col("__group").alias("__g"), "__b", "__rank", "__shift")
+    return rows.join(of, F.col("__group").eqNullSafe(F.col("__g")) & (F.expr("shiftright(__h, __shift)") == F.col("__b"))).drop("__g", "__b", "__shift")
+
+
+def _up_to(df: DataFrame, group: str, keys: Sequence[str], seed: int, rank: Callable[[Column], Column]) -> DataFrame:
+    """``df`` with ``__taken``: whether a row is among the first ``rank(n)`` of its group in hash order."""
+    cuts = rank_cuts(df, group, keys, seed, rank)
+    at = F.struct(key_hash(keys, seed).alias("h"), *[F.col(k) for k in keys])
+    joined = df.withColumn("__at", at).join(cuts, F.col(group).eqNullSafe(F.col("__group")), "left")
+    return joined.withColumn("__taken", F.coalesce(F.col("__at") <= F.col("__cut"), F.lit(False))).drop("__at", "__group", "__cut")
+
+
 def draw_with_replacement(
     df: DataFrame, keys: Sequence[str], wanted: Mapping[str, int], target: str, sizes: Mapping[str, int], seed: int
 ) -> DataFrame:
@@ -85,33 +149,11 @@ def draw_without_replacement(
     for c, n in wanted.items():
         if n > sizes.get(c, 0):
             raise ValueError(f"class {c!r} has {sizes.get(c, 0)} rows, {n} wanted without replacement")
-    h = key_hash(keys, seed)
-    cuts = _hash_cuts(df, h, target, {c: (wanted[c] - 0.5) / sizes[c] for c in wanted if 0 < wanted[c]})  # half a row off: no rounding passes a rank
-    kept = df.withColumn("__cuts", cuts).filter(h <= F.col("__cuts")[F.col(target).cast("string")])
-    return kept.drop("__cuts").withColumn("draw_id", key_hash(keys, seed))
-
-
-def _as_text(value: object) -> str:
-    """A class as Spark's cast to text writes it."""
-    return str(value).lower() if isinstance(value, bool) else str(value)
-
-
-def _hash_cuts(df: DataFrame, h: Column, target: str, shares: Mapping[str, float]) -> Column:
-    """Scalar map: class -> the hash of rank ``ceil(share * rows)`` within the class."""
-    classes = list(shares)
-    table = None
-    for share in sorted(set(shares.values())):
-        members = [c for c in classes if shares[c] == share]
-        part = exact_quantiles(
-            df,
-            {_as_text(c): F.when(F.col(target) == F.lit(c), h) for c in members},
-            [share],
-            method="inverse",
-        )
-        table = part if table is None else table.unionByName(part)
-    # One entry per class.
-    entries = F.collect_list(F.struct(F.col("column").alias("key"), F.col("value")))
-    return table.agg(F.map_from_entries(entries)).scalar()
+    rank = F.lit(0).cast("long")
+    for c, n in wanted.items():
+        rank = F.when(F.col("__group").eqNullSafe(F.lit(c)), F.lit(n).cast("long")).otherwise(rank)
+    kept = _up_to(df, target, keys, seed, lambda _: rank).filter("__taken").drop("__taken")
+    return kept.withColumn("draw_id", key_hash(keys, seed))
 
 
 def downsample(
@@ -148,11 +190,8 @@ def stratified_split(
     df: DataFrame, target: str, keys: Sequence[str], train_share: float = 0.8, seed: int = 12, out: str = "is_train"
 ) -> DataFrame:
     """Mark ``ceil(train_share * rows)`` rows of every class as training rows (keys must be unique); rows without a class are none."""
-    sizes = class_sizes(df, target)
-    h = key_hash(keys, seed)
-    cuts = _hash_cuts(df, h, target, {c: train_share for c in sizes if c is not None})
-    marked = df.withColumn("__cuts", cuts)
-    return marked.withColumn(out, F.coalesce(h <= F.col("__cuts")[F.col(target).cast("string")], F.lit(False))).drop("__cuts")
+    marked = _up_to(df, target, keys, seed, lambda n: share_rank(n, train_share))
+    return marked.withColumn(out, F.col("__taken") & F.col(target).isNotNull()).drop("__taken")
 
 
 def with_fold(df: DataFrame, keys: Sequence[str], folds: int, seed: int = 12, out: str = "fold") -> DataFrame:
@@ -160,20 +199,9 @@ def with_fold(df: DataFrame, keys: Sequence[str], folds: int, seed: int = 12, ou
     return df.withColumn(out, F.pmod(F.xxhash64(F.lit(seed), *[F.col(k) for k in keys]), F.lit(folds)).cast("int"))
 
 
-def sample_per_band(
-    df: DataFrame, band: str, n: int, keys: Sequence[str], seed: int = 12, slices: int = 64
-) -> DataFrame:
-    """``n`` rows per band in hash order.
+def sample_per_band(df: DataFrame, band: str, n: int, keys: Sequence[str], seed: int = 12) -> DataFrame:
+    """The first ``n`` rows of each band in hash order, or all if there are fewer (keys must be unique).
 
-    Each band is cut to its best ``n`` in slices first, so a band with most of the
-    rows hands ``slices * n`` rows to its last step, not all of them.
+    The hash of the last one taken comes from the radix histogram; no band is sorted, whatever part of the rows it holds.
     """
-    h = key_hash(keys, seed)
-    tie = [F.col(k) for k in keys]
-    sliced = df.withColumn("__h", h).withColumn("__slice", F.pmod(F.col("__h"), F.lit(slices)))
-    local = Window.partitionBy(band, "__slice").orderBy("__h", *tie)
-    overall = Window.partitionBy(band).orderBy("__h", *tie)
-    first = sliced.withColumn("__rn", F.row_number().over(local)).filter(F.col("__rn") <= n)
-    return (
-        first.withColumn("__rn", F.row_number().over(overall)).filter(F.col("__rn") <= n).drop("__h", "__slice", "__rn")
-    )
+    return _up_to(df, band, keys, seed, lambda size: F.least(size, F.lit(n).cast("long"))).filter("__taken").drop("__taken")

@@ -75,3 +75,45 @@ def test_upsample_and_bands(spark):
     assert rows(kept.groupBy("target").agg(F.count("*"), F.count_distinct("i"))) == [("a", 30, 30), ("b", 50, 50)]
     best = sorted(df.filter("target = 'b'").withColumn("h", R.key_hash(["i"], 12)).select("h", "i").collect())[:50]
     assert {r["i"] for r in best} == {r["i"] for r in kept.filter("target = 'b'").collect()}
+
+
+def test_share_ranks_are_whole_numbers(spark):
+    import random
+    from fractions import Fraction
+    from math import ceil
+
+    rng = random.Random(4)
+    shares = [0.55, 0.07, 0.29, 0.57, 0.1, 0.3, 0.7, 0.0, 1.0, *[round(rng.random(), rng.randrange(1, 5)) for _ in range(31)]]
+    sizes = [0, 1, 7, 100, 10**15, *[rng.randrange(1, 10 ** rng.randrange(2, 12)) for _ in range(20)]]
+    df = spark.createDataFrame([(n,) for n in sizes], "n long")
+    got = df.select("n", *[R.share_rank(F.col("n"), share).alias(f"r{i}") for i, share in enumerate(shares)]).collect()
+    assert len(got) * len(shares) == 1000
+    for row in got:
+        assert list(row)[1:] == [ceil(Fraction(str(share)) * row["n"]) for share in shares]
+
+
+def test_split_takes_the_share_that_is_written(spark):
+    df = classes(spark, a=100, b=300)
+    for share, want in ((0.55, (55, 165)), (0.07, (7, 21)), (0.29, (29, 87)), (0.0, (0, 0)), (1.0, (100, 300))):
+        out = R.stratified_split(df, "target", ["i"], share)
+        assert rows(out.groupBy("target").agg(F.count_if("is_train"))) == [("a", want[0]), ("b", want[1])]
+
+
+def test_radix_descends_and_ties_go_by_key(spark, monkeypatch):
+    df = classes(spark, a=40, b=900)
+    whole = rows(R.sample_per_band(df, "target", 333, ["i"]), "target", "i")
+    best = {c: sorted((r["h"], r["i"]) for r in df.filter(F.col("target") == c).withColumn("h", R.key_hash(["i"], 12)).collect())[:333] for c in "ab"}
+    assert whole == sorted((c, i) for c in "ab" for _, i in best[c])
+    monkeypatch.setattr(R, "RADIX_BITS", 3)
+    monkeypatch.setattr(R, "BUCKET_ROWS", 1)
+    assert rows(R.sample_per_band(df, "target", 333, ["i"]), "target", "i") == whole
+    # one hash for all rows: the keys decide
+    monkeypatch.setattr(R, "key_hash", lambda keys, seed: F.lit(5).cast("long"))
+    assert rows(R.sample_per_band(df, "target", 3, ["i"]), "i") == [(0,), (1,), (2,), (40,), (41,), (42,)]
+
+
+def test_bands_without_name_and_empty_tables(spark):
+    df = spark.createDataFrame([(i, None if i < 9 else "x") for i in range(30)], "i long, target string")
+    assert rows(R.sample_per_band(df, "target", 5, ["i"]).groupBy("target").count()) == [(None, 5), ("x", 5)]
+    assert R.sample_per_band(df.limit(0), "target", 5, ["i"]).count() == 0
+    assert R.stratified_split(df.limit(0), "target", ["i"], 0.5).count() == 0
