@@ -32,7 +32,7 @@ def balanced_bootstrap(spark, folder):
 
 @query(f"""
 WITH s AS (SELECT {_TARGET_SQL} AS target, COUNT(*) AS n FROM orders GROUP BY 1), d AS (SELECT n FROM s WHERE target = 'death'),
-w AS (SELECT s.target, CASE s.target WHEN 'death' THEN d.n WHEN 'inj' THEN ceil(d.n / 0.5) * 3 // 10 ELSE ceil(d.n / 0.5) * 2 // 10 END AS n FROM s, d)
+w AS (SELECT s.target, CASE s.target WHEN 'death' THEN d.n WHEN 'inj' THEN CAST(2 * d.n AS BIGINT) * 3 // 10 ELSE CAST(2 * d.n AS BIGINT) * 2 // 10 END AS n FROM s, d)
 SELECT target, CAST(n AS BIGINT) AS n, CAST(n AS BIGINT) AS n_distinct FROM w""")
 def balanced_subset(spark, folder):
     """R1 without replacement: three classes at .5 / .3 / .2."""

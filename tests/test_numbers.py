@@ -59,6 +59,29 @@ def test_rank_method(spark):
     assert {r["prob"]: r["value"] for r in got} == {0.05: 1.0, 0.25: 3.0, 0.3: 3.0, 1.0: 10.0}
 
 
+def test_only_few_rows_are_ordered_whatever_the_values(spark, monkeypatch):
+    import random
+
+    from cindermap.operators import quantiles as Q
+
+    r = random.Random(2)
+    tail = [math.exp(r.gauss(0, 30)) for _ in range(20000)]  # nearly all of the range is empty
+    values = tail + [-v for v in tail] + [0.0] * 9000 + [7.0] * 9000
+    seen = []
+    ordered = Q._ordered
+    monkeypatch.setattr(Q, "_ordered", lambda v, intervals: seen.extend(intervals) or ordered(v, intervals))
+    monkeypatch.setattr(Q, "ORDERED", 40)
+    got = {r["prob"]: r["value"] for r in exact_quantiles(frame(spark, values), ["x"], PROBS, accuracy=100).collect()}
+    for p in PROBS:
+        assert got[p] == pytest.approx(np.quantile(values, p), rel=1e-12)
+    assert seen and max(interval.inside for interval in seen) <= 40
+
+
+def test_ranks_of_shares_are_whole_numbers(spark):
+    got = exact_quantiles(frame(spark, range(1, 101)), ["x"], [0.55, 0.07, 0.29], method="inverse").collect()
+    assert {r["prob"]: r["value"] for r in got} == {0.55: 55.0, 0.07: 7.0, 0.29: 29.0}
+
+
 def test_summary_table(spark):
     got = summary_table(frame(spark, [1, 2, 3, 4, None]), ["x"]).first()
     assert got["n"] == 4 and got["mean"] == 2.5 and got["p25"] == 1.75 and got["median"] == 2.5 and got["max"] == 4.0
