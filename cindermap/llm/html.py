@@ -22,7 +22,7 @@ BLOCKS = frozenset(
     "tbody td tfoot th thead tr ul".split()
 )
 HIDDEN = frozenset("head script style noscript template svg math canvas iframe object embed audio video title select option button textarea label input".split())
-FRAME = frozenset("nav header footer aside form menu dialog fieldset search".split())
+FRAME = frozenset("nav header footer aside menu dialog fieldset search".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 # Words in class, id and role names of what is around an article.
 AROUND = frozenset(
@@ -33,7 +33,13 @@ AROUND = frozenset(
 )
 REMARKS = frozenset("comment comments remark remarks reply replies respond response responses".split())
 _CLOSES_P = BLOCKS - {"br", "body", "html", "option", "optgroup", "caption", "td", "th", "tr", "tbody", "thead", "tfoot"}
-_TAG = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>\x00]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?/][^>]*(?:>|\Z)", re.S)
+# Elements whose content reads on as one sentence or cell.
+SENTENCES = HEADINGS | frozenset("p li td th dd dt blockquote figcaption caption pre".split())
+DEPTH = 200  # elements nested deeper are read as part of the one at this depth
+ROOT = "/"  # path of what stands in no element
+PATH_CHARS = 2_000  # a longer path goes on as a digest
+_OPEN = re.compile(r"<(?:(/?)([a-zA-Z][^\s/>\x00]*)|(!--)|[!?/])")
+_STEP = re.compile(r"[>\"'<]")
 _NAMES = re.compile(r"""(?:^|\s)(class|id|role|hidden|aria-hidden|style)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.I)
 _WORDS = re.compile(r"[a-z]+")
 _VALUE_END = re.compile(r"=\s*[^\s\"'>]+/\Z")  # a slash that belongs to a value without quotes
@@ -42,10 +48,10 @@ _VALUE_END = re.compile(r"=\s*[^\s\"'>]+/\Z")  # a slash that belongs to a value
 class _Node:
     """An open element; ``kind`` says what its names tell, ``named`` holds it and the elements around it that have a kind."""
 
-    __slots__ = ("tag", "path", "around", "kind", "named")
+    __slots__ = ("tag", "path", "around", "kind", "named", "sentence")
 
-    def __init__(self, tag: str, path: str, around: bool, kind: str = "", named: tuple[_Node, ...] = ()):
-        self.tag, self.path, self.around, self.kind = tag, path, around, kind
+    def __init__(self, tag: str, path: str, around: bool, kind: str = "", named: tuple[_Node, ...] = (), sentence: bool = False):
+        self.tag, self.path, self.around, self.kind, self.sentence = tag, path, around, kind, sentence
         self.named = (*named, self) if kind else named
 
 
@@ -53,15 +59,54 @@ def _attributes(text: str) -> dict[str, str]:
     return {m[1].lower(): m[2] or m[3] or m[4] or "" for m in _NAMES.finditer(text)} if text and not text.isspace() else {}
 
 
-def _kind(tag: str, names: dict[str, str], in_article: bool) -> str:
-    """``hidden`` for what is never read, ``remark`` and ``word`` for what its names put around an article unless it holds the article,
-    ``section`` for a section that its id alone puts there, which is often its title; else empty."""
+class _Tags:
+    """The tags of a page one after the other; each character is looked at a bounded number of times, whatever stands open."""
+
+    def __init__(self, html: str):
+        self.html, self.ended = html, {}  # ended: what has no end any more from here on
+
+    def _find(self, what: str, at: int) -> int:
+        if what in self.ended:
+            return -1
+        found = self.html.find(what, at)
+        if found < 0:
+            self.ended[what] = True
+        return found
+
+    def after(self, place: int) -> tuple[int, int, bool, str, str] | None:
+        """(start, end, closing, name, attributes) of the next tag, comment or declaration; the last two have no name."""
+        tag = _OPEN.search(self.html, place)
+        if not tag:
+            return None
+        end = len(self.html)
+        if tag[3]:
+            found = self._find("-->", tag.end() - 2)
+            return tag.start(), end if found < 0 else found + 3, False, "", ""
+        if not tag[2]:
+            found = self._find(">", tag.end())
+            return tag.start(), end if found < 0 else found + 1, False, "", ""
+        at = tag.end()
+        while True:
+            step = _STEP.search(self.html, at)
+            if not step or step[0] == "<":
+                # a tag that is not closed ends where the next one begins
+                at = step.start() if step else end
+                return tag.start(), at, bool(tag[1]), tag[2], self.html[tag.end() : at]
+            if step[0] == ">":
+                return tag.start(), step.end(), bool(tag[1]), tag[2], self.html[tag.end() : step.start()]
+            closing = self._find(step[0], step.end())
+            at = step.end() if closing < 0 else closing + 1
+
+
+def _kind(tag: str, names: dict[str, str], in_article: bool, in_sentence: bool) -> str:
+    """``hidden`` for what is never read, ``remark``, ``word`` and ``header`` for what its names (or, for a form, its tag) put around an article unless it holds the article,
+    ``section`` for a section that its id alone puts there, which is often its title; else empty. No name hides a part of a sentence."""
     if tag in HIDDEN:
         return "hidden"
     if tag in FRAME and not (tag == "header" and in_article):
         return "hidden"
     if not names:
-        return ""
+        return "word" if tag == "form" else ""
     if "hidden" in names or names.get("aria-hidden", "").lower() == "true" or re.search(r"display\s*:\s*none", names.get("style", ""), re.I):
         return "hidden"
     if tag in ("html", "body", "header") or tag in HEADINGS:
@@ -69,14 +114,18 @@ def _kind(tag: str, names: dict[str, str], in_article: bool) -> str:
     kinds = REMARKS if tag in ("article", "main") else AROUND - {"header"} if in_article else AROUND
     words, by_id = ({w for n in which for w in _WORDS.findall(re.sub(r"([a-z])([A-Z])", r"\1 \2", names.get(n, "")).lower())} & kinds for which in (("class", "role"), ("id",)))
     if not words and not by_id:
-        return ""
+        return "word" if tag == "form" else ""
     if not REMARKS.isdisjoint(words | by_id):
         kind = "remark"
+    elif words | by_id == {"header"}:
+        kind = "header"
     elif words or tag != "section":
         kind = "word"
     else:
         kind = "" if in_article else "section"
-    return "hidden" if kind and tag not in BLOCKS and "-" not in tag else kind
+    if kind and tag not in BLOCKS and "-" not in tag:
+        return "" if in_sentence else "hidden"
+    return kind
 
 
 def _general(tag: str, names: dict[str, str]) -> str:
@@ -87,10 +136,19 @@ def _general(tag: str, names: dict[str, str]) -> str:
 
 def _all_blocks(html: str) -> Iterator[tuple[tuple[_Node, ...], str, int]]:
     """(open elements, text, length of linked text) of every block of text in page order; what is hidden is left out."""
-    stack: list[_Node] = [_Node("", "", False)]
+    stack: list[_Node] = [_Node("body", ROOT, False)]  # the page, which may have no body tag
     words: list[str] = []
     linked = depth_a = 0
     place, end = 0, len(html)
+    tags, articles, drawings, held_back = _Tags(html), 0, 0, 0
+
+    def close(at: int) -> None:
+        nonlocal depth_a, articles, drawings
+        for n in stack[at:]:
+            depth_a -= n.tag == "a"
+            articles -= n.tag in ("article", "main")
+            drawings -= n.tag in ("svg", "math")
+        del stack[at:]
 
     def flush():
         nonlocal words, linked
@@ -100,36 +158,40 @@ def _all_blocks(html: str) -> Iterator[tuple[tuple[_Node, ...], str, int]]:
         return out
 
     while place < end:
-        tag = _TAG.search(html, place)
-        if (tag.start() if tag else end) > place and not stack[-1].around:
-            piece = html[place : tag.start() if tag else end]
+        tag = tags.after(place)
+        start = tag[0] if tag else end
+        if start > place and not stack[-1].around:
+            piece = html[place:start]
             piece = unescape(piece) if "&" in piece else piece
             words.append(piece)
             if depth_a:
                 linked += len(piece)
         if not tag:
             break
-        place = tag.end()
-        name = tag[2]
+        _, place, closing, name, attributes = tag
         if not name:
             continue
         name = name.lower()
-        if tag[1]:
+        if closing:
+            if held_back and name not in VOID:
+                held_back -= 1  # the end of an element that was nested too deep
+                if name in BLOCKS and (found := flush()):
+                    yield found
+                continue
             at = next((i for i in range(len(stack) - 1, 0, -1) if stack[i].tag == name), 0)
             if at:
                 if any(n.tag in BLOCKS or n.kind for n in stack[at:]) and (found := flush()):
                     yield found
-                del stack[at:]
-                depth_a = sum(n.tag == "a" for n in stack)
+                close(at)
             continue
         if name in BLOCKS:
             if found := flush():
                 yield found
         if name in VOID:
             continue
-        if tag[3].endswith("/") and (name in ("svg", "math") or any(n.tag in ("svg", "math") for n in stack)) and not _VALUE_END.search(tag[3]):
+        if attributes.endswith("/") and (name in ("svg", "math") or drawings) and not _VALUE_END.search(attributes[-1000:]):
             continue
-        names = _attributes(tag[3])
+        names = _attributes(attributes)
         # an element that cannot hold this one ends
         closes = ()
         if name in _CLOSES_P:
@@ -139,28 +201,33 @@ def _all_blocks(html: str) -> Iterator[tuple[tuple[_Node, ...], str, int]]:
         for i in range(len(stack) - 1, 0, -1):
             open_tag = stack[i].tag
             if open_tag in closes:
-                del stack[i:]
-                depth_a = sum(n.tag == "a" for n in stack)
+                close(i)
                 if open_tag == "p" and len(closes) > 1:
                     continue
                 break
             if open_tag in BLOCKS and open_tag not in ("p",):
                 break
+        if len(stack) > DEPTH and name not in RAW:
+            held_back += 1
+            continue
         parent = stack[-1]
-        in_article = any(n.tag in ("article", "main") for n in stack)
-        kind = "hidden" if parent.around else _kind(name, names, in_article)
+        sentence = parent.sentence if name not in BLOCKS else name in SENTENCES
+        kind = "hidden" if parent.around else _kind(name, names, articles > 0, parent.sentence)
         if kind not in ("", "hidden") and name not in BLOCKS and (found := flush()):
             yield found
         path = parent.path
         if name in BLOCKS:
-            path = f"{path}>{_general(name, names)}"
-        stack.append(_Node(name, path, True) if kind == "hidden" else _Node(name, path, False, kind, parent.named))
-        if name == "a":
-            depth_a += 1
+            path = f"{'' if parent is stack[0] else path}>{_general(name, names)}"
+            if len(path) > PATH_CHARS:
+                path = "#" + md5(path.encode("utf-8", "surrogatepass")).hexdigest()
+        stack.append(_Node(name, path, True) if kind == "hidden" else _Node(name, path, False, kind, parent.named, sentence))
+        depth_a += name == "a"
+        articles += name in ("article", "main")
+        drawings += name in ("svg", "math")
         if name in RAW:
-            close = re.compile(rf"</{name}\b[^>]*>", re.I).search(html, place)
-            place = close.end() if close else end
-            stack.pop()
+            ending = re.compile(rf"</{name}(?=[\s/>])[^>]*>", re.I).search(html, place)
+            place = ending.end() if ending else end
+            close(len(stack) - 1)
     if found := flush():
         yield found
 
@@ -169,8 +236,8 @@ def blocks_of(html: str) -> list[tuple[tuple[_Node, ...], str, int]]:
     """The blocks of a page without those around its article.
 
     Names decide only for elements that hold neither a main element nor the longest article of the page, nor more than half of the
-    text without links (of the whole page if it has no article or main element, else only inside these). What is named after remarks holds the article
-    if it has a first-order heading. Sections that only an id names are left to ``text_at``.
+    text without links (of the whole page if it has no article or main element, else only inside these). What is named after remarks, or is only called a header, holds the article
+    if it has a first-order heading, the latter where the page has no other one. Sections that only an id names are left to ``text_at``.
     """
     blocks = list(_all_blocks(html))
     if not any(nodes[-1].named for nodes, _, _ in blocks):
@@ -197,8 +264,10 @@ def blocks_of(html: str) -> list[tuple[tuple[_Node, ...], str, int]]:
         mains.add(max(articles, key=articles.__getitem__))
     holds = {id(n) for nodes, _, _ in blocks for i, n in enumerate(nodes) if n.kind and any(id(x) in mains for x in nodes[i + 1 :])}
     inside = {id(n) for nodes, _, _ in blocks for i, n in enumerate(nodes) if n.kind and any(id(x) in mains for x in nodes[:i])}
+    # the only first-order headings of a page are its title, even in a box that is called a header
+    titled = any(x.tag == "h1" for nodes, _, _ in blocks if not nodes[-1].named for x in nodes)
     for n in {id(n): n for nodes, _, _ in blocks for n in nodes[-1].named}.values():
-        if n.kind == "remark":
+        if n.kind == "remark" or (n.kind == "header" and not titled):
             kept = id(n) in holds or id(n) in first_order
         else:
             kept = id(n) in holds or (2 * worth[id(n)] > total and (not mains or id(n) in inside))
@@ -241,11 +310,17 @@ def best_path(blocks: list[tuple[tuple[_Node, ...], str, int]]) -> tuple[str, fl
         return None
     score, node, outer = best
     levels: list[tuple[str, str | None, bool]] = []
-    inner, headed = node, any(node in nodes and any(n.tag == "h1" for n in nodes) for nodes, _, _ in blocks)
-    for up in reversed(outer):
+    # each block belongs to the nearest container of the chain that holds it
+    place = {id(n): k for k, n in enumerate([*outer, node])}
+    of: dict[int, list[tuple[tuple[_Node, ...], str, int]]] = {}
+    for block in blocks:
+        of.setdefault(next((place[id(n)] for n in reversed(block[0]) if id(n) in place), -1), []).append(block)
+    inner, headed = node, any(n.tag == "h1" for nodes, _, _ in of.get(len(outer), ()) for n in nodes)
+    for k in range(len(outer) - 1, -1, -1):
+        up = outer[k]
         if inner.tag in ("article", "main", "body"):
             break
-        added = [(nodes, text) for nodes, text, linked in blocks if 2 * linked < len(text) and up in nodes and inner not in nodes and not any(n.kind == "section" for n in nodes[-1].named)]
+        added = [(nodes, text) for nodes, text, linked in of.get(k, ()) if 2 * linked < len(text) and not any(n.kind == "section" for n in nodes[-1].named)]
         heading = any(n.tag == "h1" for nodes, _ in added for n in nodes)
         if up.tag == "body" and (headed or not heading):
             break
@@ -263,8 +338,8 @@ def text_at(blocks: list[tuple[tuple[_Node, ...], str, int]], path: str | None)
     """The blocks below elements of a general path, one on a line; a section that its id alone puts around the article is read inside such an element, but the body."""
     texts = []
     for open_nodes, text, _ in blocks:
-        at = next((i for i, n in enumerate(open_nodes) if i and n.path == path), 0)
-        if at and not any(n.kind == "section" and (open_nodes[at].tag == "body" or n in open_nodes[:at]) for n in open_nodes[-1].named):
+        at = next((i for i, n in enumerate(open_nodes) if n.path == path), -1)
+        if at >= 0 and not any(n.kind == "section" and (open_nodes[at].tag == "body" or n in open_nodes[:at]) for n in open_nodes[-1].named):
             texts.append(text)
     return "\n".join(texts)
 

@@ -17,7 +17,12 @@ def n_tokens(text: str = "text") -> Column:
 
 
 def weight_of(level: str, weights: Mapping[str, int], other: int = 1) -> Column:
-    """Integer weight of a category among its siblings; what is not named weighs ``other``."""
+    """Integer weight of a category among its siblings; what is not named weighs ``other``.
+
+    A category of weight 0 takes nothing; its siblings share what it would have taken, and where all weigh 0 it stays unspent.
+    """
+    if min([other, *weights.values()]) < 0:
+        raise ValueError("weights are 0 or more")
     named = F.lit(other)
     for name, weight in weights.items():
         named = F.when(F.col(level) == name, F.lit(weight)).otherwise(named)
@@ -31,14 +36,15 @@ def _share(nodes: DataFrame, parents: Sequence[str], level: str) -> DataFrame:
     all they have; what they leave short goes to their siblings, by weight. Whole tokens are
     dealt by rounding running sums, so that children add up to the parent exactly.
     """
-    ratio = F.col("capacity").cast("decimal(24,0)") / F.col("weight").cast("decimal(10,0)")
-    filled = Window.partitionBy(*parents).orderBy(ratio, F.col(level).asc_nulls_first())
+    # a weight of 0 has no ratio and comes last
+    ratio = F.try_divide(F.col("capacity").cast("decimal(24,0)"), F.col("weight").cast("decimal(10,0)"))
+    filled = Window.partitionBy(*parents).orderBy(ratio.asc_nulls_last(), F.col(level).asc_nulls_first())
     less = F.coalesce(F.sum("capacity").over(filled.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     left = F.sum("weight").over(filled.rowsBetween(Window.currentRow, Window.unboundedFollowing))
     marked = nodes.withColumns({"__less": less, "__left": left}).withColumn(
         "__full",
-        F.col("capacity").cast("decimal(24,0)") * F.col("__left")
-        <= (F.col("budget") - F.col("__less")).cast("decimal(24,0)") * F.col("weight"),
+        (F.col("weight") > 0)
+        & (F.col("capacity").cast("decimal(24,0)") * F.col("__left") <= (F.col("budget") - F.col("__less")).cast("decimal(24,0)") * F.col("weight")),
     )
     # a child that is not full: siblings that are full have taken their capacities, the rest is dealt by weight
     side = Window.partitionBy(*parents)
@@ -48,7 +54,8 @@ def _share(nodes: DataFrame, parents: Sequence[str], level: str) -> DataFrame:
     dealt = marked.withColumns({"__rest": rest, "__open": F.sum(open_weight).over(side), "__upto": F.sum(open_weight).over(named), "__w": open_weight})
 
     def cut(upto: Column) -> Column:
-        return F.floor(F.try_divide(F.col("__rest").cast("decimal(24,0)") * upto.cast("decimal(10,0)"), F.col("__open").cast("decimal(10,0)"))).cast("long")
+        dealt = F.floor(F.try_divide(F.col("__rest").cast("decimal(24,0)") * upto.cast("decimal(10,0)"), F.col("__open").cast("decimal(10,0)")))
+        return F.coalesce(dealt.cast("long"), F.lit(0).cast("long"))
 
     share = F.when(F.col("__full"), F.col("capacity")).otherwise(cut(F.col("__upto")) - cut(F.col("__upto") - F.col("__w")))
     return dealt.withColumn("budget", share).drop("__less", "__left", "__full", "__rest", "__open", "__upto", "__w")
@@ -86,6 +93,7 @@ def mix(
     seed: int,
     key: str = "doc_id",
     text: str = "text",
+    carry: Sequence[str] = (),
 ) -> DataFrame:
     """How often each document is taken to bring the tree of ``levels`` to its target weights.
 
@@ -95,14 +103,14 @@ def mix(
     budget is spent: all of them in whole epochs, a prefix in the last one. The last
     document taken may end past the budget, so a leaf is met to within one document.
 
-    ``docs`` has the columns of ``levels``. Returns key, levels, tokens, leaf_budget, copies
+    ``docs`` has the columns of ``levels``. Returns key, levels, tokens, leaf_budget, copies and the columns of ``carry``
     (documents taken at least once). Tree tables have one row per leaf; documents
     are ordered by leaf and hash across tasks, so a leaf may hold any part of the rows.
     Null texts and texts without words have no tokens and are never taken. Null
     categories are a category, a null key hashes as the word null, repeated rows are rows of
     their own (with one hash, so they follow each other). No rows give no rows.
     """
-    counted = docs.select(F.col(key), *levels, n_tokens(text).alias("tokens")).filter(F.col("tokens") > 0)
+    counted = docs.select(F.col(key), *levels, *carry, n_tokens(text).alias("tokens")).filter(F.col("tokens") > 0)
     counted = materialize(counted, "tokens")
     leaves = counted.groupBy(*levels).agg(F.sum("tokens").alias("leaf_tokens"))
     leaves = leaves.withColumns({"capacity": F.col("leaf_tokens") * F.lit(max_epochs), **{f"weight_{lv}": weights[lv] for lv in levels}})
@@ -125,5 +133,5 @@ def mix(
     ordered = running_totals(named.withColumn("__place", place), "tokens", ["__place", key], levels)
     copies = F.col("__whole") + F.when(F.col("before") < F.col("__rest"), F.lit(1)).otherwise(F.lit(0))
     return (
-        ordered.withColumn("copies", copies).filter(F.col("copies") > 0).select(key, *levels, "tokens", "leaf_budget", "copies")
+        ordered.withColumn("copies", copies).filter(F.col("copies") > 0).select(key, *levels, "tokens", "leaf_budget", "copies", *carry)
     )
