@@ -154,14 +154,14 @@ def collect_unique(df: DataFrame, keys: str | Sequence[str], column: str, name:
 def with_group_value(df: DataFrame, keys: str | Sequence[str], **values: Column) -> DataFrame:
     """Attach group aggregates to every row; a missing key is a group of its own.
 
-    Aggregate and join back, with hot groups spread over several tasks, instead of
-    a window that would gather each group.
+    Aggregate and join back instead of a window that would gather each group. The joined table has one row per group, so
+    adaptive execution can split the rows of a large group over tasks; nothing runs while the plan is built.
     """
-    from cindermap.operators.relate import skew_join
+    from cindermap.operators.relate import keyed_join
 
     names = _names(keys)
     per_group = df.groupBy(*names).agg(*[v.alias(n) for n, v in values.items()])
-    return skew_join(df, per_group, names, "left", null_safe=True)
+    return keyed_join(df, per_group, names, "left", null_safe=True)
 
 
 def with_min_support(df: DataFrame, keys: str | Sequence[str], more_than: int) -> DataFrame:

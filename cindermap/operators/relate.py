@@ -7,14 +7,14 @@ join. The only hinted sides are those with a bound stated next to the hint.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 from functools import reduce
 from itertools import count
-from operator import and_
+from math import ceil
+from operator import and_, or_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from cindermap.operators.aggregate import first_per_key
 
@@ -77,33 +77,33 @@ def keyed_lookup(x: DataFrame, y: DataFrame, on: str | Sequence[str], null_safe:
     return joined.select(*keys, *rest)
 
 
-def hot_keys(df: DataFrame, on: str | Sequence[str], hot_share: float | None = None, buckets: int = 1 << 16) -> DataFrame | None:
-    """Keys with more rows than a task has in the mean, and ``__salts``, the tasks each is worth; None when there are none.
+MOST_TRACKED = 1_000_000  # items of a frequent-items sketch at most
 
-    The mean is the rows over ``spark.sql.shuffle.partitions``; ``hot_share`` names another share of the rows.
 
-    Rows are counted per hash bucket of the key first, so keys that are mostly
-    unique are never shuffled; a hot key makes its bucket hot, and only the rows of
-    hot buckets are counted per key. There can be at most ``1 / hot_share`` hot
-    keys, by default one per partition, so the answer is kept as a local table: plans that use it do not compute
-    it again.
+def hot_keys(*frames: DataFrame, on: str | Sequence[str], hot_share: float | None = None) -> list[dict[int, int]]:
+    """For each table the keys with more rows than a task has in the mean, as hash of the key: tasks that it is worth.
+
+    The mean is the rows over ``spark.sql.shuffle.partitions``; ``hot_share`` names another share of the rows. One job for all
+    tables: each task keeps a frequent-items sketch of the key hashes, four times as many items as keys can be hot, and only the
+    sketches meet. So nothing is shuffled by key, whatever the number of keys. A sketch may count a third of the mean too much, so
+    a key near the mean may be among the hot ones, but none is missed as long as partitions are fewer than a quarter of ``MOST_TRACKED``.
+    There are at most ``1 / hot_share`` hot keys in a table.
     """
-    keys = _names(on)
-    share = hot_share or 1 / int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    n = F.count(F.lit(1))
-    bucket = F.pmod(F.xxhash64(*[F.col(k) for k in keys]), F.lit(buckets))
-    sizes = df.groupBy(bucket.alias("__bucket")).agg(n.alias("__rows"))
-    total = sizes.agg(F.sum("__rows")).scalar()
-    large = sizes.withColumn("__limit", total * F.lit(share)).filter("__rows > __limit").collect()
-    if not large:
-        return None
-    suspects = df.filter(bucket.isin([r["__bucket"] for r in large])).groupBy(*keys).agg(n.alias("__rows"))
-    limit = F.lit(large[0]["__limit"])
-    rows = suspects.filter(F.col("__rows") > limit).select(*keys, F.ceil(F.col("__rows") / limit).cast("int").alias("__salts")).collect()
-    if not rows:
-        return None
-    schema = T.StructType([T.StructField(k, df.schema[k].dataType) for k in keys] + [T.StructField("__salts", T.IntegerType())])
-    return df.sparkSession.createDataFrame([tuple(r) for r in rows], schema)
+    keys, share = _names(on), hot_share or 1 / int(frames[0].sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    most = min(MOST_TRACKED // 4, ceil(1 / share))
+    sketches = []
+    for i, df in enumerate(frames):
+        hashed = df.select(_key_hash(keys).alias("h"))
+        sketches.append(hashed.agg(F.lit(i).alias("i"), F.count(F.lit(1)).alias("n"), F.expr(f"approx_top_k(h, {most}, {4 * max(most, 256)})").alias("top")))
+    out: list[dict[int, int]] = [{} for _ in frames]
+    for row in reduce(DataFrame.union, sketches).collect():
+        limit = row["n"] * share
+        out[row["i"]] = {t["item"]: ceil(t["count"] / limit) for t in row["top"] if t["item"] is not None and t["count"] > max(limit, 1)}
+    return out
+
+
+def _key_hash(keys: Sequence[str]) -> Column:
+    return F.xxhash64(*[F.col(k) for k in keys])
 
 
 def skew_join(
@@ -113,52 +113,62 @@ def skew_join(
     how: str = "left",
     null_safe: bool = False,
     hot_share: float | None = None,
-    salts: int | None = None,
     probe: DataFrame | None = None,
-    hot: DataFrame | None | str = "find",
+    hot: tuple[Mapping[int, int], Mapping[int, int]] | None = None,
 ) -> DataFrame:
-    """Equi-join for a left side in which single keys may hold a large share of the rows.
+    """Equi-join in which single keys may hold a large share of the rows of either side.
 
-    Hot keys are looked for first, in ``probe`` or else in ``left``; name a probe
-    where ``left`` is costly to compute and a base table has the same keys, or pass
-    the answer of :func:`hot_keys` as ``hot`` where it serves several joins. Without
-    hot keys this is the plain join. A hot key is spread over as many join partitions
-    as its rows are worth, or over ``salts``, and only its right rows are repeated once per salt. All rows are
-    kept; the result equals the plain join.
+    Hot keys of both sides are looked for in one job, those of ``left`` in ``probe`` where that is cheaper to compute and
+    has the same keys; or pass what :func:`hot_keys` gave as ``hot``, where it serves several joins. Without hot keys this is the plain
+    join. A key worth r tasks on the left and c on the right becomes a grid: a left row takes one of r rows of the grid and goes
+    to all its c cells, a right row takes one of c columns and goes to all its r cells. So neither side meets in one task, and each pair meets
+    in one cell. All rows are kept; the result equals the plain join.
 
-    The salt is a hash of the row and of the input partition, so it does not
+    The place in the grid is a hash of the row and of the input partition, so it does not
     change when a lost task runs again, and identical copies of one row still
     spread because they come from many partitions.
     """
     if how not in LEFT_SIDE_JOINS:
         raise ValueError(f"skew_join supports {LEFT_SIDE_JOINS}")
-    keys = _names(on)
-    if how not in ("left_semi", "left_anti"):
+    keys, existence = _names(on), how in ("left_semi", "left_anti")
+    if existence:
+        right = right.select(*keys).distinct()  # one row per key: nothing is hot on the right
+    else:
         _refuse_overlap(left, right, keys)
-    found = hot_keys(left if probe is None else probe, keys, hot_share) if isinstance(hot, str) else hot
-    if found is None:
+    looked = left if probe is None else probe
+    if hot is None:
+        hot = (hot_keys(looked, on=keys, hot_share=hot_share)[0], {}) if existence else hot_keys(looked, right, on=keys, hot_share=hot_share)
+    rows, columns = hot[0], {} if existence else hot[1]
+    if not rows and not columns:
         return keyed_join(left, right, keys, how, null_safe)
 
-    theirs = {k: f"__h_{k}" for k in keys}
-    marks = found.withColumnsRenamed({**theirs, "__salts": "__hot"})
-    marks = marks.withColumn("__hot", F.lit(salts)) if salts else marks
-
-    def marked(df: DataFrame) -> DataFrame:
-        same = _match([F.col(k) for k in keys], [F.col(theirs[k]) for k in keys], True)
-        # at most 1 / hot_share rows
-        return df.join(F.broadcast(marks), same, "left").drop(*theirs.values())
-
-    hashable = [F.col(f"`{name}`") for name, kind in left.dtypes if "map<" not in kind and "variant" not in kind]
-    row_salt = F.pmod(F.xxhash64(F.spark_partition_id(), *hashable), F.col("__hot")).cast("int")
-    salted_left = marked(left).withColumn("__salt", F.coalesce(row_salt, F.lit(0))).drop("__hot")
-    copies = F.when(F.col("__hot").isNotNull(), F.sequence(F.lit(0), F.col("__hot") - F.lit(1))).otherwise(F.array(F.lit(0)))
-    salted_right = marked(right).withColumn("__r_salt", F.explode(copies)).drop("__hot")
-    renamed = _their_names(keys)
-    salted_right = salted_right.withColumnsRenamed(renamed)
-
-    condition = _match([F.col(k) for k in keys], [F.col(renamed[k]) for k in keys], null_safe)
-    joined = salted_left.join(salted_right, condition & (F.col("__salt") == F.col("__r_salt")), how)
-    return joined.drop("__salt", "__r_salt", *renamed.values())
+    grid = [(h, rows.get(h, 1), columns.get(h, 1)) for h in {**rows, **columns}]
+    # at most as many rows as keys can be hot on two sides
+    cells = F.broadcast(left.sparkSession.createDataFrame(grid, "__h long, __rows int, __columns int"))
+    unknown = reduce(or_, [F.col(k).isNull() for k in keys])
+
+    def placed(df: DataFrame, own: str, other: str, at: str, to: str) -> DataFrame:
+        marked = df.withColumn("__hash", _key_hash(keys)).join(cells, F.col("__hash") == F.col("__h"), "left").drop("__hash", "__h")
+        # a missing key part matches nothing, so such rows need not be repeated
+        repeat = F.coalesce(F.col(other), F.lit(1)) if null_safe else F.when(unknown, F.lit(1)).otherwise(F.coalesce(F.col(other), F.lit(1)))
+        hashable = [F.col(f"`{name}`") for name, kind in df.dtypes if "map<" not in kind and "variant" not in kind]
+        salt = F.pmod(F.xxhash64(F.spark_partition_id(), *hashable), F.coalesce(F.col(own), F.lit(1))).cast("int")
+        return marked.withColumns({at: salt, "__repeat": repeat}).withColumn(to, F.explode(F.sequence(F.lit(0), F.col("__repeat") - 1))).drop("__rows", "__columns")
+
+    lefts = placed(left, "__rows", "__columns", "__i", "__j")
+    theirs = _their_names(keys)
+    rights = placed(right, "__columns", "__rows", "__rj", "__ri").drop("__repeat").withColumnsRenamed(theirs).withColumn("__hit", F.lit(True))
+    match = _match([F.col(k) for k in keys], [F.col(theirs[k]) for k in keys], null_safe)
+    joined = lefts.join(rights, match & (F.col("__i") == F.col("__ri")) & (F.col("__j") == F.col("__rj")), how)
+    if existence or how == "inner" or not columns:
+        return joined.drop("__i", "__j", "__ri", "__rj", "__hit", "__repeat", *theirs.values())
+    # A left row that was repeated may find nothing in some of its cells; it is without partner only if its key is not on the right.
+    found = joined.filter(F.col("__hit") | (F.col("__repeat") == 1)).drop("__i", "__j", "__ri", "__rj", "__hit", "__repeat", *theirs.values())
+    hot_right = _key_hash(keys).isin(list(columns))
+    # at most as many keys as are hot on the right, but for keys of equal hash
+    present = F.broadcast(right.filter(hot_right).select(*keys).distinct())
+    alone = keyed_join(left.filter(hot_right if null_safe else hot_right & ~unknown), present, keys, "left_anti", null_safe)
+    return found.unionByName(alone, allowMissingColumns=True)
 
 
 def lookup_first(

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
+from functools import reduce
+from operator import or_
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cindermap.functions.keys import INCIDENT_KEY, normalize_incident_key
@@ -26,25 +28,51 @@ def _keyed(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     return normalize_incident_key(df.select(*INCIDENT_KEY, *columns))
 
 
+def _chain(tables: Mapping[str, DataFrame], join, null_safe: bool) -> DataFrame:
+    key = list(INCIDENT_KEY)
+    facts = join(tables["basic"], tables["address"], key, "left", null_safe)
+    return join(join(tables["fire"], facts, key, "left", null_safe), tables["located"], key, "left", null_safe)
+
+
 def blend(tables: Mapping[str, DataFrame], null_safe: bool = True, by: Sequence[str] = ()) -> DataFrame:
     """PL-BLEND: every fire incident with its basic facts, address and geocode.
 
-    A missing key part matches a missing key part unless ``null_safe`` is off.
-    ``by`` names columns of the fire table to keep, such as the year.
-    """
-    basic = _keyed(tables["basic"], BLEND_COLUMNS["basic"])
-    address = _keyed(tables["address"], BLEND_COLUMNS["address"])
-    fire = _keyed(tables["fire"], [*BLEND_COLUMNS["fire"], *by])
-    formatted = _keyed(tables["formatted"], BLEND_COLUMNS["formatted"])
-    geocoded = tables["geocoded"].select(*BLEND_COLUMNS["geocoded"])
+    A missing key part matches a missing key part unless ``null_safe`` is off; an incident with no key part at all
+    matches nothing (:func:`keyless_rows` counts them). ``by`` names columns of the fire table to keep, such as the year.
 
+    The four keyed tables meet on one key, so each is dealt once. Keys that are hot in one of them are looked for in all four by one job;
+    only their rows take the way of :func:`skew_join`.
+    """
     key = list(INCIDENT_KEY)
-    # Incidents without a key can be many and share one (missing) key, hence the skew-aware joins.
-    hot = hot_keys(fire, key)
-    facts = skew_join(basic, address, key, "left", null_safe)
-    with_facts = skew_join(fire, facts, key, "left", null_safe, hot=hot)
-    located = keyed_join(formatted, geocoded, "row_seq", "left")
-    return skew_join(with_facts, located, key, "left", null_safe, hot=hot)
+    geocoded = tables["geocoded"].select(*BLEND_COLUMNS["geocoded"])
+    keyed = {name: _keyed(tables[name], [*BLEND_COLUMNS[name], *(by if name == "fire" else ())]) for name in ("basic", "address", "fire", "formatted")}
+    with_key = {name: df.filter(_has_key()) for name, df in keyed.items()}
+    hot = sorted({h for found in hot_keys(*with_key.values(), on=key) for h in found})
+
+    def chain(part: Callable[[DataFrame], DataFrame], join) -> DataFrame:
+        chosen = {name: part(df) for name, df in with_key.items()}
+        chosen["located"] = keyed_join(chosen.pop("formatted"), geocoded, "row_seq", "left")
+        return _chain(chosen, join, null_safe)
+
+    if not hot:
+        blended = chain(lambda df: df, keyed_join)
+    else:
+        is_hot = F.xxhash64(*key).isin(hot)  # at most four times the number of partitions
+        blended = chain(lambda df: df.filter(~is_hot), keyed_join).unionByName(chain(lambda df: df.filter(is_hot), skew_join))
+    return blended.unionByName(keyed["fire"].filter(~_has_key()), allowMissingColumns=True)
+
+
+def _has_key() -> Column:
+    return reduce(or_, [F.col(k).isNotNull() for k in INCIDENT_KEY])
+
+
+def keyless_rows(tables: Mapping[str, DataFrame]) -> DataFrame:
+    """(table, n_rows, n_keyless): rows of the keyed tables of a blend, and those of them with no key part."""
+    counts = [
+        _keyed(tables[name], []).agg(F.lit(name).alias("table"), F.count(F.lit(1)).alias("n_rows"), F.count_if(~_has_key()).alias("n_keyless"))
+        for name in ("basic", "address", "fire", "formatted")
+    ]
+    return reduce(DataFrame.unionByName, counts)
 
 
 def blend_year(tables: Mapping[str, DataFrame], year: str, null_safe: bool = True) -> DataFrame:

@@ -75,8 +75,10 @@ def test_hot_keys_follow_the_partitions(spark):
     df = spark.range(10000).selectExpr("CASE WHEN id < 5000 THEN 1L WHEN id < 5030 THEN 2L ELSE id END AS k")
     try:
         spark.conf.set("spark.sql.shuffle.partitions", "400")
-        assert rows(relate.hot_keys(df, "k")) == [(1, 200), (2, 2)]
+        few = df.filter("k % 2 = 0")
+        first, second, none = relate.hot_keys(df, few, df.limit(0), on="k")
+        assert sorted(first.values()) == [2, 200] and len(second) == 1 and none == {}
         spark.conf.set("spark.sql.shuffle.partitions", "8")
-        assert rows(relate.hot_keys(df, "k")) == [(1, 4)]
+        assert list(relate.hot_keys(df, on="k")[0].values()) == [4]
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", old)

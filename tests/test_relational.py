@@ -74,7 +74,7 @@ def test_skew_join_equals_plain_join(spark, how, null_safe):
     left = spark.range(3000).select(
         F.when(F.col("id") % 3 == 0, 7).when(F.col("id") % 3 == 1, F.col("id")).cast("int").alias("k"), F.col("id").alias("a"))
     right = spark.createDataFrame([(7, 1), (7, 2), (10, 3), (None, 4), (9999, 5)], "k int, b int")
-    got = R.skew_join(left, right, "k", how, null_safe, hot_share=0.01, salts=8)
+    got = R.skew_join(left, right, "k", how, null_safe, hot_share=0.01)
     want = R.keyed_join(left, right, "k", how, null_safe)
     assert got.columns == want.columns
     assert rows(got) == rows(want)
@@ -100,6 +100,50 @@ def test_skew_join_spreads_a_hot_key(spark):
     assert spread < plain / 2
 
 
+@pytest.mark.parametrize("how", ["inner", "left", "left_semi", "left_anti"])
+@pytest.mark.parametrize("null_safe", [False, True])
+def test_keys_hot_on_both_sides(spark, how, null_safe):
+    # 7 is hot on both sides, 8 and the missing key on the right only, 9 on the left only and without partner
+    def side(n, name, parts):
+        i = F.col("id")
+        k = F.when(i % 4 == 0, 7).when(i % 4 == 1, parts[0]).when(i % 4 == 2, parts[1]).otherwise(i)
+        return spark.range(n).select(k.cast("int").alias("k"), i.alias(name))
+
+    left, right = side(240, "a", (9, F.col("id"))), side(300, "b", (8, F.lit(None)))
+    left = left.union(spark.createDataFrame([(8, 1000), (None, 1001), (None, 1002)], "k int, a long"))
+    got = R.skew_join(left, right, "k", how, null_safe, hot_share=0.04)
+    want = R.keyed_join(left, right, "k", how, null_safe)
+    assert got.columns == want.columns
+    assert rows(got) == rows(want)
+
+
+def test_equal_hashes_lose_no_row(spark, monkeypatch):
+    # all keys look like one hot key; keys without partner stay once
+    monkeypatch.setattr(R, "_key_hash", lambda keys: F.lit(5).cast("long"))
+    left = spark.range(60).select((F.col("id") % 20).cast("int").alias("k"), F.col("id").alias("a"))
+    right = spark.range(40).select((F.col("id") % 10).cast("int").alias("k"), F.col("id").alias("b"))
+    assert rows(R.skew_join(left, right, "k", hot_share=0.1)) == rows(R.keyed_join(left, right, "k"))
+
+
+def test_a_key_hot_on_the_right_is_spread(spark):
+    left = spark.range(0, 4000, 1, 16).select(F.when(F.col("id") < 8, F.lit(7)).otherwise(F.col("id")).alias("k"), F.lit(1).alias("a"))
+    right = spark.range(0, 30000, 1, 16).select(F.when(F.col("id") % 3 == 0, F.lit(7)).otherwise(F.col("id")).alias("k"), F.lit(1).alias("b"))
+    old = {c: spark.conf.get(c) for c in ("spark.sql.adaptive.enabled", "spark.sql.autoBroadcastJoinThreshold", "spark.sql.shuffle.partitions")}
+    try:
+        spark.conf.set("spark.sql.adaptive.enabled", "false")
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        spark.conf.set("spark.sql.shuffle.partitions", "32")
+
+        def largest(df):
+            return df.groupBy(F.spark_partition_id()).count().agg(F.max("count")).first()[0]
+
+        plain, spread = largest(R.keyed_join(left, right, "k", "inner")), largest(R.skew_join(left, right, "k", "inner"))
+    finally:
+        for c, v in old.items():
+            spark.conf.set(c, v)
+    assert plain >= 80000 and spread < plain / 2
+
+
 def test_lookup_first_and_audit(spark):
     df = spark.createDataFrame([("01",), ("02",), (None,)], "STATE string")
     codes = spark.createDataFrame([("01", "b", 2), ("01", "a", 1)], "STATE string, abb string, o int")
