@@ -1,7 +1,7 @@
 """Partial least squares classification (M9).
 
 Centring and scaling, the products X'X and X'Y of predictors and class indicators
-come from one distributed correlation pass; what is left is a solve over
+come from one scan of the rows; what is left is a solve over
 features x features numbers.
 """
 
@@ -11,11 +11,10 @@ from collections.abc import Sequence
 from dataclasses import dataclass
 
 import numpy as np
-from pyspark.ml.stat import Correlation, Summarizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cindermap.operators.prep import feature_vector
+from cindermap.models.moments import Moments, fold_moments
 
 
 @dataclass
@@ -42,30 +41,38 @@ class PlsModel:
         return df.withColumn(out, F.array_max(ranked).getField("label"))
 
 
-def fit_pls(df: DataFrame, features: Sequence[str], target: str, components: int = 2) -> PlsModel:
+def with_indicators(df: DataFrame, features: Sequence[str], target: str) -> tuple[list[str], DataFrame, list[str]]:
+    """(classes, features and class indicators with the other columns, their names)."""
     classes = sorted(r[0] for r in df.select(target).distinct().collect())  # class list
     dummies = [f"__y{k}" for k in range(len(classes))]
-    wide = df.select(*features, *[(F.col(target) == c).cast("double").alias(d) for c, d in zip(classes, dummies)])
-    vectors = feature_vector([*features, *dummies], "__v").transform(wide).select("__v").persist()
-    try:
-        corr = np.nan_to_num(Correlation.corr(vectors, "__v").first()[0].toArray())
-        stats = vectors.select(Summarizer.metrics("mean", "std").summary(F.col("__v")).alias("s")).first()["s"]
-    finally:
-        vectors.unpersist()
-    mean, sd = stats["mean"].toArray(), stats["std"].toArray()
+    return classes, df.withColumns({d: (F.col(target) == c).cast("double") for c, d in zip(classes, dummies)}), [*features, *dummies]
+
+
+def pls_models(moments: Moments, features: Sequence[str], classes: Sequence[str], components: Sequence[int]) -> list[PlsModel]:
+    """One model per number of components, all from the same cross products of predictors and class indicators."""
     p = len(features)
-    xx = corr[:p, :p].copy()
-    xy = corr[:p, p:] * sd[p:]
-    weights = _kernel_pls(xx, xy, min(components, p))
-    scale = np.where(sd[:p] > 0, 1.0 / np.where(sd[:p] > 0, sd[:p], 1.0), 0.0)
-    original = weights * scale[:, None]
-    return PlsModel(list(features), classes, list(mean[p:] - mean[:p] @ original), original)
+    sd = np.sqrt(np.maximum(np.diag(moments.products) / max(moments.n - 1, 1), 0.0))
+    inverse = np.where(sd > 0, 1.0 / np.where(sd > 0, sd, 1.0), 0.0)
+    corr = moments.products / max(moments.n - 1, 1) * np.outer(inverse, inverse)
+    steps = _kernel_pls(corr[:p, :p], corr[:p, p:] * sd[p:], min(max(components), p))
+    models = []
+    for c in components:
+        original = steps[min(c, len(steps) - 1)] * inverse[:p, None]
+        models.append(PlsModel(list(features), list(classes), list(moments.mean[p:] - moments.mean[:p] @ original), original))
+    return models
+
+
+def fit_pls(df: DataFrame, features: Sequence[str], target: str, components: int = 2) -> PlsModel:
+    classes, wide, columns = with_indicators(df, features, target)
+    (moments,) = fold_moments(wide, columns).values()
+    return pls_models(moments, features, classes, [components])[0]
 
 
-def _kernel_pls(xx: np.ndarray, xy: np.ndarray, components: int) -> np.ndarray:
-    """Coefficients for standardized predictors from the cross products (kernel form of the published algorithm)."""
+def _kernel_pls(xx: np.ndarray, xy: np.ndarray, components: int) -> list[np.ndarray]:
+    """Coefficients for standardized predictors after 0, 1, 2 ... components, from the cross products (kernel form of the published algorithm)."""
     left, rotations, loads = xy.copy(), [], []
     out = np.zeros_like(xy)
+    steps = [out]
     for _ in range(components):
         u, s, _v = np.linalg.svd(left, full_matrices=False)
         if s[0] < 1e-12:
@@ -80,4 +87,5 @@ def _kernel_pls(xx: np.ndarray, xy: np.ndarray, components: int) -> np.ndarray:
         rotations.append(r)
         loads.append(load)
         out = out + np.outer(r, q)
-    return out
+        steps.append(out)
+    return steps

@@ -2,19 +2,21 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 from dataclasses import dataclass
+from functools import reduce
 
+import numpy as np
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.evaluation import RegressionEvaluator
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import LinearRegression, RandomForestRegressor
 from pyspark.ml.stat import Correlation
-from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cindermap.functions.values import col
+from cindermap.models.moments import Moments, fold_moments
 from cindermap.operators.prep import feature_vector
 from cindermap.operators.sample import with_fold
 
@@ -69,6 +71,35 @@ class LassoFit:
     errors: list[tuple[float, float]]  # (penalty, mean squared error over the folds)
 
 
+def lasso_path_of(moments: Moments, penalties: Sequence[float], tolerance: float = 1e-9, rounds: int = 10_000) -> list[tuple[np.ndarray, float]]:
+    """(weights, intercept) for every penalty, by coordinate descent on the cross products of features and label (the last column).
+
+    Penalties apply to standardized features; each starts from the solution of the one before, so give them in descending order.
+    """
+    p = len(moments.mean) - 1
+    sd = np.sqrt(np.maximum(np.diag(moments.products) / max(moments.n, 1), 0.0))
+    scale = np.where(sd[:p] > 0, 1.0 / np.where(sd[:p] > 0, sd[:p], 1.0), 0.0)
+    gram = moments.products[:p, :p] / max(moments.n, 1) * np.outer(scale, scale)
+    target = moments.products[:p, p] / max(moments.n, 1) * scale
+    used = np.flatnonzero(np.diag(gram) > 0)
+    beta, fit, out = np.zeros(p), np.zeros(p), []
+    for penalty in penalties:
+        for _ in range(rounds):
+            largest = 0.0
+            for j in used:
+                old = beta[j]
+                free = target[j] - fit[j] + gram[j, j] * old
+                beta[j] = math.copysign(max(abs(free) - penalty, 0.0), free) / gram[j, j]
+                if beta[j] != old:
+                    fit += gram[:, j] * (beta[j] - old)
+                    largest = max(largest, abs(beta[j] - old))
+            if largest <= tolerance * max(1.0, sd[p]):
+                break
+        weights = beta * scale
+        out.append((weights, float(moments.mean[p] - moments.mean[:p] @ weights)))
+    return out
+
+
 def lasso_cv(
     df: DataFrame,
     features: Sequence[str],
@@ -78,30 +109,23 @@ def lasso_cv(
     folds: int = 10,
     seed: int = 12,
     out: str = "pred_lasso",
-    parallelism: int = 4,
     ratio: float = 1e-4,
 ) -> LassoFit:
-    """M3: LASSO with the penalty of least cross-validated squared error."""
+    """M3: LASSO with the penalty of least cross-validated squared error.
+
+    One scan takes the cross products of each fold; the whole penalty path of every fold and its errors on the rows left out
+    follow from them on the driver (features x features numbers). The model of the chosen penalty is then fitted once.
+    """
     penalties = penalty_path(df, features, label, points, ratio)
-    lasso = LinearRegression(labelCol=label, predictionCol=out, elasticNetParam=1.0)
-    grid = ParamGridBuilder().addGrid(lasso.regParam, penalties).build()
-    search = CrossValidator(
-        estimator=lasso,
-        estimatorParamMaps=grid,
-        evaluator=RegressionEvaluator(labelCol=label, predictionCol=out, metricName="mse"),
-        numFolds=folds,
-        foldCol="__fold",
-        parallelism=parallelism,
-    )
-    assembler = feature_vector(features)
-    ready = with_fold(assembler.transform(df), keys, folds, seed, "__fold").select("features", label, "__fold").persist()
-    try:
-        fitted = search.fit(ready)
-    finally:
-        ready.unpersist()
-    errors = list(zip(penalties, fitted.avgMetrics))
+    parts = fold_moments(with_fold(df, keys, folds, seed, "__fold"), [*features, label], "__fold")
+    whole = reduce(Moments.__add__, parts.values())
+    marks = np.zeros(len(penalties))
+    for part in parts.values():
+        marks += [part.squared_error(*line) / part.n for line in lasso_path_of(whole - part, penalties)]
+    errors = list(zip(penalties, (marks / max(len(parts), 1)).tolist()))
     best = min(errors, key=lambda e: e[1])[0]
-    return LassoFit(PipelineModel(stages=[assembler, fitted.bestModel]), best, errors)
+    lasso = LinearRegression(labelCol=label, predictionCol=out, elasticNetParam=1.0, regParam=best)
+    return LassoFit(Pipeline(stages=[feature_vector(features), lasso]).fit(df), best, errors)
 
 
 def lasso_coefficients(df: DataFrame, features: Sequence[str], label: str, penalties: Sequence[float]) -> DataFrame:

@@ -40,7 +40,7 @@ def compare_models(
     def side(train: bool, column: str) -> DataFrame:
         return data.filter(F.col("is_train") if train else ~F.col("is_train")).withColumnRenamed(column, "features")
 
-    rows = []
+    rows, forests = [], {}
     try:
         for name, args in settings.items():
             args = dict(args)
@@ -54,10 +54,11 @@ def compare_models(
                 train = side(True, column).select(*keys, "features", "label")
                 if name == "boosting":
                     tuned = boosting_grid(train, keys, seed=seed, **args)
-                elif name == "forest":
-                    tuned = forest_grid(train, keys, seed=seed, **args)
-                elif name == "forest_kappa":
-                    tuned = forest_grid(train, keys, metric="kappa", seed=seed, **args)
+                elif name in ("forest", "forest_kappa"):
+                    # one search serves both metrics
+                    grid = repr(sorted(args.items()))
+                    forests[grid] = forests.get(grid) or forest_grid(train, keys, seed=seed, **args)
+                    tuned = forests[grid].tuned("kappa" if name == "forest_kappa" else "accuracy")
                 elif name == "network":
                     tuned = network_grid(train, keys, len(features), n_classes, seed=seed, **args)
                 else:

@@ -98,7 +98,9 @@ def test_pls_with_all_components_is_least_squares(frame):
 
 def test_grid_keeps_the_best(frame):
     df = label_indexer("kind").fit(frame).transform(feature_vector(FEATURES).transform(frame)).select("id", "features", "label")
-    tuned = forest_grid(df, ["id"], per_split=(1, 3), metric="kappa", trees=5, depth=3)
+    searched = forest_grid(df, ["id"], per_split=(1, 3), trees=5, depth=3)
+    assert len(searched.counts) == 4 and all(0 <= m <= 1 for _, m in searched.results("accuracy"))
+    tuned = searched.tuned("kappa")
     assert len(tuned.results) == 2 and tuned.best[1] == max(m for _, m in tuned.results) and tuned.best[1] > 0.3
 
 
@@ -171,3 +173,63 @@ def test_alarm_and_install_models(spark):
     models = installs.install_risk(visits, counties.unionByName(acs.na.fill(0.0)), trees=5, folds=2, penalties=3)
     assert models.tracts.columns == ["risk_1a", "state", "cnty", "tract", "geoid2"] and models.tracts.count() == 300
     assert models.tracts.filter("risk_1a > 1").count() == 0 and models.counties.count() == 30
+
+
+def test_fold_moments_equal_numpy(spark, frame):
+    from cindermap.models.moments import Moments, fold_moments
+
+    x, y, _ = data()
+    parts = fold_moments(frame.withColumn("f", F.col("id") % 3), [*FEATURES, "y"], "f")
+    z = np.column_stack([x, y])
+    whole = parts[0] + parts[1] + parts[2]
+    for got, want in ((parts[1], z[1::3]), (whole, z), (whole - parts[1], np.delete(z, np.s_[1::3], axis=0))):
+        assert got.n == len(want) and np.allclose(got.mean, want.mean(axis=0))
+        assert np.allclose(got.products, (want - want.mean(axis=0)).T @ (want - want.mean(axis=0)), atol=1e-6)
+    line = np.array([1.0, -0.5, 0.2])
+    assert whole.squared_error(line, 3.0) == pytest.approx(((y - x @ line - 3.0) ** 2).sum())
+    assert isinstance(whole - whole, Moments) and (whole - whole).n == 0
+
+
+def test_lasso_descent_meets_the_optimality_conditions(spark, frame):
+    from cindermap.models.moments import fold_moments
+
+    x, y, _ = data()
+    (m,) = fold_moments(frame, [*FEATURES, "y"]).values()
+    penalties = [3.0, 1.0, 0.1, 0.001, 0.0]
+    for penalty, (weights, intercept) in zip(penalties, R.lasso_path_of(m, penalties)):
+        slope = x.T @ (y - x @ weights - intercept) / len(y) / x.std(axis=0)
+        for w, g in zip(weights, slope):
+            assert abs(g - np.sign(w) * penalty) < 1e-6 if w else abs(g) <= penalty + 1e-6
+    want = np.linalg.lstsq(np.column_stack([np.ones(len(y)), x]), y, rcond=None)[0]
+    assert [intercept, *weights] == pytest.approx(list(want), abs=1e-5)
+
+
+def test_lasso_errors_equal_fits_of_each_fold(spark, frame):
+    from cindermap.operators.sample import with_fold
+
+    x, y, _ = data()
+    fit = R.lasso_cv(frame, FEATURES, "y", ["id"], points=5, folds=3)
+    fold = np.array([r["f"] for r in with_fold(frame, ["id"], 3, 12, "f").orderBy("id").collect()])
+    for penalty, error in fit.errors:
+        marks = []
+        for k in range(3):
+            tx, ty = x[fold != k], y[fold != k]
+            sd, b = tx.std(axis=0), np.zeros(3)
+            s = (tx - tx.mean(axis=0)) / sd
+            for _ in range(400):
+                for j in range(3):
+                    rest = s[:, j] @ (ty - ty.mean() - s @ b + s[:, j] * b[j]) / len(ty)
+                    b[j] = np.sign(rest) * max(abs(rest) - penalty, 0)
+            w = b / sd
+            marks.append(np.mean((y[fold == k] - ty.mean() - (x[fold == k] - tx.mean(axis=0)) @ w) ** 2))
+        assert error == pytest.approx(np.mean(marks), rel=1e-6)
+
+
+def test_component_counts_come_from_one_set_of_products(frame):
+    from cindermap.models.tune import pls_grid
+
+    model, results = pls_grid(frame, ["id"], FEATURES, "kind", components=(1, 2, 3))
+    assert [s for s, _ in results] == ["components=1", "components=2", "components=3"]
+    best = int(max(results, key=lambda r: r[1])[0].split("=")[1])
+    again = fit_pls(frame, FEATURES, "kind", best)
+    assert np.allclose(model.weights, again.weights) and np.allclose(model.intercepts, again.intercepts)
