@@ -9,7 +9,7 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cindermap.functions.values import col, nan_to_null, safe_ratio
@@ -32,18 +32,14 @@ def distinct_keys(*frames: DataFrame) -> DataFrame:
 def first_per_key(df: DataFrame, keys: str | Sequence[str], order_by: Sequence[str | Column]) -> DataFrame:
     """One row per key, the first in ``order_by`` (NULL first), which should be a total order.
 
-    Written as a minimum over (order, row) instead of a ranking window: each task
-    keeps one candidate per key, so a key with very many copies is not gathered.
+    Each task keeps the first row of a key before anything is shuffled (a group limit below the ranking), so
+    a key with very many copies is not gathered, and rows stay in their columns.
     """
     names = _names(keys)
-    rest = [c for c in df.columns if c not in names]
-    if not rest:
+    if len(names) == len(df.columns):
         return df.dropDuplicates(names)
-    order = F.struct(*[col(o).alias(f"o{i}") for i, o in enumerate(order_by)])
-    row = F.struct(*[F.col(f"`{c}`") for c in rest])
-    best = df.groupBy(*names).agg(F.min_by(row, order).alias("__row"))
-    picked = best.select(*names, "__row.*")
-    return picked.select(*[F.col(f"`{c}`") for c in df.columns])
+    place = F.row_number().over(Window.partitionBy(*names).orderBy(*[col(o).asc_nulls_first() for o in order_by]))
+    return df.withColumn("__place", place).filter(F.col("__place") == 1).drop("__place")
 
 
 def counts_by(df: DataFrame, keys: str | Sequence[str], name: str = "n") -> DataFrame:
@@ -121,18 +117,25 @@ def top(df: DataFrame, by: str, ties: Sequence[str], k: int) -> DataFrame:
 def mode_by(df: DataFrame, keys: str | Sequence[str], columns: Sequence[str]) -> DataFrame:
     """Most frequent non-missing value per group and column, ties to the smallest value.
 
-    Counts are taken per (group, value) first, so only one row per distinct value
-    reaches the choice.
+    One scan turns the columns into (group, column, value) rows, whose counts are combined in the tasks; what is left per group chooses for
+    all columns at once. So there are two shuffles for any number of columns, and only one row per distinct value reaches the choice.
     """
     names = _names(keys)
-    out = df.select(*names).distinct()
-    for c in columns:
-        counted = df.filter(F.col(c).isNotNull()).groupBy(*names, c).agg(F.count(F.lit(1)).alias("__n"))
-        best = counted.groupBy(*names).agg(F.min_by(F.col(c), F.struct(-F.col("__n"), F.col(c))).alias(c))
-        renamed = best.withColumnsRenamed({k: f"__m_{k}" for k in names})
-        same = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"__m_{k}")) for k in names])
-        out = out.join(renamed, same, "left").drop(*[f"__m_{k}" for k in names])
-    return out
+    kinds = sorted({df.schema[c].dataType.simpleString() for c in columns})
+    slot = {c: f"v{kinds.index(df.schema[c].dataType.simpleString())}" for c in columns}
+
+    def cell(i: int, column: str | None) -> Column:
+        values = [(F.col(column) if column and slot[column] == f"v{k}" else F.lit(None)).cast(kind).alias(f"v{k}") for k, kind in enumerate(kinds)]
+        return F.struct(F.lit(i).alias("i"), *values)
+
+    # the cell -1 keeps groups without any value
+    present = [F.when(F.col(c).isNotNull(), cell(i, c)) for i, c in enumerate(columns)]
+    cells = df.select(*[F.col(k).alias(f"__k{j}") for j, k in enumerate(names)], F.explode(F.array_compact(F.array(cell(-1, None), *present))).alias("c"))
+    keyed = [f"__k{j}" for j in range(len(names))]
+    counted = cells.groupBy(*keyed, "c").agg(F.count(F.lit(1)).alias("n"))
+    best = [F.min(F.when(F.col("c.i") == i, F.struct((-F.col("n")).alias("n"), F.col(f"c.{slot[c]}").alias("v")))).alias(f"__b{i}") for i, c in enumerate(columns)]
+    chosen = counted.groupBy(*keyed).agg(*best)
+    return chosen.select(*[F.col(k).alias(n) for k, n in zip(keyed, names)], *[F.col(f"__b{i}.v").alias(c) for i, c in enumerate(columns)])
 
 
 def unique_values(df: DataFrame, keys: str | Sequence[str], column: str) -> DataFrame:

@@ -52,7 +52,9 @@ def test_all_scales_share_one_statistics_pass(spark):
 
 def test_groups_are_combined_before_the_shuffle(spark):
     l = table(spark, FOLDER, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey")
-    assert "partial_min_by" in plan(first_per_key(l, "l_orderkey", ["l_linenumber", "l_partkey"]))
+    text = plan(first_per_key(l, "l_orderkey", ["l_linenumber", "l_partkey"]))
+    limit, shuffle = text.index("WindowGroupLimit"), text.index("Exchange")
+    assert "Partial" in text and "SortAggregate" not in text and limit < len(text) and shuffle < len(text)
     assert "Window" not in plan(with_group_value(l, "l_orderkey", n=F.count(F.lit(1))))
 
 

@@ -56,3 +56,28 @@ def test_scores_onto_shapes(spark):
     shapes = spark.createDataFrame([("a", SQUARE), ("b", SQUARE)], SHAPE)
     scores = spark.createDataFrame([("a", 1.0), ("z", 2.0)], "county string, s double")
     assert rows(attach_scores(shapes, scores, "county"), "geoid", "s") == [("a", 1.0), ("b", None)]
+
+
+def test_a_large_ring_has_no_more_cells_than_a_small_one(spark):
+    import math
+
+    from cindermap.operators.spatial import shape_cells
+
+    r = random.Random(8)
+    large = [(90 * math.cos(t / 200 * 2 * math.pi) * r.uniform(0.7, 1), 80 * math.sin(t / 200 * 2 * math.pi) * r.uniform(0.7, 1)) for t in range(200)]
+    small = [(f"s{i:02d}", [(x, y), (x + 0.3, y), (x + 0.2, y + 0.4)]) for i, (x, y) in enumerate((r.uniform(-90, 90), r.uniform(-80, 80)) for _ in range(30))]
+    polygons = [("large", large), *small]
+    cells = shape_cells(spark.createDataFrame(polygons, SHAPE), 0.1).groupBy("__geoid").agg({"inner": "count", "level": "max"})
+    assert max(n for _, n, _ in rows(cells, "__geoid", "count(inner)", "max(level)")) <= 110
+    points = [(i, r.uniform(-95, 95), r.uniform(-85, 85)) for i in range(1000)]
+    points += [(1000 + i, x + 0.17, y + 0.1) for i, (_, ((x, y), *_)) in enumerate(small)]
+    want = {i: min((g for g, ring in polygons if inside(ring, x, y)), default=None) for i, x, y in points}
+    assert assign(spark, polygons, points, cell=0.1) == want
+    assert sum(v == "large" for v in want.values()) > 300
+
+
+def test_no_polygons_and_no_points(spark):
+    p = spark.createDataFrame([(1, 1.0, 1.0)], "id long, lon double, lat double")
+    shapes = spark.createDataFrame([("a", SQUARE)], SHAPE)
+    assert rows(assign_polygon(p, shapes.limit(0)), "id", "geoid") == [(1, None)]
+    assert assign_polygon(p.limit(0), shapes).count() == 0
