@@ -4,6 +4,7 @@ from cindermap.catalogue.registry import QUERIES, SQL
 from cindermap.catalogue import (  # noqa: F401  (importing a module registers its queries)
     areas,
     binning,
+    chains,
     counts,
     fitted,
     incidents,

@@ -185,6 +185,15 @@ def unmatched(df: DataFrame, other: DataFrame, on: str | Sequence[str], null_saf
     return keyed_join(df, other, on, "left_anti", null_safe)
 
 
+def values_missing_in(df: DataFrame, other: DataFrame, on: str | Sequence[str]) -> DataFrame:
+    """The distinct keys of ``df`` that ``other`` lacks; a missing key is a value.
+
+    Both sides are reduced to one row per key before they meet.
+    """
+    keys = _names(on)
+    return keyed_join(df.select(*keys).distinct(), other.select(*keys).distinct(), keys, "left_anti", null_safe=True)
+
+
 def match_audit(df: DataFrame, other: DataFrame, on: str | Sequence[str]) -> DataFrame:
     """One row with the number of rows, of rows without partner, and their share.
 

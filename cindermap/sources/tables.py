@@ -93,6 +93,17 @@ def save_by_year(df: DataFrame, path: str, mode: str = "errorifexists") -> DataF
     return spark.read.schema(df.schema).parquet(path)
 
 
+def save_tables(tables: Mapping[str, DataFrame], path: str, mode: str = "errorifexists") -> None:
+    """Named tables as Parquet folders side by side."""
+    for name, df in tables.items():
+        df.write.mode(mode).parquet(f"{path}/{name}")
+
+
+def load_tables(spark: SparkSession, path: str, names: Sequence[str]) -> dict[str, DataFrame]:
+    """The tables of :func:`save_tables` by name; any folder that Spark reads will do."""
+    return {name: spark.read.parquet(f"{path}/{name}") for name in names}
+
+
 def with_row_id(df: DataFrame, order_by: Sequence[str | Column], name: str = "id") -> DataFrame:
     """Row number in a named order, the same on every run."""
     from cindermap.operators.rank import dense_index
