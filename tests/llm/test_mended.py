@@ -2,11 +2,12 @@
 
 import time
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from cindermap.llm import html, mixing, rules
+from cindermap.llm import html, mixing, rules, topk
 
 P = "<p>" + "word " * 60 + "</p>"
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
@@ -108,3 +109,52 @@ def test_stages_of_an_empty_table(spark):
     docs = spark.createDataFrame([], DOCS)
     for name, stage in corpus_pipeline.STAGES:
         assert stage(spark, docs, "").count() == 0, name
+
+
+def test_top_k_searches_each_length_by_itself(spark):
+    rows = [(0, [1.0, 0.0]), (1, [0.5, 9.0]), (2, [2.0, 1.0]), (3, [1.0]), (20, [3.0]), (4, [2.0]), (40, []), (5, []), (6, [])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = sorted(tuple(r) for r in topk.top_k(df, 2, F.col("vec_id") % 20 == 0).collect())
+    assert got == [(0, 1, 2, 64 * 128), (0, 2, 1, 64 * 32), (20, 1, 4, 192 * 128), (20, 2, 3, 192 * 64), (40, 1, 5, 0), (40, 2, 6, 0)]
+    assert topk.top_k(df.limit(0), 2, F.col("vec_id") % 20 == 0).count() == 0
+    assert topk.top_k(df, 2, F.col("vec_id") < 0).count() == 0
+    assert topk.top_k(df.filter("size(embedding) = 0"), 2, F.col("vec_id") == 40).count() == 2
+    with pytest.raises(Exception, match="too large"):
+        topk.top_k(spark.createDataFrame([(0, [1e308]), (1, [1.0])], df.schema), 1, F.col("vec_id") == 0).collect()
+
+
+@pytest.mark.parametrize("scale", [1, 10**9])
+def test_lists_are_read_until_outsiders_cannot_qualify(scale):
+    rng = np.random.default_rng(4)
+    c = np.floor(64 * rng.exponential(size=(3000, 6)) ** 4) * scale  # few rows have large components
+    q = np.floor(64 * np.abs(rng.normal(size=(40, 6))))
+    kind = topk._exact(q, c)
+    lists, own = topk.Lists(topk._typed(c, kind)), np.zeros((40, 3000), bool)
+    own[:, :5] = True
+    seen, whole = {}, np.array([[int(v) for v in r] for r in q], object) @ np.array([[int(v) for v in r] for r in c], object).T
+    for at, rows, scores, read in topk.best_in_block(topk._typed(q, kind), lists, 10, own):
+        best = sorted(((-int(s), int(r)) for r, s in zip(rows, scores)))[:10]
+        assert [-s for s, _ in best] == sorted((int(v) for v in whole[at][5:]), reverse=True)[:10]
+        assert all(int(s) == whole[at][r] for r, s in zip(rows, scores))
+        seen[at] = read
+    assert len(seen) == 40 and sum(read < 3000 for read in seen.values()) > 5
+    # a bar that no row reaches ends a query at once
+    high = np.full(40, float(whole.max()) + 1)
+    assert {(len(rows), read) for _, rows, _, read in topk.best_in_block(topk._typed(np.abs(q) * 0 + 1, kind), lists, 10, own, high)} <= {(0, r) for r in range(3001)}
+
+
+def test_bars_go_from_block_to_block(spark, monkeypatch):
+    monkeypatch.setattr(topk, "CANDIDATE_ROWS", 7)
+    monkeypatch.setattr(topk, "QUERY_ROWS", 3)
+    monkeypatch.setattr(topk, "QUERY_BYTES", 400)
+    rng = np.random.default_rng(9)
+    x = rng.normal(size=(120, 4))
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>").repartition(3)
+    got = topk.top_k(df, 6, F.col("vec_id") % 5 == 0, report=True)
+    assert got.agg(F.min("read_share") > 0, F.max("read_share") <= 1).first()[:] == (True, True)
+    whole = np.floor(64 * x)
+    want = []
+    for i in range(0, 120, 5):
+        best = sorted((-int(whole[i] @ whole[j]), j) for j in range(120) if j != i)[:6]
+        want += [(i, r + 1, j, -s) for r, (s, j) in enumerate(best)]
+    assert sorted(tuple(r)[:4] for r in got.collect()) == want
