@@ -47,13 +47,13 @@ def scratch_path(spark: SparkSession, label: str) -> str:
     return f"{shared_folder(spark)}/cindermap/{label}-{uuid.uuid4().hex}"
 
 
-def materialize(df: DataFrame, label: str = "cut") -> DataFrame:
-    """Write ``df`` once to the shared folder and read it back.
+def materialize(df: DataFrame, label: str = "cut", codec: str | None = None) -> DataFrame:
+    """Write ``df`` once to the shared folder and read it back, packed by ``codec`` (default: the session's).
 
     The result has no lineage to recompute, survives the loss of executors and
     gives later stages real file sizes to plan with.
     """
     spark = df.sparkSession
     path = scratch_path(spark, label)
-    df.write.parquet(path)
+    (df.write.option("compression", codec) if codec else df.write).parquet(path)
     return spark.read.schema(df.schema).parquet(path)

@@ -15,7 +15,7 @@ MIX_PERCENT = 80  # of the tokens that are left
 
 def _numbered(docs: DataFrame) -> DataFrame:
     """``docs`` with a number of its own for each row, in a written table: ids can be null and repeat."""
-    return materialize(docs.withColumn("__row", F.monotonically_increasing_id()), "numbered")
+    return materialize(docs.withColumn("__row", F.monotonically_increasing_id()), "numbered", "zstd")
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
