@@ -124,10 +124,12 @@ SELECT substring(geoid, 1, 2) AS state, substring(geoid, 3, 3) AS cnty, substrin
 FROM t WHERE c_custkey IN (SELECT o_custkey FROM orders)""")
 def install_risk(spark, folder):
     """PL-1A: forest and LASSO trained on counties, scored on every tract with all features; no score is above 1."""
-    customers = tracts(spark, folder).select(
+    # an order is a visit, so that every county has enough of them
+    orders = table(spark, folder, "orders").join(tracts(spark, folder), F.col("o_custkey") == F.col("c_custkey"))
+    visits = orders.select(
         F.substring("geoid", 1, 5).alias("fips"), F.col("n_name").alias("state"), F.col("c_mktsegment").alias("city"),
-        F.when(F.col("c_acctbal") > 2500, 1).otherwise(0).alias("alarms_ins"))
-    models = installs.install_risk(customers, _profile(spark, folder))
+        F.when(F.col("o_totalprice") > 150000, 1).otherwise(0).alias("alarms_ins"))
+    models = installs.install_risk(visits, _profile(spark, folder))
     return models.tracts.select("state", "cnty", "tract", "geoid2", (F.col("risk_1a") <= 1.0).alias("is_share"))
 
 

@@ -168,7 +168,9 @@ def skew_join(
     # at most as many keys as are hot on the right, but for keys of equal hash
     present = F.broadcast(right.filter(hot_right).select(*keys).distinct())
     alone = keyed_join(left.filter(hot_right if null_safe else hot_right & ~unknown), present, keys, "left_anti", null_safe)
-    return found.unionByName(alone, allowMissingColumns=True)
+    # by place: names may differ in case only
+    nothing = [F.lit(None).cast(right.schema[c].dataType).alias(c) for c in right.columns if c not in keys]
+    return found.union(alone.select("*", *nothing))
 
 
 def lookup_first(
