@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -233,12 +234,46 @@ def _meeting(posts: DataFrame, often: DataFrame, nodes: DataFrame, groups: DataF
     return pairs.join(closed, ["a", "g_b"], "left_anti").select("a", "b")
 
 
+def _opened(x: np.ndarray, lacking: np.ndarray, gid: np.ndarray, y: np.ndarray, other: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(rows of ``x`` that open a group of ``y``, rows of ``y`` in groups that are opened): rows of bits with their groups.
+
+    A row opens a group if it has no more buckets that the union of the group's rows lacks than it can lack tokens. Where all groups are single
+    rows, all are compared as pairs.
+    """
+    groups, of = np.unique(other, return_inverse=True)
+    if len(groups) == len(y):
+        return np.arange(len(x)), np.arange(len(y))
+    by = np.argsort(of, kind="stable")
+    union = np.maximum.reduceat(y[by], np.flatnonzero(np.diff(of[by], prepend=-1)), axis=0)
+    opens = (x.sum(axis=1)[:, None] - x @ union.T <= lacking[:, None]) & (gid[:, None] != groups[None, :])
+    return np.flatnonzero(opens.any(axis=1)), np.flatnonzero(opens.any(axis=0)[of])
+
+
+def _in_blocks(met: DataFrame, num: int, den: int) -> DataFrame:
+    """``met`` (v, n, token, k) with ``block`` and ``other``, the blocks of the token that it is compared with, itself included.
+
+    Nodes of a token with one block are that block. Those of more are parted by size first: sizes of a class differ by a factor of den/num at
+    most, so only sets of one class or of two that follow each other can link; each class has blocks of about ``BLOCK`` nodes.
+    """
+    width = max(math.log(den / num), 1e-4) * (1 + 1e-6)  # wider than the factor, so that rounding parts no sets that can link
+    met = met.withColumn("size", F.when(F.col("k") > 1, F.floor(F.log("n") / F.lit(width))).otherwise(F.lit(0)).cast("long"))
+    classes = met.filter("k > 1").groupBy("token", "size").agg(F.ceil(F.count(F.lit(1)) / F.lit(BLOCK)).cast("long").alias("parts"))
+    classes = materialize(classes, "size-classes")
+    place = F.col("size") * F.lit(1 << 32)
+    held = classes.withColumn("others", F.transform(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1), lambda b: place + b))
+    held = held.select("token", F.explode(F.array(*[F.col("size") + d for d in (-1, 0, 1)])).alias("to"), "others")
+    held = held.groupBy("token", F.col("to").alias("size")).agg(F.flatten(F.collect_list("others")).alias("others"))
+    dealt = met.join(classes.join(held, ["token", "size"]), ["token", "size"], "left")
+    block = F.coalesce(place + F.pmod(F.xxhash64("v"), F.col("parts")), F.lit(0))
+    return dealt.withColumn("block", block).withColumn("other", F.explode(F.coalesce("others", F.array(F.lit(0).cast("long"))))).drop("k", "size", "parts", "others")
+
+
 def _crowded(posts: DataFrame, often: DataFrame, nodes: DataFrame, groups: DataFrame, num: int, den: int, nearest: bool = False) -> DataFrame:
     """Pairs (a, b) of nodes of different groups that meet in a token many nodes hold, and whose rows of bits allow a link.
     With ``nearest``, for each node only the one that differs least.
 
-    The nodes of a token are dealt to blocks of about ``BLOCK``; each pair of blocks is compared in one task as a product of bit
-    matrices, and only pairs that may link become rows.
+    The nodes of a token are dealt to blocks by size (see ``_in_blocks``). Two blocks are compared in one task: nodes against the unions of the other
+    block's groups first, then, as a product of bit matrices, with the nodes of the groups that are opened; only pairs that may link become rows.
     """
 
     def compare(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
@@ -247,6 +282,8 @@ def _crowded(posts: DataFrame, often: DataFrame, nodes: DataFrame, groups: DataF
         if left.empty or right.empty:
             return pd.DataFrame({"a": [], "b": []}, dtype="int64")
         x, y = (np.unpackbits(np.stack(r["bits"].to_numpy()).view(np.uint8), axis=1).astype(np.float32) for r in (left, right))
+        at_x, at_y = _opened(x, left["lacking"].to_numpy(), left["gid"].to_numpy(), y, right["gid"].to_numpy())
+        x, y, left, right = x[at_x], y[at_y], left.iloc[at_x], right.iloc[at_y]
         differ = x.sum(axis=1)[:, None] + y.sum(axis=1)[None, :] - 2 * (x @ y.T)
         (na, ga, va), (nb, gb, vb) = ([r[c].to_numpy() for c in ("n", "gid", "v")] for r in (left, right))
         may = (differ * (den + num) <= (na[:, None] + nb[None, :]) * (den - num)) & (ga[:, None] != gb[None, :])
@@ -257,7 +294,7 @@ def _crowded(posts: DataFrame, often: DataFrame, nodes: DataFrame, groups: DataF
             a, b = np.nonzero(may & (va[:, None] < vb[None, :]) if i == j else may)
         return pd.DataFrame({"a": np.minimum(va[a], vb[b]), "b": np.maximum(va[a], vb[b])})
 
-    block = F.pmod(F.xxhash64("v"), F.col("k")).cast("int")
-    met = _in_groups(posts.join(often, "token"), groups).select("v", "gid", "n", "token", block.alias("block"), F.explode(F.sequence(F.lit(0), F.col("k") - F.lit(1))).alias("other"))
+    met = _in_groups(posts.join(often, "token"), groups).select("v", "gid", "n", "lacking", "token", "k")
+    met = _in_blocks(met, num, den)
     met = met.join(nodes.select("v", "bits"), "v").withColumns({"i": F.least("block", "other"), "j": F.greatest("block", "other")})
     return met.groupBy("token", "i", "j").applyInPandas(compare, "a long, b long").distinct()
