@@ -118,11 +118,12 @@ def scan(docs: DataFrame, known: DataFrame, key: str = "doc_id", text: str = "te
     licenses (distinct names, sorted, joined by a comma; empty if none) and n_blocks (runs of paragraphs, paragraphs and
     lines that matched; a paragraph of one line counts once, a text found with and without its heading twice).
 
-    ``known`` is a list of licences, not data: its texts of several paragraphs are collected, and Spark broadcasts it as long as it is small. Only matches
-    are regrouped. A null or empty text matches nothing, a text of punctuation alone neither. Rows that repeat
+    ``known`` is a list of licences, not data: its digests are collected and part known from unknown ones inside the row; the names come from a hash
+    join of what is left, for which Spark broadcasts the list as long as it is small. Only matches are regrouped. A null or empty text matches nothing, a text of punctuation alone neither. Rows that repeat
     key and text have the same result, each on its own row; a null key is a key. What other columns ``docs`` has plays no part.
     """
-    table = digests(known)
+    table = materialize(digests(known), "known")  # a written table has a size that joins can check
+    digest_list = sorted(r["digest"] for r in table.select("digest").collect())
     canon = docs.select(F.col(key).alias("key"), F.md5(F.col(text).cast("binary")).alias("text_digest"), canonical(text).alias("c"))
     # a paragraph that is more than one line; lines stand for the others
     paragraphs = F.filter(F.transform(F.split("c", r"\n *(?:\n *)+"), lambda p: F.trim(F.regexp_replace(p, r"^[ \n]+|[ \n]+$", ""))), lambda p: F.contains(p, F.lit("\n")))
@@ -146,9 +147,11 @@ def scan(docs: DataFrame, known: DataFrame, key: str = "doc_id", text: str = "te
             )
         )
         digested = F.concat(digested, F.coalesce(ran, F.array().cast("array<string>")))
-    narrow = materialize(canon.select("key", "text_digest", F.md5(joined("c").cast("binary")).alias("whole"), digested.alias("blocks")), "licences")
+    # only what is known leaves the row
+    matched = F.filter(F.transform(digested, lambda d, i: F.struct(i.alias("at"), d.alias("digest"))), lambda b: b["digest"].isin(digest_list))
+    narrow = materialize(canon.select("key", "text_digest", F.md5(joined("c").cast("binary")).alias("whole"), matched.alias("blocks")), "licences")
     held = (
-        narrow.select("key", "text_digest", F.posexplode("blocks").alias("at", "digest"))
+        narrow.select("key", "text_digest", F.inline("blocks"))
         .join(table, "digest")
         .groupBy("key", "text_digest")
         .agg(F.array_join(F.array_sort(F.collect_set("license")), ",").alias("licenses"), F.count_distinct("at").alias("n_blocks"))
