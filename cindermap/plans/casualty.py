@@ -14,7 +14,7 @@ from cindermap.functions.scores import mean_strict, prior_corrected
 from cindermap.functions.values import later_rule_wins, number_from_text
 from cindermap.models.classify import (
     class_probability,
-    forest_classifier,
+    fit_forest,
     importance_table,
     logistic_model,
     score,
@@ -82,17 +82,13 @@ class RiskModels:
     scores: DataFrame
 
 
-def _fit_both(build, deaths: DataFrame, injuries: DataFrame) -> tuple[PipelineModel, PipelineModel]:
-    return fit_cached(build("death"), deaths), fit_cached(build("injury"), injuries)
-
-
 def logistic_risk(deaths: DataFrame, injuries: DataFrame, tracts: DataFrame) -> RiskModels:
     """PL-3A-L: mean of the two event probabilities per tract.
 
     The event is class 1 here. Modelling ``other`` and taking one minus the mean gives the same number.
     """
     features = numeric_columns(tracts)
-    death, injury = _fit_both(lambda event: logistic_model(features, "target", event), deaths, injuries)
+    death, injury = (fit_cached(logistic_model(features, "target", event), rows) for event, rows in (("death", deaths), ("injury", injuries)))
     filled = central_impute(tracts, numeric=features, nominal=[])
     first = score(death, filled, ["tractid", *features], death_prob=class_probability(death))
     both = score(injury, first, ["tractid", "death_prob"], injury_prob=class_probability(injury))
@@ -105,9 +101,7 @@ def forest_risk(
 ) -> RiskModels:
     """PL-3A-R: the same with two forests."""
     features = numeric_columns(tracts)
-    death, injury = _fit_both(
-        lambda event: forest_classifier(features, "target", trees, depth, seed), deaths, injuries
-    )
+    death, injury = (fit_forest(rows, features, "target", trees, depth, seed) for rows in (deaths, injuries))
     filled = central_impute(tracts, numeric=features, nominal=[])
     first = score(death, filled, ["tractid", *features], death_prob=class_probability(death, "death"))
     both = score(injury, first, ["tractid", "death_prob"], injury_prob=class_probability(injury, "injury"))
@@ -174,4 +168,4 @@ def prior_corrected_scores(
 def fit_casualty_forest(training: DataFrame, features: Sequence[str], trees: int = 150, depth: int = 10, seed: int = 12) -> PipelineModel:
     """M6: casualty against none, saved with ``model.write().save(path)`` and read back with ``PipelineModel.load``."""
     two = training.withColumn("target", F.when(F.col("target") == NO_CASUALTY, "none").otherwise("casualty"))
-    return fit_cached(forest_classifier(features, "target", trees, depth, seed), two.select("target", *features))
+    return fit_forest(two, features, "target", trees, depth, seed)
