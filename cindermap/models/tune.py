@@ -7,6 +7,7 @@ from collections.abc import Iterator, Mapping, Sequence
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 from functools import reduce
+from math import ceil
 
 import numpy as np
 import pyarrow as pa
@@ -27,6 +28,9 @@ from cindermap.models.pls import PlsModel, pls_models, with_indicators
 from cindermap.operators.sample import with_fold
 
 
+ROWS_PER_TASK = 50_000  # of a search: a task of fewer rows costs more for its start and its sums than for the rows
+
+
 @dataclass
 class Tuned:
     model: Model
@@ -73,9 +77,22 @@ def agreement_of(counts: Mapping[tuple[float, float], int]) -> dict[str, float |
     return {"accuracy": seen, "kappa": (seen - chance) / (1 - chance) if chance < 1 else 0.0}
 
 
+def fits_at_once(tasks: int, cores: int, parallelism: int) -> int:
+    """Fits that run side by side: as many as fill the cores with ``tasks`` tasks each, ``parallelism`` at least."""
+    return max(parallelism, cores // max(tasks, 1))
+
+
 def _search(df: DataFrame, estimator: Estimator, grid: list, keys: Sequence[str], folds: int, seed: int, parallelism: int) -> Searched:
-    """Fit every setting once per fold and count what it says of the rows left out. ``df`` has ``features``, ``label`` and the key columns."""
-    ready = with_fold(df, keys, folds, seed, "__fold").persist()
+    """Fit every setting once per fold and count what it says of the rows left out. ``df`` has ``features``, ``label`` and the key columns.
+
+    A fit has one task per ``ROWS_PER_TASK`` rows, and cores that one fit leaves idle take other fits: few rows make
+    many fits of one task, many rows few fits of many tasks.
+    """
+    parts = max(1, ceil(df.count() / ROWS_PER_TASK))
+    # sorted, so that a search draws the same samples whatever order the rows come in
+    ready = with_fold(df, keys, folds, seed, "__fold").repartition(parts, *keys).sortWithinPartitions(*keys).persist()
+    ready.count()  # once, before all fits ask for it at the same time
+    threads = fits_at_once(parts, df.sparkSession.sparkContext.defaultParallelism, parallelism)
     names = [", ".join(f"{p.name}={v}" for p, v in sorted(m.items(), key=lambda e: e[0].name)) for m in grid]
 
     def one(task: tuple[int, int]) -> dict[tuple[float, float], int]:
@@ -87,7 +104,7 @@ def _search(df: DataFrame, estimator: Estimator, grid: list, keys: Sequence[str]
 
     tasks = [(setting, k) for k in range(folds) for setting in range(len(grid))]
     try:
-        with ThreadPoolExecutor(parallelism) as pool:
+        with ThreadPoolExecutor(threads) as pool:
             counts = dict(zip(tasks, pool.map(one, tasks)))
     finally:
         ready.unpersist()
@@ -108,7 +125,7 @@ def boosting_grid(
     """M7: gradient boosting, one binary ensemble per class (boosting in Spark ML is binary)."""
     boost = GBTClassifier(maxIter=trees, stepSize=step, seed=seed)
     grid = ParamGridBuilder().addGrid(boost.maxDepth, list(depths)).addGrid(boost.minInstancesPerNode, list(min_rows)).build()
-    return _search(df, OneVsRest(classifier=boost), grid, keys, folds, seed, parallelism).tuned("accuracy")
+    return _search(df, OneVsRest(classifier=boost, parallelism=4), grid, keys, folds, seed, parallelism).tuned("accuracy")
 
 
 def forest_grid(
