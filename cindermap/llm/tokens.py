@@ -7,8 +7,9 @@ import struct
 
 from tokenizers import Tokenizer
 
-_CACHE_WORDS = 100_000  # bounds the memory of a worker; a full cache starts anew and takes over what is met again
+_CACHE_WORDS = 400_000  # bounds the memory of a worker; a full cache starts anew and takes over what is met again
 _MARKS = ".,;:!?"
+_SEPARATORS = "\x1c\x1d\x1e\x1f"
 _LATIN = re.compile(r"[A-Za-zÀ-ÖØ-öø-ÿ]+")
 _CUT = re.compile(r"(?<=\S)(?= \S)")  # where a single space stands between two other characters
 _ENCODERS: dict[tuple[str, bool, bool], _Encoder] = {}
@@ -95,7 +96,7 @@ class _Encoder:
         words = text.split()
         if not self.leading_space:
             # the library takes the separators 1C to 1F for letters, Python for white space
-            return b"".join(map(self.first.__getitem__, re.split(r"[\t\n\v\f\r ]+", text) if re.search("[\x1c-\x1f]", text) else words))
+            return b"".join(map(self.first.__getitem__, re.split(r"[\t\n\v\f\r ]+", text) if any(c in text for c in _SEPARATORS) else words))
         if text.replace("\n", " ") == " ".join(words):
             return self.line_end.join([self._line(line.split(" ")) for line in text.split("\n")]) if text else b""
         head, *tail = _CUT.split(text)
