@@ -121,8 +121,14 @@ def geocoded_outcomes(
         _keyed(formatted, ["row_seq"]), geocoded.select("row_seq", "tabblock_id", "county", "tractid"), "row_seq", "left"
     )
     casualties = ["FF_DEATH", "OTH_DEATH", "FF_INJ", "OTH_INJ"]
-    located = places.filter(known("tractid"))
-    rest = [c for c in located.columns if c not in key and c not in order_by]
+
+    def by_key(df: DataFrame) -> DataFrame:
+        """The key as one struct, whose missing parts equal missing parts: ranking and join then need one shuffle and one order."""
+        return df.withColumn("__key", F.struct(*key)).drop(*key)
+
+    located = by_key(places.filter(known("tractid")))
+    rest = [c for c in located.columns if c != "__key" and c not in order_by]
     # One row per key on both sides first: the first of all pairs is the pair of the firsts.
-    facts = first_per_key(_keyed(basic, [*casualties, *incident_order]), key, [*incident_order, *casualties]).drop(*incident_order)
-    return keyed_join(facts, first_per_key(located, key, [*order_by, *rest]), key, "inner", null_safe=True)
+    facts = first_per_key(by_key(_keyed(basic, [*casualties, *incident_order])), "__key", [*incident_order, *casualties]).drop(*incident_order)
+    joined = keyed_join(facts, first_per_key(located, "__key", [*order_by, *rest]), "__key", "inner")
+    return joined.select(*[F.col("__key")[k].alias(k) for k in key], *[c for c in joined.columns if c != "__key"])
