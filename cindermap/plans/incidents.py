@@ -81,8 +81,24 @@ def blend_year(tables: Mapping[str, DataFrame], year: str, null_safe: bool = Tru
 
 
 def blend_years(years: Mapping[str, Mapping[str, DataFrame]], null_safe: bool = True) -> DataFrame:
-    """PL-BLEND: the yearly blends under each other."""
-    return stack(*[blend_year(tables, year, null_safe) for year, tables in sorted(years.items())])
+    """PL-BLEND: the yearly blends under each other.
+
+    Every row of a blend follows from one fire incident, so years that share all other tables (the same DataFrames) are one blend of their
+    tagged fire tables, and the shared tables are read and dealt once.
+    """
+    shared: dict[tuple[int, ...], dict[str, Mapping[str, DataFrame]]] = {}
+    for year, tables in sorted(years.items()):
+        shared.setdefault(tuple(id(tables[name]) for name in BLEND_COLUMNS if name != "fire"), {})[year] = tables
+    blends = []
+    for part in shared.values():
+        if len(part) == 1:
+            blends += [blend_year(tables, year, null_safe) for year, tables in part.items()]
+            continue
+        # keys first take one form, since years differ in their types
+        fires = stack(*[tag(_keyed(tables["fire"], BLEND_COLUMNS["fire"]), "year", year) for year, tables in part.items()])
+        blended = blend({**next(iter(part.values())), "fire": fires}, null_safe, ["year"])
+        blends.append(blended.select(*[c for c in blended.columns if c != "year"], "year"))
+    return stack(*blends)
 
 
 def residential_by_tract(
