@@ -233,13 +233,12 @@ WITH c AS (SELECT CASE WHEN label < 3 THEN 'death' WHEN label < 6 THEN 'inj' ELS
 v AS (SELECT CAST(SUM(n - (4 * n + 4) // 5) AS BIGINT) AS n_validation FROM c)
 SELECT unnest(['boosting', 'forest', 'forest_kappa', 'network', 'pls']) AS model, n_validation, TRUE AS in_range FROM v""")
 def model_comparison(spark, folder):
-    """PL-3A-T: M7-M10, R4, R5 on the embedding features, three classes, full grids but for the number of boosted trees (10 of 300, see README)."""
+    """PL-3A-T: M7-M10, R4, R5 on the embedding features, three classes, full grids."""
     size = 64
     e = table(spark, folder, "embeddings")
     kind = F.when(F.col("label") < 3, "death").when(F.col("label") < 6, "inj").otherwise("no_inj")
     features = [f"e{i}" for i in range(size)]
     wide = e.select("vec_id", kind.alias("target"), *[F.col("embedding")[i].cast("double").alias(f) for i, f in enumerate(features)])
-    settings = {"boosting": {"trees": 10}, "forest": {}, "forest_kappa": {}, "network": {}, "pls": {}}
-    rated = compare_models(wide, features, "target", ["vec_id"], settings)
+    rated = compare_models(wide, features, "target", ["vec_id"])
     fine = F.col("accuracy").between(0.0, 1.0) & F.col("cv_metric").between(-1.0, 1.0) & F.col("kappa").between(-1.0, 1.0) & (F.col("settings") != "")
     return rated.select("model", "n_validation", fine.alias("in_range"))

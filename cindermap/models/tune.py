@@ -23,6 +23,7 @@ from pyspark.ml.tuning import ParamGridBuilder
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from cindermap.models.boost import BoostedModel, TaskBoosting, fits_in_task
 from cindermap.models.moments import Moments, fold_moments
 from cindermap.models.pls import PlsModel, pls_models, with_indicators
 from cindermap.operators.sample import with_fold
@@ -33,7 +34,7 @@ ROWS_PER_TASK = 50_000  # of a search: a task of fewer rows costs more for its s
 
 @dataclass
 class Tuned:
-    model: Model
+    model: Model | BoostedModel
     results: list[tuple[str, float]]  # (settings, mean metric over the folds)
 
     @property
@@ -45,8 +46,8 @@ class Tuned:
 class Searched:
     """Confusion counts of every setting and fold, from which any metric is read; a model is fitted for the best setting of a metric."""
 
-    estimator: Estimator
-    settings: list[tuple[str, dict]]
+    estimator: Estimator | TaskBoosting
+    settings: list[tuple[str, dict | tuple]]
     counts: dict[tuple[int, int], dict[tuple[float, float], int]]  # (setting, fold): (actual, predicted): rows
     rows: DataFrame
 
@@ -122,7 +123,15 @@ def boosting_grid(
     seed: int = 12,
     parallelism: int = 2,
 ) -> Tuned:
-    """M7: gradient boosting, one binary ensemble per class (boosting in Spark ML is binary)."""
+    """M7: gradient boosting, one binary ensemble per class (boosting in Spark ML is binary).
+
+    A table that a task holds is boosted by tasks of whole ensembles, a larger one by Spark ML, for which each tree is some jobs.
+    """
+    if fits_in_task(df):
+        pairs = [(d, m) for d in depths for m in min_rows]
+        boosting = TaskBoosting(keys, trees, step)
+        named = [(f"maxDepth={d}, minInstancesPerNode={m}", (d, m)) for d, m in pairs]
+        return Searched(boosting, named, boosting.counts(df, pairs, folds, seed), df).tuned("accuracy")
     boost = GBTClassifier(maxIter=trees, stepSize=step, seed=seed)
     grid = ParamGridBuilder().addGrid(boost.maxDepth, list(depths)).addGrid(boost.minInstancesPerNode, list(min_rows)).build()
     return _search(df, OneVsRest(classifier=boost, parallelism=4), grid, keys, folds, seed, parallelism).tuned("accuracy")
